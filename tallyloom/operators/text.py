@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_on_keys, with_group_totals
+from tallyloom.core import with_group_totals
 from tallyloom.operators.relational import top_per_group
 from tallyloom.operators.sequence import sequence_columns
 
@@ -204,7 +204,7 @@ def class_distance(shares: DataFrame, class_col: str, classes: Sequence[str]) ->
     return _pairs_to_rows(wide.agg(*aggs), classes, "distance")
 
 
-def class_vectors(shares: DataFrame, class_col: str, classes: Sequence[str], buckets: int = 256) -> DataFrame:
+def class_vectors(shares: DataFrame, class_col: str, buckets: int = 256) -> DataFrame:
     """Share vector per class, terms hashed to a fixed number of buckets.
 
     The vector length does not grow with the vocabulary.
@@ -213,7 +213,7 @@ def class_vectors(shares: DataFrame, class_col: str, classes: Sequence[str], buc
     cells = shares.groupBy(class_col, bucket.alias("b")).agg(F.sum("p").alias("p"))
     maps = cells.groupBy(class_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "p"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return maps.filter(F.col(class_col).isin(*classes)).select(class_col, dense.alias("shares"))
+    return maps.select(class_col, dense.alias("shares"))
 
 
 def group_classes(vectors: DataFrame, features: str, k: int, seed: int = 7) -> DataFrame:

@@ -5,5 +5,7 @@ from tallyloom.plans import (  # noqa: F401
     relational_queries,
     reshape_queries,
     scan_queries,
+    text_queries,
+    window_queries,
 )
 from tallyloom.plans.registry import REGISTRY, Query  # noqa: F401

@@ -82,15 +82,13 @@ def _(t):
 
 @query(
     "A07_held_by_all",
-    """WITH f AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(month(o_orderdate) AS INTEGER) AS mon, o_custkey FROM orders),
+    """WITH f AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS yr, CAST(month(l_shipdate) AS INTEGER) AS mon, l_suppkey FROM lineitem),
          m AS (SELECT yr, count(DISTINCT mon) AS n_members FROM f GROUP BY 1)
-       SELECT yr, o_custkey, n_members FROM (SELECT yr, o_custkey, count(*) AS n FROM f GROUP BY 1, 2) JOIN m USING (yr) WHERE n = n_members""",
+       SELECT yr, l_suppkey, n_members FROM (SELECT yr, l_suppkey, count(*) AS n FROM f GROUP BY 1, 2) JOIN m USING (yr) WHERE n = n_members""",
 )
 def _(t):
-    facts = t.orders.select(
-        F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mon"), "o_custkey"
-    )
-    return ag.held_by_all(facts, "yr", "mon", "o_custkey")
+    facts = t.lineitem.select(F.year("l_shipdate").alias("yr"), F.month("l_shipdate").alias("mon"), "l_suppkey")
+    return ag.held_by_all(facts, "yr", "mon", "l_suppkey")
 
 
 @query(

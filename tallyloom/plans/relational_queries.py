@@ -134,13 +134,13 @@ def _(t):
 
 @query(
     "J12_role_join",
-    """WITH d AS (SELECT o_orderdate AS day, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1),
+    """WITH d AS (SELECT o_orderdate AS day, round(avg(o_totalprice), 6) AS price FROM orders GROUP BY 1),
          s AS (SELECT o_custkey, min(o_orderdate) AS open_day, max(o_orderdate) AS close_day FROM orders GROUP BY 1)
        SELECT o_custkey, open_day, close_day, a.price AS open_price, b.price AS close_price
        FROM s JOIN d a ON a.day = open_day JOIN d b ON b.day = close_day""",
 )
 def _(t):
-    days = t.orders.groupBy(F.col("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 4).alias("price"))
+    days = t.orders.groupBy(F.col("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 6).alias("price"))
     spans = t.orders.groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("open_day"), F.max("o_orderdate").alias("close_day")
     )
