@@ -5,6 +5,8 @@ from tallyloom.plans import (  # noqa: F401
     relational_queries,
     reshape_queries,
     scan_queries,
+    series_queries,
+    stats_queries,
     text_queries,
     window_queries,
 )

@@ -147,16 +147,15 @@ def _(t):
 
 @query(
     "W13_runs_with_sum",
-    """WITH c AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS cents, row_number() OVER w AS pos,
-           sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
-         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-       r AS (SELECT a.user_id, a.pos AS first_pos, b.pos AS last_pos FROM c a JOIN c b ON a.user_id = b.user_id AND b.s = a.s - a.cents + 20000 WHERE b.pos > a.pos)
-       SELECT r.user_id, first_pos, last_pos, min(cents) AS min_value, max(cents) AS max_value, min(cents) + max(cents) AS min_plus_max
-       FROM r JOIN c ON c.user_id = r.user_id AND c.pos BETWEEN first_pos AND last_pos GROUP BY 1, 2, 3""",
+    f"""WITH c AS (SELECT p_brand, p_size, row_number() OVER w AS pos, sum(p_size) OVER w AS s FROM {BRAND_SIZES}
+           WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)),
+       r AS (SELECT a.p_brand, a.pos AS first_pos, b.pos AS last_pos FROM c a JOIN c b ON a.p_brand = b.p_brand AND b.s = a.s - a.p_size + 100 WHERE b.pos > a.pos)
+       SELECT r.p_brand, first_pos, last_pos, min(p_size) AS min_value, max(p_size) AS max_value, min(p_size) + max(p_size) AS min_plus_max
+       FROM r JOIN c ON c.p_brand = r.p_brand AND c.pos BETWEEN first_pos AND last_pos GROUP BY 1, 2, 3""",
 )
 def _(t):
-    rows = t.events.select("user_id", "ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    return wn.runs_with_sum(rows, ["user_id"], ["ts", "event_id"], "cents", 20000)
+    rows = t.part.select("p_brand", "p_partkey", "p_size")
+    return wn.runs_with_sum(rows, ["p_brand"], ["p_partkey"], "p_size", 100)
 
 
 SPREAD = """d AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2),

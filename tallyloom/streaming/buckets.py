@@ -15,15 +15,22 @@ from pyspark.sql import functions as F
 from tallyloom.core import scratch_path
 
 
-def stream_table(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """Parquet files of one table as a stream, in the schema of the table."""
+def stream_table(
+    spark: SparkSession, directory: str, name: str, time: str, files_per_trigger: int = 64
+) -> DataFrame:
+    """Parquet files of one table as a stream, in the schema of the table.
+
+    Watermarks need an instant, so the event time is cast to a timestamp with
+    session time zone.
+    """
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return (
+    stream = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
         .option("pathGlobFilter", f"{name}*.parquet")
         .parquet(directory)
     )
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
 
 
 def windowed_totals(
