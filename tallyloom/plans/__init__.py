@@ -2,6 +2,8 @@
 
 from tallyloom.plans import (  # noqa: F401
     aggregate_queries,
+    graph_queries,
+    ml_queries,
     relational_queries,
     reshape_queries,
     scan_queries,

@@ -152,7 +152,7 @@ def _(t):
     return out.withColumn("t_stat", F.round("t_stat", 6))
 
 
-PRICES = "p AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2)"
+PRICES = "p AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 6) AS v FROM orders GROUP BY 1, 2)"
 PAIR = f"""{PRICES}, w AS (SELECT day, max(v) FILTER (o_orderpriority = '1-URGENT') AS a, max(v) FILTER (o_orderpriority = '5-LOW') AS b FROM p GROUP BY 1),
   x AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL), f AS (SELECT regr_slope(a, b) AS s, regr_intercept(a, b) AS i FROM x),
   res AS (SELECT day, a, b, s, i, a - (i + s * b) AS e FROM x, f)"""
@@ -160,7 +160,7 @@ PAIR = f"""{PRICES}, w AS (SELECT day, max(v) FILTER (o_orderpriority = '1-URGEN
 
 def daily_prices(t):
     return t.orders.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(
-        F.round(F.avg("o_totalprice"), 2).alias("v")
+        F.round(F.avg("o_totalprice"), 6).alias("v")
     )
 
 

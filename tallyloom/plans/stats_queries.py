@@ -297,8 +297,8 @@ def _(t):
 
 @query(
     "X15_bounding_box",
-    """SELECT p_brand, round(min(p_size) - 0.1 * (max(p_size) - min(p_size)), 6) AS p_size_low, round(max(p_size) + 0.1 * (max(p_size) - min(p_size)), 6) AS p_size_high,
-         round(min(p_retailprice) - 0.1 * (max(p_retailprice) - min(p_retailprice)), 6) AS p_retailprice_low, round(max(p_retailprice) + 0.1 * (max(p_retailprice) - min(p_retailprice)), 6) AS p_retailprice_high
+    """SELECT p_brand, round(min(p_size) - 0.1::DOUBLE * (max(p_size) - min(p_size)), 6) AS p_size_low, round(max(p_size) + 0.1::DOUBLE * (max(p_size) - min(p_size)), 6) AS p_size_high,
+         round(min(p_retailprice) - 0.1::DOUBLE * (max(p_retailprice) - min(p_retailprice)), 6) AS p_retailprice_low, round(max(p_retailprice) + 0.1::DOUBLE * (max(p_retailprice) - min(p_retailprice)), 6) AS p_retailprice_high
        FROM part GROUP BY 1""",
 )
 def _(t):
