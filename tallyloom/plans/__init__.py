@@ -2,6 +2,7 @@
 
 from tallyloom.plans import (  # noqa: F401
     aggregate_queries,
+    function_queries,
     graph_queries,
     ml_queries,
     relational_queries,

@@ -25,8 +25,8 @@ def split_vectors(t):
 
 def near_sql(dims=64, k=15):
     cut = "" if dims == 64 else f"[1:{dims}]"
-    return f"""nn{dims} AS (SELECT te.vec_id, tr.vec_id AS neighbour, tr.label AS l, te.label AS t, list_distance(te.embedding::DOUBLE[]{cut}, tr.embedding::DOUBLE[]{cut}) AS distance,
-      row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.embedding::DOUBLE[]{cut}, tr.embedding::DOUBLE[]{cut}), tr.vec_id) AS rank FROM te, tr QUALIFY rank <= {k})"""
+    return f"""nn{dims} AS (SELECT te.vec_id, tr.vec_id AS neighbour, tr.label AS l, te.label AS t, list_distance((te.embedding::DOUBLE[]){cut}, (tr.embedding::DOUBLE[]){cut}) AS distance,
+      row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance((te.embedding::DOUBLE[]){cut}, (tr.embedding::DOUBLE[]){cut}), tr.vec_id) AS rank FROM te, tr QUALIFY rank <= {k})"""
 
 
 def vote_sql(source, k):

@@ -152,7 +152,7 @@ def _(t):
     return out.withColumn("t_stat", F.round("t_stat", 6))
 
 
-PRICES = "p AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 6) AS v FROM orders GROUP BY 1, 2)"
+PRICES = "p AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS v FROM orders GROUP BY 1, 2)"
 PAIR = f"""{PRICES}, w AS (SELECT day, max(v) FILTER (o_orderpriority = '1-URGENT') AS a, max(v) FILTER (o_orderpriority = '5-LOW') AS b FROM p GROUP BY 1),
   x AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL), f AS (SELECT regr_slope(a, b) AS s, regr_intercept(a, b) AS i FROM x),
   res AS (SELECT day, a, b, s, i, a - (i + s * b) AS e FROM x, f)"""
@@ -160,7 +160,7 @@ PAIR = f"""{PRICES}, w AS (SELECT day, max(v) FILTER (o_orderpriority = '1-URGEN
 
 def daily_prices(t):
     return t.orders.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(
-        F.round(F.avg("o_totalprice"), 6).alias("v")
+        F.max("o_totalprice").alias("v")
     )
 
 
@@ -198,8 +198,8 @@ def _(t):
     "TS10_trade_returns",
     f"""WITH {TRADES}, z AS (SELECT operation, open, close, round_even(1e6 / o.a, 0) AS va, round_even(1e6 / o.b, 0) AS vb, o.a AS oa, o.b AS ob, c.a AS ca, c.b AS cb
           FROM trades JOIN x o ON o.day = open JOIN x c ON c.day = close),
-        q AS (SELECT operation, open, close, round(CASE WHEN operation = 'short' THEN va * oa - vb * ob ELSE vb * ob - va * oa END, 2) AS entry,
-          round(CASE WHEN operation = 'short' THEN vb * cb - va * ca ELSE va * ca - vb * cb END, 2) AS exit FROM z)
+        q AS (SELECT operation, open, close, round_even(CASE WHEN operation = 'short' THEN va * oa - vb * ob ELSE vb * ob - va * oa END, 2) AS entry,
+          round_even(CASE WHEN operation = 'short' THEN vb * cb - va * ca ELSE va * ca - vb * cb END, 2) AS exit FROM z)
         SELECT operation, open, close, entry, exit, round((exit - entry) / 2e6, 10) AS ret FROM q""",
 )
 def _(t):
