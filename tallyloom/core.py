@@ -64,20 +64,19 @@ def store_and_reload(df: DataFrame, tag: str, fmt: str = "parquet") -> DataFrame
     return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """NULL-safe equality of the key columns of two aliased frames."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_on_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", nulls: bool = True
+) -> DataFrame:
     """Equi-join in which NULL keys match each other; the left keys are kept.
 
     The join stays hash- or sort-merge-based (`<=>` is an equi-join key), so
-    adaptive skew handling can split a hot left side.
+    adaptive skew handling can split a hot left side. ``nulls=False`` says that
+    keys are never NULL; plain equality can then reuse an existing partitioning.
     """
+    if not nulls:
+        return left.join(right, list(keys), how).select(
+            *left.columns, *([] if how in ("left_semi", "left_anti") else [c for c in right.columns if c not in keys])
+        )
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = functools.reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
@@ -90,7 +89,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = BROADCAST_ROWS)
     return F.broadcast(df) if max_rows <= limit else df
 
 
-def with_group_totals(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+def with_group_totals(df: DataFrame, keys: list[str], *aggs: Column, nulls: bool = True) -> DataFrame:
     """Attach group aggregates to every row without one task per group.
 
     The aggregate is combined map-side to one row per group and joined back;
@@ -98,7 +97,7 @@ def with_group_totals(df: DataFrame, keys: list[str], *aggs: Column) -> DataFram
     """
     if not keys:
         return with_table_scalars(df, df.agg(*aggs))
-    return join_on_keys(df, df.groupBy(*keys).agg(*aggs), keys)
+    return join_on_keys(df, df.groupBy(*keys).agg(*aggs), keys, nulls=nulls)
 
 
 def with_table_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.core import bounded_broadcast, hot_rows, join_on_keys
+from tallyloom.core import hot_rows, with_group_totals
 
 
 def per_group(
-    df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], dict], schema: str, limit: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    fn: Callable[[pd.DataFrame], dict],
+    schema: str,
+    merge: Mapping[str, Column],
+    chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Call ``fn(group) -> dict`` per key; one result row per group.
+    """Call a Python function per group, in chunks; one result row per group.
 
-    For functions without a closed SQL form. An error in one group gives NULL
-    results and its text in ``error``; other groups are not affected. Groups
-    larger than the hot limit are refused by the same way (they never reach a
-    task), because a Python function needs its whole group in memory: use the
-    SQL operators of this package for those.
+    For functions without a built-in form. ``fn`` sees at most about
+    ``chunk_rows`` rows of a key and gives partial results, which the ``merge``
+    aggregates combine: no task ever needs a whole large group. An error in a
+    chunk gives NULL results and its text in ``error`` for that key; other
+    keys are not affected.
     """
     keys = list(keys)
-    limit = limit or hot_rows(df.sparkSession)
+    limit = chunk_rows or hot_rows(df.sparkSession)
     fields = T.StructType.fromDDL(schema).fieldNames()
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {schema}, error string"
@@ -33,20 +38,17 @@ def per_group(
     def safe(key, pdf):
         row = dict(zip(keys, key))
         try:
-            row.update(fn(pdf), error=None)
+            row.update(fn(pdf.drop(columns=["__chunk"])), error=None)
         except Exception as e:
             row.update({f: None for f in fields}, error=f"{type(e).__name__}: {e}")
         return pd.DataFrame([row], columns=[*keys, *fields, "error"])
 
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
-    n_large = sizes.count()
-    if not n_large:
-        return df.groupBy(*keys).applyInPandas(safe, out)
-    large = sizes.select(*keys)
-    small = join_on_keys(df, bounded_broadcast(large, n_large), keys, "left_anti")
-    done = small.groupBy(*keys).applyInPandas(safe, out)
-    refused = large.withColumn("error", F.lit(f"group has more than {limit} rows"))
-    return done.unionByName(refused, allowMissingColumns=True)
+    rows = with_group_totals(df, keys, F.ceil(F.count("*") / limit).cast("long").alias("__chunks"))
+    chunk = F.pmod(F.xxhash64(*df.columns), F.col("__chunks"))
+    parts = rows.withColumn("__chunk", chunk).drop("__chunks").groupBy(*keys, "__chunk").applyInPandas(safe, out)
+    failed = F.max("error")
+    merged = parts.groupBy(*keys).agg(*[m.alias(c) for c, m in merge.items()], failed.alias("error"))
+    return merged.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in merge})
 
 
 def compose(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:

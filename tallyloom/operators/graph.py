@@ -123,11 +123,15 @@ def largest_component(edges: DataFrame) -> DataFrame:
 # --- paths -------------------------------------------------------------------------
 
 
-def path_levels(edges: DataFrame, sources: DataFrame, max_depth: int = 100) -> list[DataFrame]:
+def path_levels(
+    edges: DataFrame, sources: DataFrame, max_depth: int = 1000, directed: bool = False
+) -> list[DataFrame]:
     """Breadth-first levels (source, id, dist, paths) from all given sources.
 
     ``paths`` counts the shortest paths. One list item per level; the state is
-    one row per source and reached node, which is the result itself.
+    one row per source and reached node, which is the result itself. On an
+    undirected graph a neighbour lies at most one level back, so only the last
+    two levels are checked for visited nodes.
     """
     links = edges.select("src", "dst").distinct()
     first = sources.select(
@@ -148,7 +152,8 @@ def path_levels(edges: DataFrame, sources: DataFrame, max_depth: int = 100) -> l
         if step.isEmpty():
             break
         levels.append(step)
-        seen = seen.union(step.select("source", "id"))
+        last = step.select("source", "id")
+        seen = seen.union(last) if directed else levels[-2].select("source", "id").union(last)
     return levels
 
 
@@ -156,7 +161,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, directed:
     """Path lengths from the sources (default: all nodes) to reached nodes."""
     links = edges if directed else both_directions(edges)
     links = cut_lineage(links.select("src", "dst"))
-    levels = path_levels(links, node_table(links) if sources is None else sources)
+    levels = path_levels(links, node_table(links) if sources is None else sources, directed=directed)
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)

@@ -49,12 +49,19 @@ def centroid_distances(df: DataFrame, label: str, array: str) -> DataFrame:
     return pairs.groupBy("label_a", "label_b").agg(F.sqrt(F.avg(diff * diff)).alias("rms"))
 
 
-def nearest_centroid(df: DataFrame, label: str, array: str, test: DataFrame) -> DataFrame:
+def nearest_centroid(
+    df: DataFrame, label: str, array: str, test: DataFrame, key: str, few: int = 1000
+) -> DataFrame:
     """Label of the closest centroid; ties go to the smallest label.
 
-    The centroid table has one row per label and travels as one array value.
+    The centroid table has one row per label. Up to ``few`` labels travel as
+    one array value; more labels are found by the exact neighbour search.
     """
-    cents = mean_vectors(df, [label], array)
+    cents = cut_lineage(mean_vectors(df, [label], array))
+    if cents.count() > few:
+        marks = cents.select(F.col(label).alias(key), F.col("centroid").alias(array))
+        near = nearest_neighbours(marks, test.select(key, array), key, array, 1)
+        return test.join(near.select(key, F.col("neighbour").alias("predicted")), key)
     packed = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "centroid"))).alias("__c"))
     rows = with_table_scalars(test, packed)
     scored = F.transform(
@@ -116,6 +123,9 @@ def nearest_neighbours(
     salted = with_table_scalars(tr, cells).withColumn(
         "__salts", F.get(F.filter("__cells", lambda c: c["__cell"] == F.col("__cell")), 0)["salts"]
     ).withColumn("__salt", F.pmod(F.xxhash64("__tk"), F.col("__salts")).cast("int")).drop("__cells", "__salts")
+    # distances cost far more than their bytes, so keep the full parallelism
+    n = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    visits, salted = (x.repartition(n, "__cell", "__salt") for x in (visits, salted))
     pairs = visits.join(salted, ["__cell", "__salt"]).filter(F.abs(F.col("__qp") - F.col("__r")) <= F.col("__ub"))
     scored = pairs.select(
         F.col("__qk").alias(key), F.col("__tk").alias("neighbour"),

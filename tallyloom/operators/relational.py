@@ -93,29 +93,39 @@ def pair_counts(
     """How many groups contain both members of a pair (``a < b``).
 
     Members that occur in fewer than ``min_count`` groups cannot be part of a
-    result and are removed before the join. A large group is salted: its left
-    members are spread over several salts and its right members are copied to
-    each, so no task holds the group. Pair rows are combined map-side right
-    after the join; a raw pair is never shuffled.
+    result and are removed before the join. Groups with more than
+    ``split_rows`` members are salted: their left members are spread over
+    several salts and their right members are copied to each, so no task holds
+    such a group. Pair rows are combined map-side right after the join; a raw
+    pair is never shuffled.
     """
-    rows = df.select(group, member).na.drop().distinct()
+    rows = df.select(group, member).na.drop()
+    split = split_rows or max(2, int(hot_rows(df.sparkSession) ** 0.5))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("__size"))
+    any_large = not sizes.filter(F.col("__size") > split).isEmpty()
+    rows = rows.distinct()
     if min_count > 1:
         often = rows.groupBy(member).agg(F.count("*").alias("__deg")).filter(F.col("__deg") >= min_count)
         rows = rows.join(often.select(member), member, "left_semi")
-    split = split_rows or max(1, int(hot_rows(df.sparkSession) ** 0.5))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__size")).filter("__size > 1")
-    salts = F.ceil(F.col("__size") / split).cast("int")
-    sized = rows.join(sizes, group).withColumn("__salts", salts)
-    left = sized.select(
-        group, F.col(member).alias("a"), F.pmod(F.xxhash64(member), F.col("__salts")).alias("__salt")
-    )
-    right = sized.select(
-        group,
-        F.col(member).alias("b"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts").cast("long") - 1)).alias("__salt"),
-    )
-    pairs = left.join(right, [group, "__salt"]).filter("a < b")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    if any_large:
+        large = sizes.filter(F.col("__size") > split).select(
+            group, F.ceil(F.col("__size") / split).cast("long").alias("__salts")
+        )
+        rows = rows.join(large, group, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+        left = rows.select(
+            group, F.col(member).alias("a"), F.pmod(F.xxhash64(member), F.col("__salts")).alias("__salt")
+        )
+        right = rows.select(
+            group,
+            F.col(member).alias("b"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)).alias("__salt"),
+        )
+        pairs = left.join(right, [group, "__salt"])
+    else:
+        pairs = rows.select(group, F.col(member).alias("a")).join(
+            rows.select(group, F.col(member).alias("b")), group
+        )
+    counted = pairs.filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
     return counted.filter(F.col("n") >= min_count) if min_count > 1 else counted
 
 

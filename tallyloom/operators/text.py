@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA, Normalizer
+from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,13 +59,19 @@ def class_terms(
 
 
 def tf_idf(counts: DataFrame, doc: str, term: str = "word", n: str = "n") -> DataFrame:
-    """tf = n / total of the document, idf = ln(documents / documents with term)."""
-    n_docs = counts.select(F.count_distinct(doc)).scalar()
-    with_total = with_group_totals(counts, [doc], F.sum(n).alias("__t"))
-    both = with_group_totals(with_total, [term], F.count_distinct(doc).alias("__df"))
+    """tf = n / total of the document, idf = ln(documents / documents with term).
+
+    ``counts`` has one row per document and term. Document totals and document
+    frequencies are aggregates of it, joined back so that neither a long
+    document nor a common term is gathered in one task.
+    """
+    totals = counts.groupBy(doc).agg(F.sum(n).alias("__t"))
+    frequency = counts.groupBy(term).agg(F.count("*").alias("__df"))
+    n_docs = totals.agg(F.count("*")).scalar()
+    both = counts.join(totals, doc).join(frequency, term)
     return both.withColumns(
         {"tf": F.col(n) / F.col("__t"), "idf": F.ln(n_docs / F.col("__df"))}
-    ).withColumn("tf_idf", F.col("tf") * F.col("idf")).drop("__t", "__df")
+    ).withColumn("tf_idf", F.col("tf") * F.col("idf")).select(*counts.columns, "tf", "idf", "tf_idf")
 
 
 def top_terms(weighted: DataFrame, doc: str, k: int, min_count: int = 1, term: str = "word") -> DataFrame:
@@ -150,6 +156,18 @@ def feature_rows(
     return feats.join(support, "feature").select(key, "feature", "n", "support")
 
 
+def count_vectors(df: DataFrame, text: str, vocabulary: DataFrame, name: str = "features") -> DataFrame:
+    """Sparse term-count vectors over a vocabulary (term_id, word), no shuffle.
+
+    The vocabulary holds only terms above a minimum count; like the
+    coefficients of a model over it, it has to fit the driver.
+    """
+    words = [r["word"] for r in vocabulary.orderBy("term_id").select("word").collect()]
+    model = CountVectorizerModel.from_vocabulary(words, inputCol="__w", outputCol=name)
+    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+    return model.transform(df.withColumn("__w", found)).drop("__w", text)
+
+
 # --- similarity of classes ----------------------------------------------------------
 
 

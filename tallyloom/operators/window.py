@@ -208,17 +208,21 @@ def chain_arrangements(df: DataFrame, keys: Sequence[str], value: str, chunk_row
             .otherwise(F.concat(zero, zero, zero))
         )
 
-    products = chunks.select(*keys, "chunk", F.aggregate("steps", unit, step).alias("m"))
-    lists = products.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
-
-    def apply(state, s):
-        dot = lambda r: sum(
-            (F.get(s["m"], 3 * r + c) * F.get(state, c) for c in (1, 2)), F.get(s["m"], 3 * r) * F.get(state, 0)
+    def times(late, early):
+        cell = lambda r, c: sum(
+            (F.get(late, 3 * r + k) * F.get(early, 3 * k + c) for k in (1, 2)), F.get(late, 3 * r) * F.get(early, c)
         )
-        return F.array(dot(0), dot(1), dot(2))
+        return F.array(*[cell(r, c) for r in range(3) for c in range(3)])
 
-    final = F.aggregate("ms", F.array(d(1), d(0), d(0)), apply)
-    return lists.select(*keys, F.get(final, 0).alias("arrangements"))
+    products = chunks.select(*keys, "chunk", F.aggregate("steps", unit, step).alias("m"))
+    # fold chunk_rows products at a time: three levels cover chunk_rows ** 3 rows
+    for _ in range(2):
+        up = F.floor(F.col("chunk") / chunk_rows).cast("long").alias("__up")
+        lists = products.groupBy(*keys, up).agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
+        folded = F.aggregate("ms", unit, lambda acc, s: times(s["m"], acc))
+        products = lists.select(*keys, F.col("__up").alias("chunk"), folded.alias("m"))
+    # the chain starts with one way at 0, so the first cell is the answer
+    return products.select(*keys, F.get("m", 0).alias("arrangements"))
 
 
 def event_flags(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyloom.functions import columns as fc
@@ -162,7 +163,7 @@ def _(t):
 @query(
     "X10_array_operations",
     """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS BIGINT) AS top_index, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: z[1]::DOUBLE - z[2]::DOUBLE)), 6) AS half_difference,
-          round(embedding[1 + ('0x' || substr(md5('5|' || vec_id), 1, 8))::UBIGINT % 64]::DOUBLE, 8) AS drawn FROM embeddings""",
+          round(embedding[(1 + ('0x' || substr(md5('5|' || vec_id), 1, 8))::UBIGINT % 64)::BIGINT]::DOUBLE, 8) AS drawn FROM embeddings""",
 )
 def _(t):
     e = F.col("embedding").cast("array<double>")
@@ -243,15 +244,17 @@ def _(t):
 
 @query(
     "F02_function_per_group",
-    "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(median(value), 6) AS median FROM events GROUP BY 1, 2",
+    "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(ln(value)) / count(*), 6) AS mean_log, max(value) AS best FROM events GROUP BY 1, 2",
 )
 def _(t):
     rows = t.events.select("event_type", F.to_date("ts").alias("day"), "value")
 
-    def middle(pdf):
-        return {"n": len(pdf), "median": round(float(pdf["value"].median()), 6)}
+    def logs(pdf):
+        return {"n": len(pdf), "s": float(np.log(pdf["value"]).sum()), "best": float(pdf["value"].max())}
 
-    return ap.per_group(rows, ["event_type", "day"], middle, "n long, median double").drop("error")
+    merge = {"n": F.sum("n"), "s": F.sum("s"), "best": F.max("best")}
+    out = ap.per_group(rows, ["event_type", "day"], logs, "n long, s double, best double", merge)
+    return out.select("event_type", "day", "n", F.round(F.col("s") / F.col("n"), 6).alias("mean_log"), "best")
 
 
 @query(
@@ -271,10 +274,10 @@ def _(t):
     def inverse(pdf):
         if (pdf["p_size"] >= 50).any():
             raise ZeroDivisionError("size reaches the limit")
-        return {"inverse": round(float((1.0 / (50 - pdf["p_size"])).sum()), 6)}
+        return {"inverse": float((1.0 / (50 - pdf["p_size"])).sum())}
 
-    out = ap.per_group(t.part.select("p_brand", "p_size"), ["p_brand"], inverse, "inverse double")
-    return out.select("p_brand", "inverse", F.col("error").isNotNull().alias("failed"))
+    out = ap.per_group(t.part.select("p_brand", "p_size"), ["p_brand"], inverse, "inverse double", {"inverse": F.sum("inverse")})
+    return out.select("p_brand", F.round("inverse", 6).alias("inverse"), F.col("error").isNotNull().alias("failed"))
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tallyloom.core import cut_lineage
@@ -39,33 +38,24 @@ def _(t):
     return ml.polynomial_errors(rows, "l_quantity", "l_extendedprice", [1, 2, 3, 5, 10], "is_train")
 
 
-def rated_terms(t, min_total=400):
-    words = tx.tokens(t.documents.select("doc_id", "text"), "text").join(t.labels.select("doc_id"), "doc_id", "left_semi")
-    return cut_lineage(tx.document_terms(words, "doc_id", min_total))
-
-
-def rated_vectors(t, counts):
+def rated_vectors(t, min_total=400):
+    """Sparse word counts and the quality label of each labelled document."""
+    labels = t.labels.select("doc_id", F.col("quality").cast("double").alias("quality"))
+    rated = t.documents.select("doc_id", "text").join(labels, "doc_id")
+    counts = tx.document_terms(tx.tokens(rated.select("doc_id", "text"), "text"), "doc_id", min_total)
     vocabulary = cut_lineage(tx.term_ids(counts))
-    size = vocabulary.agg(F.max("term_id")).scalar() + 1
-    sparse = tx.sparse_rows(counts, "doc_id").withColumn("size", size)
-    dense = F.transform(
-        F.sequence(F.lit(0), F.col("size") - 1),
-        lambda i: F.coalesce(F.try_element_at(F.map_from_arrays("ids", "counts"), i), F.lit(0.0)),
-    )
-    rows = sparse.select("doc_id", array_to_vector(dense).alias("features"))
-    rated = rows.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id")
-    return cut_lineage(rated), vocabulary
+    return cut_lineage(tx.count_vectors(rated, "text", vocabulary)), vocabulary
 
 
 @query("M15_lasso_path")
 def _(t):
-    rows, _ = rated_vectors(t, rated_terms(t))
+    rows, _ = rated_vectors(t)
     return ml.lasso_path(rows, "doc_id", "features", "quality", [0.003, 0.01, 0.03, 0.1], max_iter=15)
 
 
 @query("M15_lasso_terms")
 def _(t):
-    rows, vocabulary = rated_vectors(t, rated_terms(t))
+    rows, vocabulary = rated_vectors(t)
     return ml.lasso_terms(rows, "features", "quality", 0.02, vocabulary, max_iter=20)
 
 
@@ -99,7 +89,7 @@ def _(t):
 )
 def _(t):
     train, test = split_vectors(t)
-    return ml.nearest_centroid(train, "label", "embedding", test).select("vec_id", "predicted")
+    return ml.nearest_centroid(train, "label", "embedding", test, "vec_id").select("vec_id", "predicted")
 
 
 @query(

@@ -53,7 +53,7 @@ def _(t):
     frames = sb.windowed_totals(
         stream, "ts", "3 minutes", "1 hour", ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 4)
     )
-    out = sb.run_to_table(frames, "complete", "frames")
+    out = sb.run_to_table(frames, "frames", keys=["bucket", "event_type"])
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
@@ -82,7 +82,7 @@ def _(t):
         ev = sb.stream_table(t.spark, t.dir, "events", "ts").filter(F.col("event_type") == kind)
         parts.append(ev.select("user_id", F.date_trunc("hour", "ts").alias("at"), F.col("event_id").alias(name)))
     joined = sb.stream_aligned(parts[0], parts[1], ["user_id"], "at", "-2 hours", "3 hours")
-    out = sb.run_to_table(joined, "append", "aligned")
+    out = sb.run_to_table(joined, "aligned")
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 

@@ -1,8 +1,8 @@
 """Streaming forms of the time-bucket operators.
 
-They share their expressions with the batch forms. Completed buckets leave in
-append mode once the watermark passes them; complete mode keeps the (bounded)
-bucket table up to date and equals the batch result.
+They share their expressions with the batch forms. Completed buckets can leave
+in append mode once the watermark passes them; update mode writes the buckets
+that changed and equals the batch result at the end of the input.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.core import scratch_path
+from tallyloom.operators.reshape import first_per_key
 
 
 def stream_table(
@@ -52,20 +53,25 @@ def stream_aligned(
     return left.withWatermark(time, late).join(moved.withWatermark(time, late), [*keys, time])
 
 
-def run_to_table(stream: DataFrame, mode: str, tag: str) -> DataFrame:
+def run_to_table(stream: DataFrame, tag: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Process all available input and give the sink table.
 
-    Append and update sinks are parquet folders; complete mode overwrites the
-    small result table with each batch.
+    Without keys, rows are final and appended once. With keys, each
+    micro-batch writes only the buckets it changed, in a folder of its own
+    (written again after a retry); the newest version of a bucket counts.
     """
     spark = stream.sparkSession
     out, state = scratch_path(spark, f"{tag}-out"), scratch_path(spark, f"{tag}-state")
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "complete":
-        query = writer.outputMode("complete").foreachBatch(
-            lambda df, _: df.write.mode("overwrite").parquet(out)
-        ).start()
-    else:
-        query = writer.outputMode(mode).format("parquet").option("path", out).start()
+    if keys is None:
+        query = writer.outputMode("append").format("parquet").option("path", out).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = writer.outputMode("update").foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    versions = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return first_per_key(versions, keys, [F.desc("batch")]).drop("batch")
