@@ -7,7 +7,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Session setting: a group with more rows than this never goes to one task.
@@ -100,6 +100,16 @@ def with_group_totals(df: DataFrame, keys: list[str], *aggs: Column, nulls: bool
     return join_on_keys(df, df.groupBy(*keys).agg(*aggs), keys, nulls=nulls)
 
 
+def with_bounded_totals(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
+    """Same as :func:`with_group_totals` for groups of a limited size.
+
+    For groups that the data model bounds (for example by a calendar), an
+    analytic window reads the input once and needs no join.
+    """
+    w = Window.partitionBy(*keys)
+    return df.withColumns({name: a.over(w) for name, a in aggs.items()})
+
+
 def with_table_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row table as scalar subqueries."""
     packed = one_row.select(F.struct(*one_row.columns).alias("__s"))

@@ -22,7 +22,9 @@ def six_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         keys,
         value,
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        [F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")],
+        low="min",
+        mean="mean",
+        high="max",
     )
 
 

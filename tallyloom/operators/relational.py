@@ -147,8 +147,8 @@ def lookup_first(
     df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order: Sequence[str]
 ) -> DataFrame:
     """Value of the first table row with the key; NULL without a match."""
-    pick = F.min_by(F.struct(value), F.struct(*order))[value].alias(value)
-    firsts = table.groupBy(F.col(table_key).alias(key)).agg(pick)
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    firsts = table.groupBy(F.col(table_key).alias(key)).agg(F.min_by(value, by).alias(value))
     return df.join(firsts, key, "left")
 
 
@@ -253,13 +253,22 @@ def top_with_ties(df: DataFrame, n: int, by: str) -> DataFrame:
     return df.filter(F.col(by) >= best.agg(F.min(by)).scalar())
 
 
-def top_per_group(
-    df: DataFrame, keys: Sequence[str], by: Sequence[str | Column], n: int, ties: bool = True
-) -> DataFrame:
-    """Best n rows per group; rank limits are applied before the exchange."""
+def top_per_group(df: DataFrame, keys: Sequence[str], by: Sequence[str | Column], n: int) -> DataFrame:
+    """First n rows per group in a total order; limited before the exchange."""
     w = Window.partitionBy(*keys).orderBy(*by)
-    number = F.rank() if ties else F.row_number()
-    return df.withColumn("__r", number.over(w)).filter(F.col("__r") <= n).drop("__r")
+    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
+
+
+def top_per_group_with_ties(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:
+    """Rows per group that are not below the group's n-th largest value.
+
+    The n best rows give a threshold per group, which is joined back: ties of
+    any number never meet in one task.
+    """
+    keys = list(keys)
+    best = top_per_group(df.select(*keys, by).filter(F.col(by).isNotNull()), keys, [F.desc(by)], n)
+    floor = best.groupBy(*keys).agg(F.min(by).alias("__floor"))
+    return join_on_keys(df, floor, keys).filter(F.col(by) >= F.col("__floor")).drop("__floor")
 
 
 def rank_bands(

@@ -2,7 +2,8 @@
 
 The inputs are period tables (for example one row per series and day) whose
 length per series is limited by the calendar, so ordered columns are computed
-with ``bounded=True`` unless the caller says otherwise.
+with ``bounded=True`` unless the caller says otherwise. Operators that use the
+period table more than once store it first, so the raw data is read once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_on_keys, with_group_totals, with_table_scalars
+from tallyloom.core import (
+    cut_lineage,
+    join_on_keys,
+    with_bounded_totals,
+    with_group_totals,
+    with_table_scalars,
+)
 from tallyloom.operators.relational import dense_calendar, role_join
 from tallyloom.operators.sequence import sequence_columns
 from tallyloom.operators.window import crossings, drop_repeats, event_flags, start_stop_intervals
@@ -84,9 +91,7 @@ def change_point(df: DataFrame, keys: Sequence[str], time: str, value: str, marg
     base = base.withColumns({"__t": t, "__y": y, "__tt": t * t, "__ty": t * y, "__yy": y * y})
     parts = ["__t", "__y", "__tt", "__ty", "__yy"]
     run = sequence_columns(base, keys, [time], running={f"{p}_l": p for p in parts}, bounded=True)
-    run = with_group_totals(
-        run, keys, F.count("*").alias("__n"), *[F.sum(p).alias(f"{p}_a") for p in parts]
-    )
+    run = with_bounded_totals(run, keys, __n=F.count("*"), **{f"{p}_a": F.sum(p) for p in parts})
 
     def sse(n, st, sy, stt, sty, syy):
         vt, vy, c = stt - st * st / n, syy - sy * sy / n, sty - st * sy / n
@@ -121,6 +126,7 @@ def pair_residuals(df: DataFrame, series: str, time: str, value: str, a: str, b:
         .agg(side(a).alias("a"), side(b).alias("b"))
         .na.drop()
     )
+    wide = cut_lineage(wide)  # one row per instant, used for the fit and the rows
     fit = wide.agg(F.regr_slope("a", "b").alias("slope"), F.regr_intercept("a", "b").alias("intercept"))
     both = with_table_scalars(wide, fit)
     return both.withColumn("residual", F.col("a") - (F.col("intercept") + F.col("slope") * F.col("b")))
@@ -168,6 +174,7 @@ def impute_gaps(df: DataFrame, keys: Sequence[str], day: str, value: str, donors
     2 * donors candidates per gap.
     """
     keys = list(keys)
+    df = cut_lineage(df)
     cal = dense_calendar(df, keys, day).withColumn("__o", F.when(F.col(value).isNotNull(), 1).otherwise(0))
     cal = sequence_columns(cal, keys, [day], running={"__rank": "__o"}, bounded=True)
     observed = cal.filter("__o = 1").select(
@@ -199,7 +206,7 @@ def trend_weekday_forecast(
     """
     keys = list(keys)
     day0 = F.lit("2000-01-01").cast("date")
-    base = df.withColumn("__t", F.datediff(day, day0).cast("double"))
+    base = cut_lineage(df).withColumn("__t", F.datediff(day, day0).cast("double"))
     train = base.filter(F.col(day) < cutoff)
     fit = train.groupBy(*keys).agg(
         F.regr_slope(value, "__t").alias("__b"), F.regr_intercept(value, "__t").alias("__a")
@@ -229,6 +236,7 @@ def trend_weekday_forecast(
 def decay_half_life(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """Half-life of the exponential decay after the peak; NULL without decay."""
     keys = list(keys)
+    df = cut_lineage(df)
     peak = df.groupBy(*keys).agg(
         F.max_by(F.col(time), F.struct(F.col(value), -F.col(time))).alias("peak_time")
     )
@@ -261,6 +269,12 @@ def track_kinematics(df: DataFrame, track: Sequence[str], time: str, order: Sequ
 def status_matrix(
     df: DataFrame, place: str, day: str, status: str, ordinal: Column, latitude: str
 ) -> DataFrame:
-    """Distinct place x date x status cells with the mean latitude of the place."""
-    lat = with_group_totals(df, [place], F.avg(latitude).alias("mean_latitude"))
-    return lat.select(place, day, status, ordinal.alias("status_code"), "mean_latitude").distinct()
+    """Distinct place x date x status cells with the mean latitude of the place.
+
+    Rows are combined to cells first; the mean comes from the sums of cells.
+    """
+    cells = df.groupBy(place, day, status).agg(
+        F.sum(latitude).alias("__s"), F.count(latitude).alias("__c")
+    )
+    lat = with_group_totals(cells, [place], (F.sum("__s") / F.sum("__c")).alias("mean_latitude"))
+    return lat.select(place, day, status, ordinal.alias("status_code"), "mean_latitude")

@@ -266,7 +266,7 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str], freq_ratio: float
     typed = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = typed.unpivot([], list(columns), "column", "value").filter("value IS NOT NULL")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    top = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], 2, ties=False)
+    top = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], 2)
     lead = top.groupBy("column").agg(F.max("n").alias("n1"), F.min("n").alias("n2"), F.count("*").alias("k"))
     sizes = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.sum("n").alias("n_rows"))
     both = lead.join(sizes, "column")

@@ -77,7 +77,7 @@ def tf_idf(counts: DataFrame, doc: str, term: str = "word", n: str = "n") -> Dat
 def top_terms(weighted: DataFrame, doc: str, k: int, min_count: int = 1, term: str = "word") -> DataFrame:
     """k terms with the highest weight per class, by weight then term."""
     frequent = weighted.filter(F.col("n") >= min_count)
-    best = top_per_group(frequent, [doc], [F.desc("tf_idf"), F.asc(term)], k, ties=False)
+    best = top_per_group(frequent, [doc], [F.desc("tf_idf"), F.asc(term)], k)
     w = Window.partitionBy(doc).orderBy(F.desc("tf_idf"), F.asc(term))
     return best.withColumn("rank", F.row_number().over(w))
 

@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_on_keys, with_group_totals, with_table_scalars
-from tallyloom.operators.relational import top_per_group
+from tallyloom.core import (
+    cut_lineage,
+    join_on_keys,
+    with_bounded_totals,
+    with_group_totals,
+    with_table_scalars,
+)
 from tallyloom.operators.reshape import nest
 from tallyloom.operators.sequence import sequence_columns, sliding_blocks
 
@@ -23,7 +28,8 @@ def differences(
 
 def group_maximum_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows that attain the group maximum, ties kept."""
-    return top_per_group(df.filter(F.col(value).isNotNull()), keys, [F.desc(value)], 1)
+    best = with_group_totals(df, list(keys), F.max(value).alias("__max"))
+    return best.filter(F.col(value) == F.col("__max")).drop("__max")
 
 
 def half_life(
@@ -36,6 +42,7 @@ def half_life(
     """
     keys = list(keys)
     per = keys + ([key_time] if key_time else [])
+    df = cut_lineage(df)  # a period table, used twice
     peaks = df.groupBy(*per).agg(
         F.max(value).alias("peak"),
         F.max_by(F.col(time), F.struct(F.col(value), -F.col(time).cast("long"))).alias("peak_time"),
@@ -231,5 +238,9 @@ def event_flags(
     """Elapsed index T, after-event flag D and time since the event P."""
     s = sequence_columns(df, keys, [time], position="T", **kw)
     s = s.withColumn("D", F.when(F.col(time) >= event_date, 1).otherwise(0))
-    before = with_group_totals(s, list(keys), F.count_if(F.col("D") == 0).alias("__n0"))
+    n_before = F.count_if(F.col("D") == 0)
+    if kw.get("bounded"):
+        before = with_bounded_totals(s, list(keys), __n0=n_before)
+    else:
+        before = with_group_totals(s, list(keys), n_before.alias("__n0"))
     return before.withColumn("P", F.when(F.col("D") == 1, F.col("T") - F.col("__n0")).otherwise(0)).drop("__n0")

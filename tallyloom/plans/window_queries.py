@@ -99,7 +99,7 @@ def _(t):
 )
 def _(t):
     counts = t.orders.groupBy("o_orderpriority", "o_custkey").agg(F.count("*").alias("n"))
-    return rel.top_per_group(counts, ["o_orderpriority"], [F.desc("n")], 5)
+    return rel.top_per_group_with_ties(counts, ["o_orderpriority"], "n", 5)
 
 
 @query(
@@ -108,7 +108,7 @@ def _(t):
 )
 def _(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
-    out = rel.top_per_group(rows, ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 3, ties=False)
+    out = rel.top_per_group(rows, ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 3)
     return out.drop("o_orderdate")
 
 
