@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -236,7 +235,3 @@ def add_group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> Data
 
 def count_where(conditions: dict[str, Column]) -> list[Column]:
     return [F.count_if(c).alias(k) for k, c in conditions.items()]
-
-
-def sum_of(columns: Sequence[Column]) -> Column:
-    return functools.reduce(lambda a, b: a + b, columns)

@@ -224,8 +224,7 @@ def betweenness(
                 "delta", F.coalesce("delta", F.lit(0.0))
             )
             if depth > 1:
-                delta = cut_lineage(delta)
-                node_parts.append(delta.groupBy("id").agg(F.sum("delta").alias("c")))
+                node_parts.append(flow.groupBy("id").agg(F.sum("c").alias("c")))
 
     def total(parts, keys, name):
         out = parts[0]

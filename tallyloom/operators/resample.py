@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import with_group_totals
 from tallyloom.functions.columns import hash_draw
 from tallyloom.operators.sequence import sequence_columns
 
@@ -48,8 +47,3 @@ def simulated_differences(sums: DataFrame, match: str, role: str, home: str) ->
     """Score difference of every simulation of a match."""
     signed = F.when(F.col(role) == home, F.col("points")).otherwise(-F.col("points"))
     return sums.groupBy(match, "sim").agg(F.sum(signed).alias("difference"))
-
-
-def with_entity_range(observed: DataFrame, entity: str, value: str) -> DataFrame:
-    """Least and greatest observed value of the entity on every row."""
-    return with_group_totals(observed, [entity], F.min(value).alias("low"), F.max(value).alias("high"))

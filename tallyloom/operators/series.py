@@ -139,6 +139,22 @@ def cointegration(df: DataFrame, series: str, time: str, value: str, a: str, b:
     return with_table_scalars(unit_root(res, [], [time], "residual"), coefs)
 
 
+def cointegration_of_pairs(
+    df: DataFrame, series: str, time: str, value: str, pairs: DataFrame
+) -> DataFrame:
+    """Engle-Granger test of many pairs at once; ``pairs`` has columns a and b."""
+    rows = cut_lineage(df.select(F.col(series).alias("__s"), time, F.col(value).cast("double").alias("__v")))
+    side = lambda name: rows.select(F.col("__s").alias(name), time, F.col("__v").alias(f"v_{name}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", time]).na.drop()
+    fit = both.groupBy("a", "b").agg(
+        F.regr_slope("v_a", "v_b").alias("slope"), F.regr_intercept("v_a", "v_b").alias("intercept")
+    )
+    res = join_on_keys(both, fit, ["a", "b"]).withColumn(
+        "residual", F.col("v_a") - (F.col("intercept") + F.col("slope") * F.col("v_b"))
+    )
+    return join_on_keys(unit_root(res, ["a", "b"], [time], "residual"), fit, ["a", "b"])
+
+
 def pair_trades(residuals: DataFrame, time: str, k: float = 2.0) -> DataFrame:
     """Long and short trades of a pair: open at k sd, close at the mean."""
     band = residuals.agg((k * F.stddev_samp("residual")).alias("band"))

@@ -128,13 +128,13 @@ def _(t):
 
 
 EIGEN = """lk AS (SELECT src, dst FROM k UNION ALL SELECT id, id FROM nd),
-  pw(i, id, x) AS (SELECT 0, id, 1::DOUBLE FROM nd UNION ALL SELECT any_value(i) + 1, lk.dst, sum(x) FROM pw JOIN lk ON lk.src = pw.id WHERE i < 40 GROUP BY lk.dst),
-  eg AS (SELECT id, x / (SELECT max(x) FROM pw WHERE i = 40) AS x FROM pw WHERE i = 40)"""
+  pw(i, id, x) AS (SELECT 0, id, 1::DOUBLE FROM nd UNION ALL SELECT any_value(i) + 1, lk.dst, sum(x) FROM pw JOIN lk ON lk.src = pw.id WHERE i < 24 GROUP BY lk.dst),
+  eg AS (SELECT id, x / (SELECT max(x) FROM pw WHERE i = 24) AS x FROM pw WHERE i = 24)"""
 
 
 @query("G09_eigenvector", f"WITH RECURSIVE {E15}, {EIGEN} SELECT id, round(x, 8) AS eigen FROM eg")
 def _(t):
-    return gr.eigenvector(supplier_edges(t), rounds=40).withColumn("eigen", F.round("eigen", 8))
+    return gr.eigenvector(supplier_edges(t), rounds=24).withColumn("eigen", F.round("eigen", 8))
 
 
 @query(
@@ -157,7 +157,7 @@ def _(t):
 def _(t):
     e = supplier_edges(t)
     nodes, _ = gr.betweenness(e)
-    scores = nodes.join(gr.eigenvector(e, rounds=40), "id").select(
+    scores = nodes.join(gr.eigenvector(e, rounds=24), "id").select(
         "id", F.round("betweenness", 6).alias("betweenness"), F.round("eigen", 8).alias("eigen")
     )
     return gr.role_labels(cut_lineage(scores), "betweenness", "eigen")

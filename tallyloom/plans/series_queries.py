@@ -176,6 +176,22 @@ def _(t):
     )
 
 
+PAIRS = [("1-URGENT", "5-LOW"), ("1-URGENT", "2-HIGH"), ("2-HIGH", "3-MEDIUM"), ("3-MEDIUM", "5-LOW")]
+
+
+@query(
+    "TS08_cointegration_pairs",
+    f"""WITH {PRICES}, k(a, b) AS (VALUES {', '.join(str(p) for p in PAIRS)}), x AS (SELECT k.a, k.b, p.day, p.v AS va, q.v AS vb FROM k JOIN p ON p.o_orderpriority = a JOIN p q ON q.o_orderpriority = b AND q.day = p.day),
+        f AS (SELECT a, b, regr_slope(va, vb) AS s, regr_intercept(va, vb) AS i FROM x GROUP BY 1, 2), res AS (SELECT a, b, day, va - (i + s * vb) AS e FROM x JOIN f USING (a, b)),
+        l AS (SELECT a, b, e, lag(e) OVER (PARTITION BY a, b ORDER BY day) AS q FROM res), r AS (SELECT a, b, corr(e - q, q) AS r, count(q) AS n FROM l WHERE q IS NOT NULL GROUP BY 1, 2)
+        SELECT a, b, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t_stat, round(s, 8) AS slope, round(i, 4) AS intercept FROM r JOIN f USING (a, b)""",
+)
+def _(t):
+    pairs = t.spark.createDataFrame(PAIRS, "a string, b string")
+    out = ts.cointegration_of_pairs(daily_prices(t), "o_orderpriority", "day", "v", pairs)
+    return out.withColumns({"t_stat": F.round("t_stat", 6), "slope": F.round("slope", 8), "intercept": F.round("intercept", 4)})
+
+
 TRADES = f"""{PAIR}, g AS (SELECT 1.5 * stddev_samp(e) AS band FROM res), l AS (SELECT day, e, lag(e) OVER (ORDER BY day) AS q, band FROM res, g),
   ops AS (SELECT day, 'short' AS side, CASE WHEN q < band AND e >= band THEN 'short_start' WHEN q > 0 AND e <= 0 THEN 'short_stop' END AS op FROM l
     UNION ALL SELECT day, 'long', CASE WHEN q > -band AND e <= -band THEN 'long_start' WHEN q < 0 AND e >= 0 THEN 'long_stop' END FROM l),
