@@ -58,7 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def store_and_reload(df: DataFrame, tag: str, fmt: str = "parquet") -> DataFrame:
-    """Write an intermediate table once and go on from the stored copy."""
+    """Write an intermediate table once and go on from the stored copy.
+
+    For results of a long computation that several branches use: optimised
+    apart, the branches would each repeat it. The copy is columnar, so every
+    branch reads just its columns.
+    """
     path = scratch_path(df.sparkSession, tag)
     df.write.format(fmt).save(path)
     return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
@@ -84,6 +89,16 @@ def join_on_keys(
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on a freshly read table.
+
+    Files with few splits would leave cores idle. Tables with at least one
+    split per core, as any large table has, are returned as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the caller's proven row bound is small enough."""
     return F.broadcast(df) if max_rows <= limit else df

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_on_keys, with_group_totals, with_table_scalars
+from tallyloom.core import cut_lineage, join_on_keys, store_and_reload, with_group_totals, with_table_scalars
 from tallyloom.functions.columns import centre_distance
 from tallyloom.operators.quantiles import exact_quantiles
 
@@ -38,7 +38,7 @@ def distinct_per_group(df: DataFrame, keys: Sequence[str], value: str, name: str
 
 def held_by_all(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
     """Relational division: values that every member of the group has."""
-    facts = df.select(group, member, value).na.drop().distinct()
+    facts = store_and_reload(df.select(group, member, value).na.drop().distinct(), "facts")
     members = facts.select(group, member).distinct().groupBy(group).agg(F.count("*").alias("n_members"))
     holders = facts.groupBy(group, value).agg(F.count("*").alias("n_holders"))
     full = holders.join(members, group).filter("n_holders = n_members")
@@ -70,6 +70,7 @@ def confusion_counts(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def confusion_summary(counts: DataFrame, truth: str, guess: str) -> DataFrame:
     """Accuracy, kappa and no-information rate from confusion counts."""
+    counts = cut_lineage(counts)
     rows = counts.groupBy(truth).agg(F.sum("n").alias("r")).withColumnRenamed(truth, "__c")
     cols = counts.groupBy(guess).agg(F.sum("n").alias("c")).withColumnRenamed(guess, "__c")
     margins = rows.join(cols, "__c", "full").agg(
@@ -93,7 +94,7 @@ def confusion_summary(counts: DataFrame, truth: str, guess: str) -> DataFrame:
 
 def worst_confusions(counts: DataFrame, truth: str, guess: str) -> DataFrame:
     """Most frequent wrong (truth, guess) pairs, ties kept."""
-    errors = counts.filter(F.col(truth) != F.col(guess))
+    errors = cut_lineage(counts.filter(F.col(truth) != F.col(guess)))
     return errors.filter(F.col("n") == errors.agg(F.max("n")).scalar())
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import hot_rows, join_on_keys
+from tallyloom.core import hot_rows, join_on_keys, store_and_reload
 from tallyloom.operators.sequence import sequence_columns
 
 # --- joins --------------------------------------------------------------------
@@ -41,6 +41,7 @@ def sum_pairs(df: DataFrame, value: str, target: int) -> DataFrame:
     for, so heavily repeated values never multiply rows.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    counts = store_and_reload(counts, "value-counts")
     a = counts.select(F.col(value).alias("a"), F.col("n").alias("n_a"))
     b = counts.select(F.col(value).alias("b"), F.col("n").alias("n_b"))
     pairs = a.join(b, F.col("b") == F.lit(target) - F.col("a")).filter("a <= b")
@@ -61,6 +62,7 @@ def sum_triples(df: DataFrame, value: str, target: int) -> DataFrame:
     are counted by combinations.
     """
     counts = df.filter(F.col(value) > 0).groupBy(value).agg(F.count("*").alias("n"))
+    counts = store_and_reload(counts, "value-counts")
     side = lambda v, n: counts.select(F.col(value).cast("long").alias(v), F.col("n").alias(n))
     top = F.floor((F.lit(target) - F.col("a")) / 2).cast("long")
     ab = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.core import join_on_keys
+from tallyloom.core import cut_lineage, join_on_keys, store_and_reload
 from tallyloom.functions.columns import hash_draw
 from tallyloom.operators.quantiles import exact_quantiles
 from tallyloom.operators.sequence import sequence_columns
@@ -141,6 +141,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 def lump_rare(df: DataFrame, column: str, n: int, other: str = "Other", name: str | None = None) -> DataFrame:
     """Keep the n most frequent categories (ties kept), the rest become other."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).filter(F.col(column).isNotNull())
+    counts = store_and_reload(counts, "category-counts")
     floor = counts.select("__n").orderBy(F.desc("__n")).limit(n).agg(F.min("__n").alias("__floor"))
     top = counts.filter(F.col("__n") >= floor.scalar()).select(column, F.lit(True).alias("__top"))
     lumped = F.when(F.col("__top"), F.col(column)).when(F.col(column).isNotNull(), F.lit(other))
@@ -149,7 +150,7 @@ def lump_rare(df: DataFrame, column: str, n: int, other: str = "Other", name: st
 
 def order_by_median(df: DataFrame, category: str, value: str, name: str) -> DataFrame:
     """Category table with its exact median and the rank of that median."""
-    medians = exact_quantiles(df, [category], value, {"median": 0.5})
+    medians = cut_lineage(exact_quantiles(df, [category], value, {"median": 0.5}))
     ranks = sequence_columns(medians.select("median").distinct(), [], ["median"], position=name)
     return join_on_keys(medians, ranks, ["median"])
 

@@ -10,7 +10,7 @@ from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import join_on_keys, with_group_totals, with_table_scalars
+from tallyloom.core import cut_lineage, join_on_keys, store_and_reload, with_group_totals, with_table_scalars
 from tallyloom.functions.columns import grown_bounds
 from tallyloom.functions.tails import f_pvalue, t_critical, t_pvalue
 from tallyloom.operators.quantiles import exact_quantiles
@@ -133,6 +133,7 @@ def anova(df: DataFrame, factor: str, y: str) -> DataFrame:
     g = df.filter(F.col(y).isNotNull()).groupBy(factor).agg(
         F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")
     )
+    g = cut_lineage(g)  # one row per level
     tot = g.agg(
         F.sum("n").alias("N"),
         F.count("*").alias("k"),
@@ -265,7 +266,7 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str], freq_ratio: float
     """
     typed = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = typed.unpivot([], list(columns), "column", "value").filter("value IS NOT NULL")
-    counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = store_and_reload(long.groupBy("column", "value").agg(F.count("*").alias("n")), "value-counts")
     top = top_per_group(counts, ["column"], [F.desc("n"), F.asc("value")], 2)
     lead = top.groupBy("column").agg(F.max("n").alias("n1"), F.min("n").alias("n2"), F.count("*").alias("k"))
     sizes = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.sum("n").alias("n_rows"))

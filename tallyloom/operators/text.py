@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import with_group_totals
+from tallyloom.core import store_and_reload, with_group_totals
 from tallyloom.operators.relational import top_per_group
 from tallyloom.operators.sequence import sequence_columns
 
@@ -63,8 +63,10 @@ def tf_idf(counts: DataFrame, doc: str, term: str = "word", n: str = "n") -> Dat
 
     ``counts`` has one row per document and term. Document totals and document
     frequencies are aggregates of it, joined back so that neither a long
-    document nor a common term is gathered in one task.
+    document nor a common term is gathered in one task. The counts are stored
+    first, so the text behind them is tokenised once.
     """
+    counts = store_and_reload(counts, "term-counts")
     totals = counts.groupBy(doc).agg(F.sum(n).alias("__t"))
     frequency = counts.groupBy(term).agg(F.count("*").alias("__df"))
     n_docs = totals.agg(F.count("*")).scalar()
@@ -84,9 +86,9 @@ def top_terms(weighted: DataFrame, doc: str, k: int, min_count: int = 1, term: s
 
 def shared_terms(counts: DataFrame, class_col: str, a: str, b: str, k: int) -> DataFrame:
     """Terms both classes use, by their smaller share of the class total."""
-    shares = with_group_totals(
-        counts.filter(F.col(class_col).isin(a, b)), [class_col], F.sum("n").alias("__t")
-    ).withColumn("p", F.col("n") / F.col("__t"))
+    two = store_and_reload(counts.filter(F.col(class_col).isin(a, b)), "term-counts")
+    shares = with_group_totals(two, [class_col], F.sum("n").alias("__t"))
+    shares = shares.withColumn("p", F.col("n") / F.col("__t"))
     both = shares.groupBy("word").agg(
         F.max(F.when(F.col(class_col) == a, F.col("p"))).alias("p_a"),
         F.max(F.when(F.col(class_col) == b, F.col("p"))).alias("p_b"),
@@ -114,7 +116,7 @@ def word_ratings(words: DataFrame, rating: str, min_support: int) -> DataFrame:
 
 def document_terms(words: DataFrame, doc: str, min_total: int, term: str = "word") -> DataFrame:
     """Counts per document of the terms with enough occurrences overall."""
-    counts = words.groupBy(doc, term).agg(F.count("*").alias("n"))
+    counts = store_and_reload(words.groupBy(doc, term).agg(F.count("*").alias("n")), "document-terms")
     frequent = counts.groupBy(term).agg(F.sum("n").alias("__t")).filter(F.col("__t") >= min_total)
     return counts.join(frequent.select(term), term, "left_semi").select(doc, term, "n")
 
@@ -151,7 +153,7 @@ def feature_rows(
     feats = long.select(key, F.concat_ws(": ", "type", "value").alias("feature"))
     if words is not None:
         feats = feats.unionByName(words.select(key, F.concat(F.lit("word: "), "word").alias("feature")))
-    feats = feats.groupBy(key, "feature").agg(F.count("*").alias("n"))
+    feats = store_and_reload(feats.groupBy(key, "feature").agg(F.count("*").alias("n")), "features")
     support = feats.groupBy("feature").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
     return feats.join(support, "feature").select(key, "feature", "n", "support")
 
@@ -173,7 +175,8 @@ def count_vectors(df: DataFrame, text: str, vocabulary: DataFrame, name: str = "
 
 def class_shares(counts: DataFrame, class_col: str, min_count: int) -> DataFrame:
     """Share of each term in its class; rare terms are dropped afterwards."""
-    totals = with_group_totals(counts, [class_col], F.sum("n").alias("__t"))
+    stored = store_and_reload(counts, "term-counts")
+    totals = with_group_totals(stored, [class_col], F.sum("n").alias("__t"))
     return totals.filter(F.col("n") >= min_count).select(
         class_col, "word", (F.col("n") / F.col("__t")).alias("p")
     )

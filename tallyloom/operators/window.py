@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.core import (
     cut_lineage,
     join_on_keys,
+    store_and_reload,
     with_bounded_totals,
     with_group_totals,
     with_table_scalars,
@@ -75,7 +76,7 @@ def with_limits(df: DataFrame, value: str, k: float = 2.0) -> DataFrame:
 
 def top_groups(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """All rows of the n groups with the largest total (ties kept)."""
-    totals = df.groupBy(key).agg(F.sum(value).alias("group_total"))
+    totals = store_and_reload(df.groupBy(key).agg(F.sum(value).alias("group_total")), "group-totals")
     best = totals.select("group_total").distinct().orderBy(F.desc("group_total")).limit(n)
     kept = totals.filter(F.col("group_total") >= best.agg(F.min("group_total")).scalar())
     return df.join(kept, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tallyloom.core import spread
 from tallyloom.functions import columns as fc
 from tallyloom.operators import apply as ap
 from tallyloom.operators.reshape import nest
@@ -206,7 +207,7 @@ def _(t):
 
 @query("X13_plain_ascii", "SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def _(t):
-    return t.documents.select("doc_id", fc.strip_accents("text").alias("plain"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", fc.strip_accents("text").alias("plain"))
 
 
 @query(
@@ -262,7 +263,7 @@ def _(t):
     """SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS n FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)""",
 )
 def _(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    lines = spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     return lines.select("doc_id", (F.col("p") + 1).alias("line_no"), F.length("line").alias("n"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage
+from tallyloom.core import cut_lineage, spread, store_and_reload
 from tallyloom.functions.columns import one_hot
 from tallyloom.operators import ml
 from tallyloom.operators import resample as rsm
@@ -41,7 +41,8 @@ def _(t):
 def rated_vectors(t, min_total=400):
     """Sparse word counts and the quality label of each labelled document."""
     labels = t.labels.select("doc_id", F.col("quality").cast("double").alias("quality"))
-    rated = t.documents.select("doc_id", "text").join(labels, "doc_id")
+    rated = spread(t.documents.select("doc_id", "text")).join(labels, "doc_id")
+    rated = store_and_reload(rated, "rated-texts")
     counts = tx.document_terms(tx.tokens(rated.select("doc_id", "text"), "text"), "doc_id", min_total)
     vocabulary = cut_lineage(tx.term_ids(counts))
     return cut_lineage(tx.count_vectors(rated, "text", vocabulary)), vocabulary

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.core import scratch_path, store_and_reload
+from tallyloom.core import scratch_path, spread, store_and_reload
 from tallyloom.functions.columns import hash_normal, hash_uniform
 from tallyloom.operators.reshape import key_value_columns
 from tallyloom.plans.registry import query
@@ -169,7 +169,7 @@ def _(t):
 )
 def _(t):
     return docs.html_fields(
-        t.pages.select("page_id", "html"),
+        spread(t.pages.select("page_id", "html")),
         "html",
         {
             "title": F.nullif(docs.tag_text("html", "title"), F.lit("")),
@@ -186,7 +186,7 @@ def _(t):
     """SELECT link, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1""",
 )
 def _(t):
-    links = t.pages.select(F.explode(docs.tag_attributes("html", "a", "href")).alias("link"))
+    links = spread(t.pages.select("html")).select(F.explode(docs.tag_attributes("html", "a", "href")).alias("link"))
     return links.groupBy("link").agg(F.count("*").alias("n"))
 
 

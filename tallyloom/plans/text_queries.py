@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage
+from tallyloom.core import cut_lineage, spread
 from tallyloom.operators import text as tx
 from tallyloom.plans.registry import query
 
@@ -27,18 +27,22 @@ def stop_words(t):
     return words.distinct()
 
 
+def texts(t, key):
+    return spread(t.documents.select(key, "text"))
+
+
 def source_terms(t):
-    return tx.class_terms(t.documents, "source", ["text"], stop_words(t))
+    return tx.class_terms(texts(t, "source"), "source", ["text"], stop_words(t))
 
 
 def lang_terms(t):
-    words = tx.tokens(t.documents.select("lang", "text"), "text")
+    words = tx.tokens(texts(t, "lang"), "text")
     return words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
 @query("T01_tokens", f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, {WORDS} AS word FROM documents) GROUP BY 1, 2")
 def _(t):
-    words = tx.tokens(t.documents.select("doc_id", "text"), "text")
+    words = tx.tokens(texts(t, "doc_id"), "text")
     return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
@@ -101,7 +105,7 @@ def _(t):
         GROUP BY 1 HAVING count(*) >= 20""",
 )
 def _(t):
-    rated = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id")
+    rated = texts(t, "doc_id").join(t.labels.select("doc_id", "quality"), "doc_id")
     out = tx.word_ratings(tx.tokens(rated, "text"), "quality", 20)
     return out.withColumn("rating", F.round("rating", 8))
 
@@ -112,7 +116,7 @@ DOC_TERMS = f"""dt AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, {
 
 @query("T08_document_terms", f"WITH {DOC_TERMS} SELECT doc_id, word, n FROM dt WHERE word IN (SELECT word FROM v)")
 def _(t):
-    return tx.document_terms(tx.tokens(t.documents.select("doc_id", "text"), "text"), "doc_id", 200)
+    return tx.document_terms(tx.tokens(texts(t, "doc_id"), "text"), "doc_id", 200)
 
 
 @query(
@@ -121,7 +125,7 @@ def _(t):
         SELECT doc_id, list(term_id ORDER BY term_id) AS ids, list(n::DOUBLE ORDER BY term_id) AS counts FROM dt JOIN i USING (word) GROUP BY 1""",
 )
 def _(t):
-    counts = tx.document_terms(tx.tokens(t.documents.select("doc_id", "text"), "text"), "doc_id", 200)
+    counts = tx.document_terms(tx.tokens(texts(t, "doc_id"), "text"), "doc_id", 200)
     return tx.sparse_rows(counts, "doc_id")
 
 
