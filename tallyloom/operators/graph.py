@@ -1,8 +1,9 @@
 """Graph operators as iterated joins.
 
-Every round is checkpointed in the shared folder, which cuts the lineage and
-survives the loss of executors. Neighbour lists are never collected: rounds
-use joins and aggregates that combine map-side, so hubs stay harmless.
+Every round is written to the shared folder, which cuts the lineage and
+survives the loss of executors; the stored table also tells Spark its size for
+the next join. Neighbour lists are never collected: rounds use joins and
+aggregates that combine map-side, so hubs stay harmless.
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage, with_table_scalars
+from tallyloom.core import store_and_reload, with_table_scalars
 from tallyloom.operators.aggregate import most_frequent
 
+def keep(df: DataFrame) -> DataFrame:
+    """Store the result of a round and go on from the stored table."""
+    return store_and_reload(df, "graph")
+
+
 # --- tables ---------------------------------------------------------------------
 
 
@@ -78,7 +84,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     join on the node.
     """
     nodes = node_table(edges)
-    pairs = cut_lineage(
+    pairs = keep(
         edges.filter("src <> dst").select(
             F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
         ).distinct()
@@ -98,7 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u <> v").union(low.select("u", F.col("m"))).distinct()
-        pairs = cut_lineage(small)
+        pairs = keep(small)
         new_mark = fingerprint(pairs)
         if new_mark == mark:
             break
@@ -115,7 +121,7 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges inside the component with most nodes (ties: smallest label)."""
-    labels = cut_lineage(components(edges))
+    labels = keep(components(edges))
     best = most_frequent(labels, "component").select("component")
     return induced_subgraph(edges, labels.join(best, "component", "left_semi"))
 
@@ -137,7 +143,7 @@ def path_levels(
     first = sources.select(
         F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")
     ).distinct()
-    levels = [cut_lineage(first)]
+    levels = [keep(first)]
     seen = levels[0].select("source", "id")
     for depth in range(1, max_depth + 1):
         step = (
@@ -148,7 +154,7 @@ def path_levels(
             .join(seen, ["source", "id"], "left_anti")
             .select("source", "id", F.lit(depth).alias("dist"), "paths")
         )
-        step = cut_lineage(step)
+        step = keep(step)
         if step.isEmpty():
             break
         levels.append(step)
@@ -160,7 +166,7 @@ def path_levels(
 def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, directed: bool = False) -> DataFrame:
     """Path lengths from the sources (default: all nodes) to reached nodes."""
     links = edges if directed else both_directions(edges)
-    links = cut_lineage(links.select("src", "dst"))
+    links = keep(links.select("src", "dst"))
     levels = path_levels(links, node_table(links) if sources is None else sources, directed=directed)
     out = levels[0]
     for level in levels[1:]:
@@ -197,7 +203,7 @@ def betweenness(
     from each level to the one before. Sources may be processed in batches to
     bound the state, or sampled by passing fewer of them.
     """
-    links = cut_lineage(both_directions(edges))
+    links = keep(both_directions(edges))
     sources = node_table(links) if sources is None else sources
     node_parts, edge_parts = [], []
     for b in range(batches):
@@ -213,7 +219,7 @@ def betweenness(
                 .join(up.select("source", "id", F.col("paths").alias("pv")), ["source", "id"])
                 .select("source", "id", "w", (F.col("pv") / F.col("pw") * (1 + F.col("delta"))).alias("c"))
             )
-            flow = cut_lineage(flow)
+            flow = keep(flow)
             edge_parts.append(
                 flow.groupBy(F.least("id", "w").alias("src"), F.greatest("id", "w").alias("dst")).agg(
                     F.sum("c").alias("c")
@@ -249,13 +255,13 @@ def eigenvector(edges: DataFrame, rounds: int = 40, scale: bool = True, cut_ever
     bipartite graphs.
     """
     links = both_directions(edges)
-    links = cut_lineage(links.union(node_table(links).select("id", F.col("id"))).toDF("src", "dst"))
-    x = cut_lineage(node_table(links).withColumn("x", F.lit(1.0)))
+    links = keep(links.union(node_table(links).select("id", F.col("id"))).toDF("src", "dst"))
+    x = keep(node_table(links).withColumn("x", F.lit(1.0)))
     for i in range(1, rounds + 1):
         x = links.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
         if i % cut_every == 0 or i == rounds:
             top = x.agg(F.max("x").alias("__top"))
-            x = cut_lineage(with_table_scalars(x, top).select("id", (F.col("x") / F.col("__top")).alias("x")))
+            x = keep(with_table_scalars(x, top).select("id", (F.col("x") / F.col("__top")).alias("x")))
     if not scale:
         norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__l"))
         x = with_table_scalars(x, norm).select("id", (F.col("x") / F.col("__l")).alias("x"))
@@ -271,8 +277,8 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     The node's own label takes part with one vote; the smallest label wins ties.
     """
     links = both_directions(edges)
-    votes = cut_lineage(links.union(node_table(links).select("id", F.col("id"))).toDF("src", "dst"))
-    labels = cut_lineage(node_table(links).withColumn("community", F.col("id")))
+    votes = keep(links.union(node_table(links).select("id", F.col("id"))).toDF("src", "dst"))
+    labels = keep(node_table(links).withColumn("community", F.col("id")))
     for i in range(1, rounds + 1):
         tally = (
             votes.join(labels, F.col("src") == F.col("id"))
@@ -280,7 +286,7 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
             .agg(F.count("*").alias("n"))
         )
         best = F.min_by("community", F.struct(-F.col("n"), F.col("community")))
-        new = cut_lineage(tally.groupBy(F.col("dst").alias("id")).agg(best.alias("community")))
+        new = keep(tally.groupBy(F.col("dst").alias("id")).agg(best.alias("community")))
         moved = new.join(labels.withColumnRenamed("community", "__old"), "id").filter("community <> __old")
         stable = moved.isEmpty()
         labels = new
@@ -295,20 +301,20 @@ def split_communities(edges: DataFrame, parts: int, max_removed: int = 50) -> Da
     Every removal recomputes all paths, so this is for single small components;
     use :func:`label_communities` on large graphs.
     """
-    nodes = cut_lineage(node_table(edges))
-    rest = cut_lineage(
+    nodes = keep(node_table(edges))
+    rest = keep(
         edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     )
     for _ in range(max_removed):
         found = components(rest)
-        labels = cut_lineage(
+        labels = keep(
             nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
         )
         if labels.select("community").distinct().count() >= parts:
             return labels
         _, scores = betweenness(rest)
         worst = scores.orderBy(F.desc("betweenness"), "src", "dst").limit(1).select("src", "dst")
-        rest = cut_lineage(rest.join(worst, ["src", "dst"], "left_anti"))
+        rest = keep(rest.join(worst, ["src", "dst"], "left_anti"))
     raise RuntimeError("graph was not split within max_removed removals")
 
 
@@ -329,8 +335,8 @@ def role_labels(scores: DataFrame, between: str, eigen: str, share: float = 0.75
 
 def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 100) -> DataFrame:
     """Nodes that can be reached from each source along directed edges."""
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    frontier = cut_lineage(sources.select(F.col("id").alias("source"), "id").distinct())
+    links = keep(edges.select("src", "dst").distinct())
+    frontier = keep(sources.select(F.col("id").alias("source"), "id").distinct())
     seen = frontier
     for _ in range(max_depth):
         step = (
@@ -339,7 +345,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 100) -> Dat
             .distinct()
             .join(seen, ["source", "id"], "left_anti")
         )
-        frontier = cut_lineage(step)
+        frontier = keep(step)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -352,11 +358,11 @@ def contained_totals(edges: DataFrame, sources: DataFrame, max_depth: int = 100)
     Sums, over all paths, the product of the edge quantities. Paths that meet
     in a node are merged level by level, so they are never enumerated.
     """
-    links = cut_lineage(edges.select("src", "dst", F.col("n").cast("double").alias("n")))
-    level = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("q")))
+    links = keep(edges.select("src", "dst", F.col("n").cast("double").alias("n")))
+    level = keep(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("q")))
     totals = None
     for _ in range(max_depth):
-        level = cut_lineage(
+        level = keep(
             level.join(links, F.col("id") == F.col("src"))
             .groupBy("source", F.col("dst").alias("id"))
             .agg(F.sum(F.col("q") * F.col("n")).alias("q"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage
 from tallyloom.operators import graph as gr
 from tallyloom.operators.relational import pair_counts
 from tallyloom.plans.registry import query
@@ -25,8 +24,8 @@ E15, E25 = edges_sql(1.5), edges_sql(2.5)
 
 
 def supplier_edges(t, sd=1.5):
-    counts = cut_lineage(pair_counts(t.lineitem, "l_orderkey", "l_suppkey"))
-    return cut_lineage(gr.connected_pairs(counts, sd))
+    counts = gr.keep(pair_counts(t.lineitem, "l_orderkey", "l_suppkey"))
+    return gr.keep(gr.connected_pairs(counts, sd))
 
 
 def levels_sql(depth=12):
@@ -160,7 +159,7 @@ def _(t):
     scores = nodes.join(gr.eigenvector(e, rounds=24), "id").select(
         "id", F.round("betweenness", 6).alias("betweenness"), F.round("eigen", 8).alias("eigen")
     )
-    return gr.role_labels(cut_lineage(scores), "betweenness", "eigen")
+    return gr.role_labels(gr.keep(scores), "betweenness", "eigen")
 
 
 TREE = """t AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 1::DOUBLE AS n FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 1 FROM customer

@@ -51,7 +51,7 @@ def rated_vectors(t, min_total=400):
 @query("M15_lasso_path")
 def _(t):
     rows, _ = rated_vectors(t)
-    return ml.lasso_path(rows, "doc_id", "features", "quality", [0.003, 0.01, 0.03, 0.1], max_iter=15)
+    return ml.lasso_path(rows, "doc_id", "features", "quality", [0.005, 0.02, 0.08], max_iter=12)
 
 
 @query("M15_lasso_terms")
