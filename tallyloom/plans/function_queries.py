@@ -248,13 +248,13 @@ def _(t):
     "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(ln(value)) / count(*), 6) AS mean_log, max(value) AS best FROM events GROUP BY 1, 2",
 )
 def _(t):
-    rows = t.events.select("event_type", F.to_date("ts").alias("day"), "value")
+    rows = t.events.select("event_type", F.to_date("ts").alias("day"), "event_id", "value")
 
     def logs(pdf):
         return {"n": len(pdf), "s": float(np.log(pdf["value"]).sum()), "best": float(pdf["value"].max())}
 
     merge = {"n": F.sum("n"), "s": F.sum("s"), "best": F.max("best")}
-    out = ap.per_group(rows, ["event_type", "day"], logs, "n long, s double, best double", merge)
+    out = ap.per_group(rows, ["event_type", "day"], ["event_id"], logs, "n long, s double, best double", merge)
     return out.select("event_type", "day", "n", F.round(F.col("s") / F.col("n"), 6).alias("mean_log"), "best")
 
 
@@ -277,7 +277,7 @@ def _(t):
             raise ZeroDivisionError("size reaches the limit")
         return {"inverse": float((1.0 / (50 - pdf["p_size"])).sum())}
 
-    out = ap.per_group(t.part.select("p_brand", "p_size"), ["p_brand"], inverse, "inverse double", {"inverse": F.sum("inverse")})
+    out = ap.per_group(t.part.select("p_brand", "p_partkey", "p_size"), ["p_brand"], ["p_partkey"], inverse, "inverse double", {"inverse": F.sum("inverse")})
     return out.select("p_brand", F.round("inverse", 6).alias("inverse"), F.col("error").isNotNull().alias("failed"))
 
 

@@ -125,9 +125,9 @@ def test_nearest_centroid_with_many_labels(spark):
 
 
 def test_group_function_in_chunks(spark):
-    df = skewed(spark).select("k", "o")
+    df = skewed(spark).select("k", "id", "o")
     out = ap.per_group(
-        df, ["k"], lambda p: {"n": len(p), "s": float(p["o"].sum())}, "n long, s double",
+        df, ["k"], ["id"], lambda p: {"n": len(p), "s": float(p["o"].sum())}, "n long, s double",
         {"n": F.sum("n"), "s": F.sum("s")}, chunk_rows=30,
     )
     got = {r.k: (r.n, r.s) for r in out.collect()}
