@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, topk
+from tallyloom.llm import ann, lines, packing, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -54,3 +55,8 @@ def op6_small_world_neighbours(t: Tables):
 def op7_line_dedup(t: Tables):
     kept = lines.drop_repeated_lines(t.documents)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(t: Tables):
+    return packing.pack_documents(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
