@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, packing, topk
+from tallyloom.llm import ann, lines, packing, quality, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -60,3 +60,8 @@ def op7_line_dedup(t: Tables):
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(t: Tables):
     return packing.pack_documents(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(t: Tables):
+    return quality.score_quality(t.documents, t.labels)
