@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, packing, quality, topk
+from tallyloom.llm import ann, lines, mix, packing, quality, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -65,3 +65,8 @@ def op8_best_fit_packing(t: Tables):
 @query("op2_quality_classifier")
 def op2_quality_classifier(t: Tables):
     return quality.score_quality(t.documents, t.labels)
+
+
+@query("op1_source_mix")
+def op1_source_mix(t: Tables):
+    return mix.mix_sources(t.documents).select("doc_id", "size", "source_size", "target", "taken")
