@@ -4,9 +4,9 @@ A source's rate (target over size) says how often each of its documents should
 come on average; whole copies are taken outright and the fraction is an
 inclusion probability. The cube method moves these probabilities along the null
 space of the balancing constraints (number of documents, number of words) until
-they are 0 or 1. Documents fly in shards of their source; what a shard cannot
-decide goes on to the next level, until a source has two documents or fewer
-left, which the landing rounds towards the source's total.
+they are 0 or 1. Documents fly in shards of their source; what a shard leaves goes
+on to the next level, until a source has just a few documents left. Of all ways
+to round those, the landing takes the one nearest to the source's totals.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from tallyloom.llm.common import bucket, parts, stored
 
 SHARD_ROWS = 20_000
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Documents of a shard that the flight leaves undecided, at most.
+LANDING = 14
 _EPS = 1e-9
 
 
@@ -53,18 +55,18 @@ def source_targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, we
 # --- the cube method on one shard -------------------------------------------------
 
 
-def fly(p: list[float], size: list[float], rng) -> list[float]:
-    """Moves probabilities until at most two lie strictly between 0 and 1.
+def fly(p: list[float], size: list[float], rng, leave: int = LANDING) -> list[float]:
+    """Moves probabilities until at most ``leave`` lie strictly between 0 and 1.
 
     Three documents at a time have a direction in which neither their number
-    nor their words change on average.
+    nor their words change in total.
     """
-    p = list(p)
-    open_: list[int] = []
-    for i, v in enumerate(p):
-        if v <= _EPS or v >= 1 - _EPS:
-            p[i] = float(round(v))
-            continue
+    p = [float(round(v)) if v <= _EPS or v >= 1 - _EPS else v for v in p]
+    waiting = [i for i, v in enumerate(p) if 0.0 < v < 1.0]
+    undecided, open_ = len(waiting), []
+    for i in waiting:
+        if undecided <= leave:
+            break
         open_.append(i)
         while len(open_) == 3:
             a, b, c = open_
@@ -78,28 +80,30 @@ def fly(p: list[float], size: list[float], rng) -> list[float]:
                 p[j] += step * d
                 if p[j] <= _EPS or p[j] >= 1 - _EPS:
                     p[j] = float(round(p[j]))
+            undecided += sum(0.0 < p[j] < 1.0 for j in open_) - 3
             open_ = [j for j in open_ if 0.0 < p[j] < 1.0]
     return p
 
 
 def land(p: list[float], size: list[float]) -> list[float]:
-    """Rounds the last probabilities so that the words come nearest to what they stand for."""
+    """Rounds the last probabilities: the choice nearest in words, in units of a middling document, and in number."""
     open_ = [i for i, v in enumerate(p) if 0.0 < v < 1.0]
-    aim = sum(p[i] * size[i] for i in open_)
-    choices = [[]]
-    for _ in open_:
-        choices = [c + [x] for c in choices for x in (0.0, 1.0)]
-    best = min(choices, key=lambda c: (abs(sum(x * size[i] for x, i in zip(c, open_)) - aim), c))
+    if not open_:
+        return p
+    rate, words = np.array([p[i] for i in open_]), np.array([size[i] for i in open_])
+    choice = (np.arange(2 ** len(open_))[:, None] >> np.arange(len(open_))) & 1
+    number = np.abs(choice.sum(axis=1) - rate.sum())
+    off = np.abs(choice @ words - rate @ words) / max(1.0, float(np.median(words))) + number / 4
     p = list(p)
-    for i, x in zip(open_, best):
-        p[i] = x
+    for i, x in zip(open_, choice[int(off.argmin())]):
+        p[i] = float(x)
     return p
 
 
 def _level(rows: DataFrame, n_shards: int, level: int, last: bool) -> DataFrame:
     def flight(g: pd.DataFrame) -> pd.DataFrame:
-        # long documents fly first, so that those left for the landing are short; reruns agree
-        g = g.sort_values(["size", "mark", "key"], ascending=[False, True, True], kind="stable")
+        # the order is by hash and the draws by shard: reruns agree
+        g = g.sort_values(["mark", "key", "size"], kind="stable")
         rng = np.random.default_rng(int(g["mark"].iloc[0]) & 0xFFFFFFFF)
         sizes = [float(x) for x in g["size"]]
         p = fly(g["p"].tolist(), sizes, rng)
@@ -142,7 +146,7 @@ def mix_sources(
         if n_shards == 1:
             break
         rows = rows.filter(undecided)
-        n, level = 2 * n_shards, level + 1
+        n, level = LANDING * n_shards, level + 1
     out = done[0]
     for more in done[1:]:
         out = out.union(more)

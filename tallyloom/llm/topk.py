@@ -18,40 +18,37 @@ from tallyloom.llm.common import bucket, parts
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
+QUERIES_AT_ONCE = 256
 #: Shares of a list after which the bounds are compared.
-DEPTHS = (0.25, 0.45, 0.65, 0.8, 0.9)
+DEPTHS = (0.5, 0.7, 0.85, 0.95)
+#: A query with at most so many candidates left has them resolved.
+FEW = 64
 
 
-def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each dimension's values in descending order, and each row's place in them."""
-    order = np.argsort(-x, axis=0, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(x))[:, None], axis=0)
-    return np.take_along_axis(x, order, axis=0), place
+def no_random_access(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """(candidate, query): who may still be among a query's k best when reading stops.
 
-
-def no_random_access(q: np.ndarray, x: np.ndarray, ids: np.ndarray, lists, k: int, own: int | None) -> np.ndarray:
-    """Rows of ``x`` that may be among the k best for ``q`` once reading stops."""
-    values, place = lists
+    ``own`` marks each query's own row. Positive weights read a dimension's list
+    from the top, negative ones from the bottom. A component that has not been
+    read lies between the value where reading stands and the end of the list.
+    """
     n = len(x)
-    alive = np.flatnonzero(ids != own)
-    if len(alive) <= k:
-        return alive
-    up = q >= 0  # positive weights read from the top of a list, negative ones from the bottom
-    worst = np.where(up, values[-1], values[0]) * q
-    for depth in (int(n * d) for d in DEPTHS):
-        if depth == 0:
-            continue
-        front = np.where(up, values[depth - 1], values[n - depth]) * q
-        p = place[alive]
-        seen = np.where(up, p < depth, p >= n - depth)
-        known = np.where(seen, x[alive] * q, 0.0).sum(axis=1)
-        lower, upper = known + np.where(seen, 0.0, worst).sum(axis=1), known + np.where(seen, 0.0, front).sum(axis=1)
-        kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-        slack = 1e-9 * (abs(kth) + np.abs(front).sum())
-        alive = alive[upper >= kth - slack]
-        if len(alive) <= k:
+    lists = np.sort(x, axis=0)[::-1]
+    weights = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1).T
+    slack = 1e-5 * (np.abs(q).sum(axis=1) * np.abs(x).max() + 1)  # covers rounding in single precision
+    alive = ~own
+    reading = np.flatnonzero(alive.sum(axis=0) > k)
+    for depth in (max(1, int(n * d)) for d in DEPTHS):
+        if not len(reading):
             break
+        top, bottom = lists[depth - 1], lists[n - depth]
+        w = weights[:, reading]
+        upper = np.concatenate([np.maximum(x, top), np.minimum(x, bottom)], axis=1) @ w
+        lower = np.concatenate([np.where(x >= top, x, lists[-1]), np.where(x <= bottom, x, lists[0])], axis=1) @ w
+        lower[~alive[:, reading]] = -np.inf
+        kth = np.partition(lower, n - k, axis=0)[n - k]
+        alive[:, reading] &= upper >= kth - slack[reading]
+        reading = reading[alive[:, reading].sum(axis=0) > max(k, FEW)]
     return alive
 
 
@@ -99,14 +96,15 @@ def exact_top_k(
             if width == 0 or mine.empty:
                 continue
             whole, ids = np.array(same["x"].tolist(), np.int64), same["key"].to_numpy()
-            x = whole.astype(np.float64)
-            lists = sorted_lists(x)
-            for key, v in zip(mine["key"], mine["x"]):
-                w = np.array(v, np.int64)
-                left = no_random_access(w.astype(np.float64), x, ids, lists, k, key)
-                score = _exact_scores(w, whole[left])
-                best = np.lexsort((ids[left], -score))[:k]
-                found.append(pd.DataFrame({"query_id": key, "vec_id": ids[left][best], "score": score[best]}))
+            for lo in range(0, len(mine), QUERIES_AT_ONCE):
+                part = mine.iloc[lo : lo + QUERIES_AT_ONCE]
+                w, keys = np.array(part["x"].tolist(), np.int64), part["key"].to_numpy()
+                alive = no_random_access(w.astype(np.float32), whole.astype(np.float32), ids[:, None] == keys, k)
+                for i, key in enumerate(keys.tolist()):
+                    left = np.flatnonzero(alive[:, i])
+                    score = _exact_scores(w[i], whole[left])
+                    best = np.lexsort((ids[left], -score))[:k]
+                    found.append(pd.DataFrame({"query_id": key, "vec_id": ids[left][best], "score": score[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     found = shards.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(
