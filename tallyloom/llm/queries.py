@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, mix, packing, quality, topk
+from tallyloom.llm import ann, lines, mix, near, packing, quality, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -70,3 +70,8 @@ def op2_quality_classifier(t: Tables):
 @query("op1_source_mix")
 def op1_source_mix(t: Tables):
     return mix.mix_sources(t.documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(t: Tables):
+    return near.near_duplicate_classes(t.documents)

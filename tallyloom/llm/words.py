@@ -11,6 +11,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.default_rng(20).integers(1, 2**63, 256).astype(np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 2**64)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -27,7 +28,8 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         power = np.cumprod(np.full(len(values) + 1, _BASE, np.uint64))
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:-1])])
         length = (ends - starts).astype(np.uint64)
-        return mix((run[ends] - run[starts]) * power[len(values) - starts] + length)
+        back = np.cumprod(np.full(len(values) + 1, _UNDO, np.uint64))  # takes the range to the same place
+        return mix((run[ends] - run[starts]) * back[starts] + length)
 
 
 @dataclass
