@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, mix, near, packing, quality, topk
+from tallyloom.llm import ann, lines, mix, near, packing, quality, spans, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -75,3 +75,8 @@ def op1_source_mix(t: Tables):
 @query("op5_near_duplicates")
 def op5_near_duplicates(t: Tables):
     return near.near_duplicate_classes(t.documents)
+
+
+@query("op9_sentence_spans")
+def op9_sentence_spans(t: Tables):
+    return spans.drop_repeated_spans(t.documents)
