@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, mix, near, packing, quality, spans, topk
+from tallyloom.llm import ann, lines, mix, near, packing, quality, spans, suffixes, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -80,3 +80,11 @@ def op5_near_duplicates(t: Tables):
 @query("op9_sentence_spans")
 def op9_sentence_spans(t: Tables):
     return spans.drop_repeated_spans(t.documents)
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(t: Tables):
+    kept = suffixes.drop_repeated_bytes(t.documents)
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
