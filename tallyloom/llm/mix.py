@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bucket, parts, stored
 
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents of a shard that the flight leaves undecided, at most.
 LANDING = 14
