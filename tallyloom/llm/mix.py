@@ -155,3 +155,23 @@ def mix_sources(
         F.col("key").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: each row as often as :func:`mix_sources` takes it, with all its columns.
+
+    Rows that agree in id, source and size are told apart by their text.
+    """
+    mark = ["__key", "__source", "__size", "__turn"]
+    rows = docs.select("*", F.col(id_col).cast("long").alias("__key"), F.col(source_col).alias("__source"), word_count(text_col).alias("__size"))
+    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(*mark[:3]).orderBy(F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))))
+    taken = mix_sources(docs, share, most, weights, id_col, text_col, source_col).select(
+        F.col(id_col).alias("t_key"), F.col(source_col).alias("t_source"), F.col("size").alias("t_size"), "copies"
+    )
+    taken = taken.withColumn("t_turn", F.row_number().over(Window.partitionBy("t_key", "t_source", "t_size").orderBy("copies"))).filter("copies > 0")
+    same = [F.col(m).eqNullSafe(F.col("t" + m[1:])) for m in mark]
+    found = rows.join(taken, same[0] & same[1] & same[2] & same[3])
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyloom.core import Tables
-from tallyloom.llm import ann, lines, mix, near, packing, quality, spans, suffixes, topk
+from tallyloom.llm import ann, licenses, lines, mix, near, packing, quality, spans, suffixes, topk
 from tallyloom.llm.registry import LLM, query  # noqa: F401
 
 
@@ -88,3 +88,8 @@ def op10_suffix_array_dedup(t: Tables):
     return kept.select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op4_license_scan")
+def op4_license_scan(t: Tables):
+    return licenses.scan_licenses(t.documents, licenses.notices(t.spark))

@@ -80,3 +80,22 @@ def shingles(w: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(first - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
     size = np.minimum(counts, width)[text]
     return text, range_hashes(w.hash, start, start + size)
+
+
+_LETTER = np.ones(256, bool)
+_LETTER[[b for b in range(128) if not chr(b).isalnum()]] = False
+
+
+def trimmed(w: Words) -> Words:
+    """The words without ASCII punctuation at their ends; words of nothing else go."""
+    start, end = w.start.copy(), w.end.copy()
+    for _ in range(int((end - start).max()) if len(start) else 0):
+        cut = (start < end) & ~_LETTER[w.buf[np.minimum(start, len(w.buf) - 1)]]
+        if not cut.any():
+            break
+        start[cut] += 1
+    while (cut := (start < end) & ~_LETTER[w.buf[end - 1]]).any():
+        end[cut] -= 1
+    left = start < end
+    start, end = start[left], end[left]
+    return Words(w.buf, w.at, start, end, w.text[left], range_hashes(_VALUE[w.buf], start, end))
