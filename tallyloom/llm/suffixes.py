@@ -33,8 +33,8 @@ LENGTH = 50
 BATCH_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 #: Anchors of one task of the filter, bytes of contexts of one shard, and contexts of one anchor in one shard.
-RANGE_ANCHORS = 3_000_000
-SHARD_BYTES = 6 << 20
+RANGE_ANCHORS = 1_200_000
+SHARD_BYTES = 5 << 19
 HOT_ANCHOR = 50_000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
