@@ -62,7 +62,7 @@ def fly(p: list[float], size: list[float], rng, leave: int = LANDING) -> list[fl
     nor their words change in total.
     """
     p = [float(round(v)) if v <= _EPS or v >= 1 - _EPS else v for v in p]
-    waiting = [i for i, v in enumerate(p) if 0.0 < v < 1.0]
+    waiting = [i for i in rng.permutation(len(p)).tolist() if 0.0 < p[i] < 1.0]
     undecided, open_ = len(waiting), []
     for i in waiting:
         if undecided <= leave:
@@ -137,7 +137,7 @@ def mix_sources(
     rows = rows.withColumn("mark", F.xxhash64("key", "source", "size")).withColumn("p", rate)
     rows = rows.withColumn("whole", F.floor("p").cast("int")).withColumn("p", F.col("p") - F.col("whole"))
     n = rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    level, done = 0, []
+    level, done, shard_rows = 0, [], max(shard_rows, 4 * LANDING)  # a level has to leave less than it gets
     while True:
         n_shards = parts(n, shard_rows)
         rows = stored(_level(rows, n_shards, level, last=n_shards == 1), f"flight-{level}")

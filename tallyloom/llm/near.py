@@ -9,8 +9,10 @@ Bands of the signature pick candidates, and the shingle sets of candidates are
 compared exactly.
 
 Equal texts are one candidate. Of a bucket, members are first compared with its
-smallest; after that only members of different classes are compared, so a large
-group of copies is never paired out, and no link between classes is lost.
+smallest id, then those of other classes with its most typical text. What is
+left in different classes is compared where sizes and the shingles that no other
+text has allow a link at all, so a large group of copies is never paired out,
+and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -148,13 +150,18 @@ def near_duplicate_classes(
     several = own.join(several.select("key", "a"), "key").select("a", F.col("rep").alias("b")).filter("a < b").distinct()
     links = stored(_links(stars, sets, similar).union(several), "links")
     found = _classes(links)
-    # members of one bucket that are still in different classes
-    placed = member.select("bucket", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 < c1").select("bucket")
-    placed = stored(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    a, b = (placed.select("bucket", F.col("key").alias(k), F.col("class").alias(f"class_{k}")) for k in "ab")
-    rest = a.join(b, "bucket").filter("class_a < class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
+    placed = stored(_mixed(member, found), "mixed")
+    facts = stored(_own_shares(sets.join(placed.select("key").distinct(), "key", "left_semi")), "own-shares")
+    # second pivot: the member with the least that is only its own, in most groups what the others derive from
+    least = placed.join(facts.groupBy("key").agg(F.min("share").alias("share")), "key")
+    core = least.groupBy("bucket").agg(F.min(F.struct("share", "key", "class")).alias("c"))
+    again = placed.join(core, "bucket").filter(F.col("class") != F.col("c.class"))
+    again = again.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+    again = stored(again.join(stars, ["a", "b"], "left_anti"), "second-stars")
+    links = stored(links.union(_links(again, sets, similar)), "links-2")
+    found = _classes(links)
+    rest = _possible_pairs(_mixed(placed.select("bucket", "key"), found), facts, similar)
+    rest = rest.join(stars.union(again), ["a", "b"], "left_anti")
     more = stored(_links(rest, sets, similar), "more-links")
     if not more.isEmpty():
         found = _classes(links.union(more))
@@ -163,6 +170,48 @@ def near_duplicate_classes(
     return texts.select("key").join(classes, "key", "left").select(shown_id().alias(id_col), "class_id")
 
 
+def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, key, class) of the buckets whose members are in several classes."""
+    placed = member.select("bucket", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 < c1")
+    return placed.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _own_shares(sets: DataFrame) -> DataFrame:
+    """(key, size, own, share): how many shingles of a text stand in none of the others (0 for ids with several texts)."""
+    alone = sets.select("key", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    own = alone.filter("n = 1").groupBy("key").agg(F.count("*").alias("own"))
+    texts = sets.groupBy("key").agg(F.count("*").alias("texts"))
+    rows = sets.select("key", F.size("s").alias("size")).distinct().join(texts, "key").join(own, "key", "left")
+    rows = rows.withColumn("own", F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("own", F.lit(0))))
+    return rows.select("key", "size", "own", (F.col("own") / F.col("size")).alias("share"))
+
+
+def _possible_pairs(placed: DataFrame, facts: DataFrame, similar: float) -> DataFrame:
+    """Pairs of a bucket in different classes that can reach ``similar`` by their sizes and what is only their own.
+
+    Sets of x and y shingles that are similar share at least
+    f (x + y) with f = similar / (1 + similar); a text shares at most what is
+    not its own. So the partners of a text have sizes in a range that is often
+    empty. Ranges are met by classes of sizes, so that other members of a large
+    bucket are never paired.
+    """
+    f = similar / (1 + similar)
+    slack = 1e-9
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20).cast("int")
+    rows = placed.join(facts, "key").withColumn("most", (F.col("size") - F.col("own")) / F.lit(f) - F.col("size") + F.lit(slack))
+    rows = rows.filter(F.col("most") >= similar * F.col("size") - slack)
+    large = rows.withColumn("top", F.least("most", F.col("size").cast("double")))
+    large = large.withColumn("step", F.explode(F.sequence(step(similar * F.col("size") - slack), step(F.col("top")))))
+    large = large.select("bucket", "step", *[F.col(c).alias(f"x_{c}") for c in ("key", "class", "size", "most")])
+    small = rows.withColumn("step", step(F.col("size").cast("double")))
+    pairs = large.join(small, ["bucket", "step"]).filter(
+        (F.col("class") != F.col("x_class")) & (F.col("size") <= F.col("x_size")) & (F.col("size") <= F.col("x_most"))
+        & (F.col("x_size") <= F.col("most")) & (F.col("size") >= similar * F.col("x_size") - slack)
+    )
+    return pairs.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct()
+
+
 def _classes(links: DataFrame) -> DataFrame:
     """(key, class) of linked documents; the class is the smallest id."""
     labels = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
