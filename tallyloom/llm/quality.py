@@ -156,7 +156,8 @@ def _feature_rows(texts: DataFrame) -> np.ndarray:
                 yield pd.DataFrame({"key": part["key"], "x": [r.tobytes() for r in features(part["text"].tolist())]})
 
     rows = texts.mapInPandas(per_batch, "key long, x binary").collect()
-    return np.array([np.frombuffer(x, np.float32) for _, x in sorted((r["key"], bytes(r["x"])) for r in rows)]).reshape(len(rows), -1)
+    found = [np.frombuffer(x, np.float32) for _, x in sorted((r["key"], bytes(r["x"])) for r in rows)]
+    return np.array(found) if found else np.zeros((0, 1), np.float32)
 
 
 def train_model(
@@ -183,7 +184,7 @@ def train_model(
     rows = []
     for part in chosen:
         sample = spark.createDataFrame([(k,) for k in part], "key long")
-        rows.append(_feature_rows(texts.join(F.broadcast(sample), "key", "left_semi").dropDuplicates(["key"])))
+        rows.append(_feature_rows(texts.join(F.broadcast(sample), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))))
     return fit(*rows)
 
 
