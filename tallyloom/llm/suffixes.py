@@ -30,11 +30,11 @@ from tallyloom.llm.common import bucket, id_and_text, parts, shown_id, stored, t
 from tallyloom.llm.words import batches_of, mix
 
 LENGTH = 50
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 CHUNK_BYTES = 4 << 20
 #: Anchors of one task of the filter, bytes of contexts of one shard, and contexts of one anchor in one shard.
-RANGE_ANCHORS = 1_200_000
-SHARD_BYTES = 5 << 19
+RANGE_ANCHORS = 600_000
+SHARD_BYTES = 3 << 19
 HOT_ANCHOR = 50_000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -197,6 +197,7 @@ def shared_anchors(runs: DataFrame, hot: int) -> DataFrame:
         number = np.diff(np.append(start, len(h)))
         deals = np.zeros(len(h), np.int64)
         deals[order] = np.repeat(np.where(several, -(-number // hot), 0), number)
+        del order, new, d, step, total, six
         keep = deals > 0
         doc, place, deals = doc[keep], place[keep], deals[keep]
         some, first = np.unique(doc, return_index=True)
