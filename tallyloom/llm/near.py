@@ -10,8 +10,8 @@ compared exactly.
 
 Equal texts are one candidate. Of a bucket, members are first compared with its
 smallest id, then those of other classes with its most typical text. What is
-left in different classes is compared where sizes and the shingles that no other
-text has allow a link at all, so a large group of copies is never paired out,
+left in different classes is compared where two texts have a rare shingle in
+common, or where sizes allow a link without any, so a large group of copies is never paired out,
 and no link between classes is lost.
 """
 
@@ -30,6 +30,8 @@ from tallyloom.operators.graph import components
 WIDTH = 5
 SIMILAR = 0.8
 BANDS = 20
+#: A shingle that at most so many candidates have is rare: they are compared one by one.
+RARE = 8
 ROWS = 4
 
 
@@ -151,7 +153,7 @@ def near_duplicate_classes(
     links = stored(_links(stars, sets, similar).union(several), "links")
     found = _classes(links)
     placed = stored(_mixed(member, found), "mixed")
-    facts = stored(_own_shares(sets.join(placed.select("key").distinct(), "key", "left_semi")), "own-shares")
+    facts, few = _own_shares(sets.join(placed.select("key").distinct(), "key", "left_semi"))
     # second pivot: the member with the least that is only its own, in most groups what the others derive from
     least = placed.join(facts.groupBy("key").agg(F.min("share").alias("share")), "key")
     core = least.groupBy("bucket").agg(F.min(F.struct("share", "key", "class")).alias("c"))
@@ -160,7 +162,7 @@ def near_duplicate_classes(
     again = stored(again.join(stars, ["a", "b"], "left_anti"), "second-stars")
     links = stored(links.union(_links(again, sets, similar)), "links-2")
     found = _classes(links)
-    rest = _possible_pairs(_mixed(placed.select("bucket", "key"), found), facts, similar)
+    rest = _possible_pairs(_mixed(placed.select("bucket", "key"), found), facts, similar).union(_rare_pairs(few, found))
     rest = rest.join(stars.union(again), ["a", "b"], "left_anti")
     more = stored(_links(rest, sets, similar), "more-links")
     if not more.isEmpty():
@@ -177,22 +179,36 @@ def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
-def _own_shares(sets: DataFrame) -> DataFrame:
-    """(key, size, own, share): how many shingles of a text stand in none of the others (0 for ids with several texts)."""
-    alone = sets.select("key", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key"))
-    own = alone.filter("n = 1").groupBy("key").agg(F.count("*").alias("own"))
+def _own_shares(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shingles that at most ``RARE`` texts have.
+
+    First (key, size, own, share): how many of a text's shingles are rare (0 for
+    ids with several texts); then (s, key): the rare ones that several have.
+    """
+    every = sets.select("key", F.explode("s").alias("s"))
+    counted = every.groupBy("s").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    few = stored(every.join(counted.filter(f"n between 2 and {RARE}").select("s"), "s"), "rare-shingles")
+    alone = counted.filter("n = 1").groupBy("key").agg(F.count("*").alias("n"))
+    own = alone.union(few.groupBy("key").agg(F.count("*"))).groupBy("key").agg(F.sum("n").alias("own"))
     texts = sets.groupBy("key").agg(F.count("*").alias("texts"))
     rows = sets.select("key", F.size("s").alias("size")).distinct().join(texts, "key").join(own, "key", "left")
     rows = rows.withColumn("own", F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("own", F.lit(0))))
-    return rows.select("key", "size", "own", (F.col("own") / F.col("size")).alias("share"))
+    return stored(rows.select("key", "size", "own", (F.col("own") / F.col("size")).alias("share")), "own-shares"), few
+
+
+def _rare_pairs(few: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs in different classes that have a rare shingle in common; at most ``RARE`` texts meet in one."""
+    rows = few.join(found, "key", "left").select("s", "key", F.coalesce("class", "key").alias("class"))
+    a, b = (rows.select("s", F.col("key").alias(k), F.col("class").alias(f"class_{k}")) for k in "ab")
+    return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))).select("a", "b").distinct()
 
 
 def _possible_pairs(placed: DataFrame, facts: DataFrame, similar: float) -> DataFrame:
-    """Pairs of a bucket in different classes that can reach ``similar`` by their sizes and what is only their own.
+    """Pairs of a bucket in different classes that can reach ``similar`` without a rare shingle in common.
 
     Sets of x and y shingles that are similar share at least
-    f (x + y) with f = similar / (1 + similar); a text shares at most what is
-    not its own. So the partners of a text have sizes in a range that is often
+    f (x + y) with f = similar / (1 + similar), here of those that are not rare.
+    So the partners of a text have sizes in a range that is often
     empty. Ranges are met by classes of sizes, so that other members of a large
     bucket are never paired.
     """
