@@ -74,7 +74,7 @@ def confusion_summary(counts: DataFrame, truth: str, guess: str) -> DataFrame:
     rows = counts.groupBy(truth).agg(F.sum("n").alias("r")).withColumnRenamed(truth, "__c")
     cols = counts.groupBy(guess).agg(F.sum("n").alias("c")).withColumnRenamed(guess, "__c")
     margins = rows.join(cols, "__c", "full").agg(
-        F.sum(F.coalesce("r", F.lit(0)) * F.coalesce("c", F.lit(0))).alias("rc"),
+        F.sum(F.coalesce("r", F.lit(0)).cast("double") * F.coalesce("c", F.lit(0))).alias("rc"),
         F.max("r").alias("top"),
     )
     total = counts.agg(

@@ -8,6 +8,7 @@ aggregates that combine map-side, so hubs stay harmless.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -130,14 +131,15 @@ def largest_component(edges: DataFrame) -> DataFrame:
 
 
 def path_levels(
-    edges: DataFrame, sources: DataFrame, max_depth: int = 1000, directed: bool = False
+    edges: DataFrame, sources: DataFrame, max_depth: int | None = None, directed: bool = False
 ) -> list[DataFrame]:
     """Breadth-first levels (source, id, dist, paths) from all given sources.
 
     ``paths`` counts the shortest paths. One list item per level; the state is
     one row per source and reached node, which is the result itself. On an
     undirected graph a neighbour lies at most one level back, so only the last
-    two levels are checked for visited nodes.
+    two levels are checked for visited nodes. The search goes on until nothing
+    new is reached; with ``max_depth`` it raises where paths are longer.
     """
     links = edges.select("src", "dst").distinct()
     first = sources.select(
@@ -145,7 +147,7 @@ def path_levels(
     ).distinct()
     levels = [keep(first)]
     seen = levels[0].select("source", "id")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = (
             levels[-1]
             .join(links, F.col("id") == F.col("src"))
@@ -157,6 +159,8 @@ def path_levels(
         step = keep(step)
         if step.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError("paths are longer than max_depth")
         levels.append(step)
         last = step.select("source", "id")
         seen = seen.union(last) if directed else levels[-2].select("source", "id").union(last)
@@ -271,15 +275,19 @@ def eigenvector(edges: DataFrame, rounds: int = 40, scale: bool = True, cut_ever
 # --- communities and roles -----------------------------------------------------------
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Label propagation: a node takes the most frequent label around it.
 
     The node's own label takes part with one vote; the smallest label wins ties.
+    ``rounds`` asks for that many rounds at most; without it, propagation goes on
+    until labels stay, or until they swing between two states, of which each
+    node then keeps its smaller label.
     """
     links = both_directions(edges)
     votes = keep(links.union(node_table(links).select("id", F.col("id"))).toDF("src", "dst"))
     labels = keep(node_table(links).withColumn("community", F.col("id")))
-    for i in range(1, rounds + 1):
+    before = None
+    for i in itertools.count(1):
         tally = (
             votes.join(labels, F.col("src") == F.col("id"))
             .groupBy("dst", "community")
@@ -287,10 +295,13 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         )
         best = F.min_by("community", F.struct(-F.col("n"), F.col("community")))
         new = keep(tally.groupBy(F.col("dst").alias("id")).agg(best.alias("community")))
-        moved = new.join(labels.withColumnRenamed("community", "__old"), "id").filter("community <> __old")
-        stable = moved.isEmpty()
-        labels = new
-        if stable:
+        other = lambda x: new.join(x.withColumnRenamed("community", "__old"), "id")
+        stable = other(labels).filter("community <> __old").isEmpty()
+        swings = before is not None and not stable and other(before).filter("community <> __old").isEmpty()
+        if swings and rounds is None:
+            return other(labels).select("id", F.least("community", "__old").alias("community"))
+        before, labels = labels, new
+        if stable or i == rounds:
             break
     return labels
 
@@ -333,12 +344,16 @@ def role_labels(scores: DataFrame, between: str, eigen: str, share: float = 0.75
 # --- directed graphs --------------------------------------------------------------------
 
 
-def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Nodes that can be reached from each source along directed edges."""
+def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Nodes that can be reached from each source along directed edges.
+
+    The search goes on until nothing new is reached; with ``max_depth`` it
+    raises where nodes lie deeper.
+    """
     links = keep(edges.select("src", "dst").distinct())
     frontier = keep(sources.select(F.col("id").alias("source"), "id").distinct())
     seen = frontier
-    for _ in range(max_depth):
+    for depth in itertools.count(1):
         step = (
             frontier.join(links, F.col("id") == F.col("src"))
             .select("source", F.col("dst").alias("id"))
@@ -348,6 +363,8 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 100) -> Dat
         frontier = keep(step)
         if frontier.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError("nodes lie deeper than max_depth")
         seen = seen.union(frontier)
     return seen.join(sources.select(F.col("id").alias("source"), "id"), ["source", "id"], "left_anti")
 

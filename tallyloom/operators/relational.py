@@ -33,6 +33,17 @@ def crossing(df: DataFrame, **grids: Sequence) -> DataFrame:
     return df
 
 
+def _exact(count: str) -> str:
+    """A row count as a decimal, so that products of counts stay exact."""
+    return f"cast({count} as decimal(19,0))"
+
+
+def _choose(count: str, k: int) -> str:
+    """How many sets of ``k`` rows there are among ``count`` rows, exactly."""
+    factors = " * ".join(f"cast({count} - {i} as decimal(12,0))" for i in range(k))
+    return f"cast(({factors}) div {(1, 1, 2, 6)[k]} as decimal(19,0))"
+
+
 def sum_pairs(df: DataFrame, value: str, target: int) -> DataFrame:
     """Pairs of rows whose values add up to a target, as value pairs.
 
@@ -45,8 +56,7 @@ def sum_pairs(df: DataFrame, value: str, target: int) -> DataFrame:
     a = counts.select(F.col(value).alias("a"), F.col("n").alias("n_a"))
     b = counts.select(F.col(value).alias("b"), F.col("n").alias("n_b"))
     pairs = a.join(b, F.col("b") == F.lit(target) - F.col("a")).filter("a <= b")
-    own = (F.col("n_a") * (F.col("n_a") - 1) / 2).cast("long")
-    n_pairs = F.when(F.col("a") == F.col("b"), own).otherwise(F.col("n_a") * F.col("n_b"))
+    n_pairs = F.expr(f"if(a = b, {_choose('n_a', 2)}, {_exact('n_a')} * n_b)").cast("long")
     return (
         pairs.select("a", "b", n_pairs.alias("n_pairs"), (F.col("a") * F.col("b")).alias("product"))
         .filter("n_pairs > 0")
@@ -54,35 +64,32 @@ def sum_pairs(df: DataFrame, value: str, target: int) -> DataFrame:
 
 
 def sum_triples(df: DataFrame, value: str, target: int) -> DataFrame:
-    """Triples of rows whose positive integer values add up to a target.
+    """Triples of rows whose integer values add up to a target.
 
-    The middle value is enumerated inside ``a < b < target - a - b`` from the
-    integer range and met by equi-joins with the distinct values, so the work
-    is bounded by the target and not by the rows. Value triples with repeats
-    are counted by combinations.
+    The middle value is enumerated inside ``a <= b <= target - a - b``, from the
+    smallest value to what the largest value leaves, and met by equi-joins with
+    the distinct values: the work is bounded by the range of the values and not
+    by the rows. Value triples with repeats are counted by combinations.
     """
-    counts = df.filter(F.col(value) > 0).groupBy(value).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     counts = store_and_reload(counts, "value-counts")
+    most = counts.agg(F.max(F.col(value).cast("long"))).first()[0] or 0
     side = lambda v, n: counts.select(F.col(value).cast("long").alias(v), F.col("n").alias(n))
-    top = F.floor((F.lit(target) - F.col("a")) / 2).cast("long")
+    top = F.expr(f"floor(({target} - a) / 2)").cast("long")
+    low = F.greatest(F.col("a"), F.lit(target - most) - F.col("a"))  # below, c would be above the largest value
     ab = (
         side("a", "n_a")
         .filter(F.col("a") * 3 <= target)
-        .withColumn("b", F.explode(F.sequence(F.col("a"), top)))
+        .filter(low <= top)
+        .withColumn("b", F.explode(F.sequence(low, top)))
         .join(side("b", "n_b"), "b")
         .withColumn("c", F.lit(target).cast("long") - F.col("a") - F.col("b"))
         .join(side("c", "n_c"), "c")
     )
-    na, nb, nc = F.col("n_a"), F.col("n_b"), F.col("n_c")
-    all_same = (na * (na - 1) * (na - 2) / 6).cast("long")
-    low_same = (na * (na - 1) / 2).cast("long") * nc
-    high_same = na * (nb * (nb - 1) / 2).cast("long")
-    n = (
-        F.when((F.col("a") == F.col("b")) & (F.col("b") == F.col("c")), all_same)
-        .when(F.col("a") == F.col("b"), low_same)
-        .when(F.col("b") == F.col("c"), high_same)
-        .otherwise(na * nb * nc)
-    )
+    n = F.expr(
+        f"case when a = b and b = c then {_choose('n_a', 3)} when a = b then {_choose('n_a', 2)} * n_c"
+        f" when b = c then {_choose('n_b', 2)} * n_a else {_exact('n_a')} * n_b * n_c end"
+    ).cast("long")
     product = F.col("a") * F.col("b") * F.col("c")
     return ab.select("a", "b", "c", n.alias("n_triples"), product.alias("product")).filter(
         "n_triples > 0"
@@ -157,10 +164,13 @@ def lookup_first(
 def bind_columns(
     left: DataFrame, left_order: Sequence[str], right: DataFrame, right_order: Sequence[str]
 ) -> DataFrame:
-    """Put two tables side by side by row position in their given orders."""
+    """Put two tables side by side by row position in their given orders.
+
+    The shorter table has NULLs beside the rest of the longer one.
+    """
     a = sequence_columns(left, [], left_order, position="row_no")
     b = sequence_columns(right, [], right_order, position="row_no")
-    return a.join(b, "row_no")
+    return a.join(b, "row_no", "full")
 
 
 def role_join(

@@ -16,16 +16,16 @@ from tallyloom.plans.registry import query
 def edges_sql(sd):
     return f"""mm AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
       pc AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS n FROM mm a JOIN mm b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
-      e AS (SELECT src, dst, n FROM pc WHERE n > (SELECT avg(n) + {sd} * stddev_samp(n) FROM pc)),
+      e AS (SELECT src, dst, n FROM pc{'' if sd is None else f' WHERE n > (SELECT avg(n) + {sd} * stddev_samp(n) FROM pc)'}),
       k AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nd AS (SELECT DISTINCT src AS id FROM k)"""
 
 
-E15, E25 = edges_sql(1.5), edges_sql(2.5)
+EALL, E15, E25 = edges_sql(None), edges_sql(1.5), edges_sql(2.5)
 
 
 def supplier_edges(t, sd=1.5):
     counts = gr.keep(pair_counts(t.lineitem, "l_orderkey", "l_suppkey"))
-    return gr.keep(gr.connected_pairs(counts, sd))
+    return counts.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n") if sd is None else gr.keep(gr.connected_pairs(counts, sd))
 
 
 def levels_sql(depth=12):
@@ -41,15 +41,15 @@ def levels_sql(depth=12):
 PATHS = f"{E15}, {levels_sql()}"
 
 
-@query("G01_node_table", f"WITH {E15} SELECT id, s_name, s_nationkey FROM nd LEFT JOIN supplier ON s_suppkey = id")
+@query("G01_node_table", f"WITH {EALL} SELECT id, s_name, s_nationkey FROM nd LEFT JOIN supplier ON s_suppkey = id")
 def _(t):
     attrs = t.supplier.select(F.col("s_suppkey").alias("id"), "s_name", "s_nationkey")
-    return gr.node_table(supplier_edges(t), attrs)
+    return gr.node_table(supplier_edges(t, None), attrs)
 
 
-@query("G02_degrees", f"WITH {E15} SELECT src AS id, count(*) AS degree FROM k GROUP BY 1")
+@query("G02_degrees", f"WITH {EALL} SELECT src AS id, count(*) AS degree FROM k GROUP BY 1")
 def _(t):
-    return gr.degrees(supplier_edges(t))
+    return gr.degrees(supplier_edges(t, None))
 
 
 def comp_sql(e):
@@ -57,14 +57,14 @@ def comp_sql(e):
       co AS (SELECT id, min(root) AS component FROM rc GROUP BY 1)"""
 
 
-@query("G03_components", f"{comp_sql(E25)} SELECT id, component FROM co")
+@query("G03_components", f"{comp_sql(EALL)} SELECT id, component FROM co")
 def _(t):
-    return gr.components(supplier_edges(t, 2.5))
+    return gr.components(supplier_edges(t, None))
 
 
-@query("G03_component_sizes", f"{comp_sql(E25)} SELECT component, count(*) AS n_nodes FROM co GROUP BY 1")
+@query("G03_component_sizes", f"{comp_sql(EALL)} SELECT component, count(*) AS n_nodes FROM co GROUP BY 1")
 def _(t):
-    return gr.component_sizes(gr.components(supplier_edges(t, 2.5)))
+    return gr.component_sizes(gr.components(supplier_edges(t, None)))
 
 
 @query(
@@ -78,10 +78,10 @@ def _(t):
 
 @query(
     "G05_density",
-    f"""WITH {E15} SELECT count(DISTINCT src) AS n_nodes, CAST(count(*) / 2 AS BIGINT) AS n_edges, round(count(*)::DOUBLE / (count(DISTINCT src)::DOUBLE * (count(DISTINCT src) - 1)), 8) AS density FROM k""",
+    f"""WITH {EALL} SELECT count(DISTINCT src) AS n_nodes, CAST(count(*) / 2 AS BIGINT) AS n_edges, round(count(*)::DOUBLE / (count(DISTINCT src)::DOUBLE * (count(DISTINCT src) - 1)), 8) AS density FROM k""",
 )
 def _(t):
-    return gr.density(supplier_edges(t)).withColumn("density", F.round("density", 8))
+    return gr.density(supplier_edges(t, None)).withColumn("density", F.round("density", 8))
 
 
 @query("G06_shortest_paths", f"WITH {PATHS} SELECT s AS source, v AS id, CAST(d AS INTEGER) AS dist, p AS paths FROM sp")
@@ -131,9 +131,9 @@ EIGEN = """lk AS (SELECT src, dst FROM k UNION ALL SELECT id, id FROM nd),
   eg AS (SELECT id, x / (SELECT max(x) FROM pw WHERE i = 24) AS x FROM pw WHERE i = 24)"""
 
 
-@query("G09_eigenvector", f"WITH RECURSIVE {E15}, {EIGEN} SELECT id, round(x, 8) AS eigen FROM eg")
+@query("G09_eigenvector", f"WITH RECURSIVE {EALL}, {EIGEN} SELECT id, round(x, 8) AS eigen FROM eg")
 def _(t):
-    return gr.eigenvector(supplier_edges(t), rounds=24).withColumn("eigen", F.round("eigen", 8))
+    return gr.eigenvector(supplier_edges(t, None), rounds=24).withColumn("eigen", F.round("eigen", 8))
 
 
 @query(

@@ -91,13 +91,12 @@ def _(t):
 
 @query(
     "P09_wide_counts_zero",
-    """SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS economy, count(*) FILTER (p_type = 'PROMO') AS promo,
-              count(*) FILTER (p_type = 'SMALL') AS small FROM part WHERE p_size <= 8 AND p_type IN ('ECONOMY','PROMO','SMALL') GROUP BY 1""",
+    """SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS economy, count(*) FILTER (p_type = 'LARGE') AS large, count(*) FILTER (p_type = 'MEDIUM') AS medium,
+              count(*) FILTER (p_type = 'PROMO') AS promo, count(*) FILTER (p_type = 'SMALL') AS small, count(*) FILTER (p_type = 'STANDARD') AS standard FROM part GROUP BY 1""",
 )
 def _(t):
-    rows = t.part.filter("p_size <= 8 AND p_type IN ('ECONOMY','PROMO','SMALL')")
-    counts = rows.groupBy("p_brand", F.lower("p_type").alias("kind")).agg(F.count("*").alias("n"))
-    return rs.to_wide(counts, ["p_brand"], "kind", "n", ["economy", "promo", "small"], fill=0)
+    counts = t.part.groupBy("p_brand", F.lower("p_type").alias("kind")).agg(F.count("*").alias("n"))
+    return rs.to_wide(counts, ["p_brand"], "kind", "n", ["economy", "large", "medium", "promo", "small", "standard"], fill=0)
 
 
 @query(
@@ -164,16 +163,12 @@ def _(t):
 @query(
     "P16_to_wide",
     """SELECT CAST(ts AS DATE) AS day, round(sum(value) FILTER (event_type = 'click'), 4) AS click,
-              round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase
-       FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1""",
+              round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase,
+              round(sum(value) FILTER (event_type = 'signup'), 4) AS signup, round(sum(value) FILTER (event_type = 'error'), 4) AS error FROM events GROUP BY 1""",
 )
 def _(t):
-    levels = ["click", "view", "purchase"]
-    sums = (
-        t.events.filter(F.col("event_type").isin(*levels))
-        .groupBy(F.to_date("ts").alias("day"), "event_type")
-        .agg(F.round(F.sum("value"), 4).alias("v"))
-    )
+    levels = ["click", "view", "purchase", "signup", "error"]
+    sums = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.round(F.sum("value"), 4).alias("v"))
     return rs.to_wide(sums, ["day"], "event_type", "v", levels)
 
 

@@ -51,7 +51,7 @@ def _(t):
 def _(t):
     stream = sb.stream_table(t.spark, t.dir, "events", "ts")
     frames = sb.windowed_totals(
-        stream, "ts", "3 minutes", "1 hour", ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 4)
+        stream, "ts", "3 minutes", sb.replay_delay(t.events, "ts"), ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 4)
     )
     out = sb.run_to_table(frames, "frames", keys=["bucket", "event_type"])
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
@@ -81,7 +81,7 @@ def _(t):
     for kind, name in (("click", "click_id"), ("view", "view_id")):
         ev = sb.stream_table(t.spark, t.dir, "events", "ts").filter(F.col("event_type") == kind)
         parts.append(ev.select("user_id", F.date_trunc("hour", "ts").alias("at"), F.col("event_id").alias(name)))
-    joined = sb.stream_aligned(parts[0], parts[1], ["user_id"], "at", "-2 hours", "3 hours")
+    joined = sb.stream_aligned(parts[0], parts[1], ["user_id"], "at", "-2 hours", sb.replay_delay(t.events, "ts", "3 hours"))
     out = sb.run_to_table(joined, "aligned")
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
@@ -226,17 +226,17 @@ def _(t):
 
 @query(
     "TS11_impute_gaps",
-    """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value), 2) AS v FROM events WHERE event_type = 'click' GROUP BY 1, 2),
-         c AS (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1),
-         g AS (SELECT c.user_id, c.day FROM c ANTI JOIN d USING (user_id, day)),
-         n AS (SELECT g.user_id, g.day, d.v FROM g JOIN d USING (user_id)
-               QUALIFY row_number() OVER (PARTITION BY g.user_id, g.day ORDER BY abs(g.day - d.day), d.day) <= 5)
-       SELECT user_id, day, round(v, 6) AS v, FALSE AS imputed FROM d UNION ALL SELECT user_id, day, round(avg(v), 6), TRUE FROM n GROUP BY 1, 2""",
+    """WITH d AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day, round(sum(value), 2) AS v FROM events GROUP BY 1, 2, 3),
+         c AS (SELECT event_type, user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1, 2),
+         g AS (SELECT c.event_type, c.user_id, c.day FROM c ANTI JOIN d USING (event_type, user_id, day)),
+         n AS (SELECT g.event_type, g.user_id, g.day, d.v FROM g JOIN d USING (event_type, user_id)
+               QUALIFY row_number() OVER (PARTITION BY g.event_type, g.user_id, g.day ORDER BY abs(g.day - d.day), d.day) <= 5)
+       SELECT event_type, user_id, day, round(v, 6) AS v, FALSE AS imputed FROM d
+       UNION ALL SELECT event_type, user_id, day, round(avg(v), 6), TRUE FROM n GROUP BY 1, 2, 3""",
 )
 def _(t):
-    clicks = t.events.filter("event_type = 'click'")
-    daily = clicks.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("v"))
-    return ts.impute_gaps(daily, ["user_id"], "day", "v").withColumn("v", F.round("v", 6))
+    daily = t.events.groupBy("event_type", "user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("v"))
+    return ts.impute_gaps(daily, ["event_type", "user_id"], "day", "v").withColumn("v", F.round("v", 6))
 
 
 @query(
