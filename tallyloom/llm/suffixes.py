@@ -128,6 +128,7 @@ def anchor_runs(texts: DataFrame, length: int, n_ranges: int) -> DataFrame:
 
     def per_batch(batches):
         for b in batches:
+            b = b.sort_values("key").drop_duplicates("text")  # equal texts: the smallest id speaks for all
             for part in batches_of(b, limit=BATCH_BYTES // 2):
                 raw = [t.encode() for t in part["text"]]
                 for group in _groups(raw):
