@@ -207,18 +207,16 @@ def polynomial_errors(
         "__x", (F.col(x) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     )
     rows = VectorAssembler(inputCols=["__x"], outputCol="__v").transform(scaled).persist()
-    out = None
+    found = []
     for d in degrees:
         expand = PolynomialExpansion(degree=d, inputCol="__v", outputCol="__p")
         lr = LinearRegression(featuresCol="__p", labelCol=y, solver="normal", predictionCol="__hat")
         model = Pipeline(stages=[expand, lr]).fit(rows.filter(is_train))
         e = F.pow(F.col(y) - F.col("__hat"), F.lit(2.0))
-        part = model.transform(rows).agg(
-            F.avg(F.when(F.col(is_train), e)).alias("train_mse"),
-            F.avg(F.when(~F.col(is_train), e)).alias("test_mse"),
-        ).select(F.lit(d).alias("degree"), "train_mse", "test_mse")
-        out = part if out is None else out.union(part)
-    return out
+        means = model.transform(rows).agg(F.avg(F.when(F.col(is_train), e)), F.avg(F.when(~F.col(is_train), e))).first()
+        found.append((d, *means))  # one row per degree
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "degree int, train_mse double, test_mse double")
 
 
 def lasso_path(
@@ -229,17 +227,17 @@ def lasso_path(
     Folds come from a hash of the key, so they are the same on every run.
     """
     data = rows.withColumn("__fold", hash_draw(seed, key) % folds).persist()
-    errors = None
+    found = []
     for lam in lambdas:
         lr = LinearRegression(
             featuresCol=features, labelCol=y, predictionCol="__hat", elasticNetParam=1.0, regParam=lam, maxIter=max_iter
         )
         for f in range(folds):
             model = lr.fit(data.filter(F.col("__fold") != f))
-            part = model.transform(data.filter(F.col("__fold") == f)).agg(
-                F.avg(F.pow(F.col(y) - F.col("__hat"), F.lit(2.0))).alias("mse")
-            ).select(F.lit(float(lam)).alias("lambda"), F.lit(f).alias("fold"), "mse")
-            errors = part if errors is None else errors.union(part)
+            error = F.avg(F.pow(F.col(y) - F.col("__hat"), F.lit(2.0)))
+            found.append((float(lam), f, model.transform(data.filter(F.col("__fold") == f)).agg(error).first()[0]))
+    data.unpersist()
+    errors = rows.sparkSession.createDataFrame(found, "lambda double, fold int, mse double")  # one row per fit
     table = errors.groupBy("lambda").agg(
         F.avg("mse").alias("mean_mse"), (F.stddev_samp("mse") / F.sqrt(F.count("*"))).alias("se")
     )
@@ -268,14 +266,19 @@ def lasso_terms(rows: DataFrame, features: str, y: str, lam: float, vocabulary:
 
 
 def forest_fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, trees: int = 20, seed: int = 5):
-    """Preprocessing and random-forest regression as one fitted pipeline."""
+    """Preprocessing and random-forest regression as one fitted pipeline.
+
+    There are at least 32 bins, and as many as the largest factor has levels.
+    """
+    levels = train.agg(*[F.count_distinct(c) for c in categorical]).first() if categorical else [0]
+    bins = max(32, *levels) + 1  # one more for levels that appear later
     coded = [f"__i_{c}" for c in categorical]
     stages = [
         StringIndexer(inputCols=list(categorical), outputCols=coded, handleInvalid="keep", stringOrderType="alphabetAsc")
     ] if categorical else []
     stages += [
         VectorAssembler(inputCols=[*numeric, *coded], outputCol="__f"),
-        RandomForestRegressor(featuresCol="__f", labelCol=y, predictionCol="prediction", numTrees=trees, seed=seed, maxBins=64),
+        RandomForestRegressor(featuresCol="__f", labelCol=y, predictionCol="prediction", numTrees=trees, seed=seed, maxBins=bins),
     ]
     return Pipeline(stages=stages).fit(train)
 

@@ -75,3 +75,11 @@ def test_stream_over_a_folder_of_unordered_files_equals_the_batch(spark, tmp_pat
     want = table.groupBy(F.window(F.col("ts").cast("timestamp"), "3 minutes")["start"].alias("bucket"), "event_type").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, got.select("bucket", "event_type", "n").collect())) == sorted(map(tuple, want.collect()))
     assert got.agg(F.sum("n")).first()[0] == 125
+
+
+def test_forest_takes_factors_of_many_levels(spark):
+    from tallyloom.operators import ml
+
+    rows = spark.createDataFrame([(f"level{i % 90}", float(i % 7), float(i % 90)) for i in range(900)], "c string, x double, y double")
+    model = ml.forest_fit(rows, ["x"], ["c"], "y", trees=3)
+    assert model.transform(rows).filter("prediction is null").isEmpty()
