@@ -160,25 +160,42 @@ def near_duplicate_classes(
     again = placed.join(core, "bucket").filter(F.col("class") != F.col("c.class"))
     again = again.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
     again = stored(again.join(stars, ["a", "b"], "left_anti"), "second-stars")
-    links = stored(links.union(_links(again, sets, similar)), "links-2")
-    found = _classes(links)
-    rest = _possible_pairs(_mixed(placed.select("bucket", "key"), found), facts, similar).union(_rare_pairs(few, found))
-    rest = rest.join(stars.union(again), ["a", "b"], "left_anti")
-    more = stored(_links(rest, sets, similar), "more-links")
-    if not more.isEmpty():
-        found = _classes(links.union(more))
-    found = found.withColumnRenamed("key", "rep")
-    classes = own.distinct().join(found, "rep", "left").groupBy("key").agg(F.min(F.coalesce("class", "rep")).alias("class_id"))
+    second = stored(_between(_links(again, sets, similar), found), "second-links")
+    # for what is left, classes that the second pivots have linked count as one
+    low = second.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("low"))
+    joined = placed.join(low, "class", "left").select("bucket", "key", F.coalesce("low", "class").alias("class"))
+    joined = stored(_still_mixed(joined), "still-mixed")
+    rare = _rare_pairs(few.join(joined.select("key", "class").distinct(), "key"))
+    rest = _possible_pairs(joined, facts, similar).union(rare).join(stars.union(again), ["a", "b"], "left_anti")
+    between = stored(second.union(_between(_links(rest, sets, similar), found)).distinct(), "class-links")
+    ends = own.distinct().join(found.withColumnRenamed("key", "rep"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class"))
+    if not between.isEmpty():
+        roots = _classes(between).toDF("class", "root")
+        ends = ends.join(roots, "class", "left").select("key", F.coalesce("root", "class").alias("class"))
+    classes = ends.groupBy("key").agg(F.min("class").alias("class_id"))
     return texts.select("key").join(classes, "key", "left").select(shown_id().alias(id_col), "class_id")
 
 
 def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     """(bucket, key, class) of the buckets whose members are in several classes."""
     placed = member.select("bucket", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    return _still_mixed(placed)
+
+
+def _still_mixed(placed: DataFrame) -> DataFrame:
     mixed = placed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 < c1")
     return placed.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
+def _between(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) as links between classes, the smaller first."""
+    for end in "ab":
+        classes = found.select(F.col("key").alias(end), F.col("class").alias(f"class_{end}"))
+        links = links.join(classes, end, "left")
+    ends = [F.coalesce(f"class_{end}", end) for end in "ab"]
+    return links.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).filter("a < b").distinct()
+
+
 def _own_shares(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shingles that at most ``RARE`` texts have.
 
@@ -196,11 +213,10 @@ def _own_shares(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(rows.select("key", "size", "own", (F.col("own") / F.col("size")).alias("share")), "own-shares"), few
 
 
-def _rare_pairs(few: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs in different classes that have a rare shingle in common; at most ``RARE`` texts meet in one."""
-    rows = few.join(found, "key", "left").select("s", "key", F.coalesce("class", "key").alias("class"))
+def _rare_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs in different classes that have a rare shingle (s, key, class) in common; at most ``RARE`` texts meet in one."""
     a, b = (rows.select("s", F.col("key").alias(k), F.col("class").alias(f"class_{k}")) for k in "ab")
-    return a.join(b, (a["s"] == b["s"]) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))).select("a", "b").distinct()
+    return a.join(b, "s").filter((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))).select("a", "b").distinct()
 
 
 def _possible_pairs(placed: DataFrame, facts: DataFrame, similar: float) -> DataFrame:
