@@ -231,15 +231,17 @@ def _possible_pairs(placed: DataFrame, facts: DataFrame, similar: float) -> Data
     f = similar / (1 + similar)
     slack = 1e-9
     step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20).cast("int")
-    rows = placed.join(facts, "key").withColumn("most", (F.col("size") - F.col("own")) / F.lit(f) - F.col("size") + F.lit(slack))
+    shared = placed.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))  # at most one a band
+    rows = placed.join(shared, "key").join(facts, "key").withColumn("most", (F.col("size") - F.col("own")) / F.lit(f) - F.col("size") + F.lit(slack))
     rows = rows.filter(F.col("most") >= similar * F.col("size") - slack)
     large = rows.withColumn("top", F.least("most", F.col("size").cast("double")))
     large = large.withColumn("step", F.explode(F.sequence(step(similar * F.col("size") - slack), step(F.col("top")))))
-    large = large.select("bucket", "step", *[F.col(c).alias(f"x_{c}") for c in ("key", "class", "size", "most")])
+    large = large.select("bucket", "step", *[F.col(c).alias(f"x_{c}") for c in ("key", "class", "size", "most", "buckets")])
     small = rows.withColumn("step", step(F.col("size").cast("double")))
     pairs = large.join(small, ["bucket", "step"]).filter(
         (F.col("class") != F.col("x_class")) & (F.col("size") <= F.col("x_size")) & (F.col("size") <= F.col("x_most"))
         & (F.col("x_size") <= F.col("most")) & (F.col("size") >= similar * F.col("x_size") - slack)
+        & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "x_buckets")))  # once, in the first bucket in common
     )
     return pairs.select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct()
 
