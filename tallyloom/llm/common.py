@@ -48,3 +48,17 @@ def text_bytes(texts: DataFrame) -> int:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The table written once to the shared folder and read back."""
     return store_and_reload(df, f"llm-{tag}")
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; idle workers keep it otherwise."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bucket, id_and_text, parts, shown_id, stored, text_bytes
+from tallyloom.llm.common import bucket, give_back, id_and_text, parts, shown_id, stored, text_bytes
 from tallyloom.llm.words import batches_of, mix
 
 LENGTH = 50
@@ -147,6 +147,8 @@ def anchor_runs(texts: DataFrame, length: int, n_ranges: int) -> DataFrame:
                         six = np.ascontiguousarray(x["h"].to_numpy().astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:])
                         out.append((r, key[some].astype("<i8").tobytes(), ids[some].tobytes(), _planes(count[some]), six.tobytes(), _planes(step)))
                     yield pd.DataFrame(out, columns=["part", "keys", "ids", "counts", "hashes", "steps"])
+            del b
+            give_back()
 
     return texts.mapInPandas(per_batch, "part int, keys binary, ids binary, counts binary, hashes binary, steps binary")
 
@@ -172,6 +174,7 @@ def shared_anchors(runs: DataFrame, hot: int) -> DataFrame:
     """
 
     def one_range(g: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         g = g.sort_values("keys", kind="stable")
         count = np.concatenate([_from_planes(x) for x in g["counts"]])
         key, ids = (np.concatenate([np.frombuffer(x, "<i8") for x in g[c]]) for c in ("keys", "ids"))
@@ -231,6 +234,7 @@ def contexts(texts: DataFrame, flags: DataFrame, length: int, n_shards: int) ->
 
     def per_chunk(d: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         columns = ["shard", "chunk", "bytes", "sizes", "keys", "numbers", "lo", "dealt"]
+        give_back()
         if d.empty or f.empty:
             return pd.DataFrame(columns=columns)
         raw, number, rows = numbered(d)
@@ -461,6 +465,7 @@ def drop_repeated_bytes(
     packed = contexts(chunked, flags.withColumn("chunk", chunk_of), length, n_shards)
 
     def per_shard(g: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return resolve_shard(g, length).assign(shard=int(g["shard"].iloc[0]))
 
     schema = "chunk int, numbers binary, starts binary, runs binary"
