@@ -56,10 +56,11 @@ def span_table(texts: DataFrame, least: int, long: int) -> DataFrame:
         for b in batches:
             for part in batches_of(b):
                 s = spans(split_words(part["text"].tolist(), lower=True), least, long)
-                s["key"] = part["key"].to_numpy()[s["text"]]
-                yield s[["key", "i", "j", "h1", "h2"]]
+                for c in ("key", "body"):
+                    s[c] = part[c].to_numpy()[s["text"]]
+                yield s[["key", "body", "i", "j", "h1", "h2"]]
 
-    return texts.mapInPandas(per_batch, "key long, i int, j int, h1 long, h2 long")
+    return texts.mapInPandas(per_batch, "key long, body long, i int, j int, h1 long, h2 long")
 
 
 def _cut(part: pd.DataFrame) -> pd.DataFrame:
@@ -100,13 +101,15 @@ def drop_repeated_spans(
     them. Returns one row per input row: (id_col, n_sentences, n_removed,
     removed: byte ranges of the input, text). NULL texts are empty and lose
     nothing. Rows with the same id are one document, so a repeated row removes
-    nothing from its copy; a NULL id is the smallest. No rows in, none out.
+    nothing from its copy; different texts of one id, as of NULL, are documents
+    of their own, in the order of their hashes. A NULL id is the smallest. No
+    rows in, none out.
     """
-    texts = id_and_text(docs, id_col, text_col)
+    texts = id_and_text(docs, id_col, text_col).withColumn("body", F.xxhash64("text"))  # places belong to one text of an id
     every = span_table(texts, least, long)
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("key", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = every.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter((F.col("key") != F.col("first.key")) | (F.col("i") != F.col("first.i")))
-    gone = again.groupBy("key").agg(F.collect_set(F.struct("i", "j")).alias("gone"))  # at most one span per sentence
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct("key", "body", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = every.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter(F.struct("key", "body", "i") != F.col("first"))
+    gone = again.groupBy("key", "body").agg(F.collect_set(F.struct("i", "j")).alias("gone"))  # at most one span per sentence
 
     def per_batch(batches):
         for b in batches:
@@ -114,5 +117,5 @@ def drop_repeated_spans(
                 yield _cut(part)
 
     schema = "key long, n_sentences int, n_removed int, removed array<struct<start:long,end:long>>, text string"
-    cut = texts.join(gone, "key", "left").mapInPandas(per_batch, schema)
+    cut = texts.join(gone, ["key", "body"], "left").mapInPandas(per_batch, schema)
     return cut.select(shown_id().alias(id_col), "n_sentences", "n_removed", "removed", F.col("text").alias(text_col))

@@ -74,6 +74,24 @@ def test_passage_goes_from_all_but_its_first_document_and_the_rest_stays(spark):
         assert passage not in got[i] and own[i] in got[i] and own[i + 3] in got[i]
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_texts_that_share_an_id_lose_only_their_own_repeats(spark, key):
+    import random
+
+    rng = random.Random(2)
+    passage = " ".join(sentence(rng, 20) for _ in range(2))
+    own = [sentence(rng, 15) for _ in range(14)]
+    short, long = f"{passage}\n{own[0]}", "\n".join([*own[1:13], passage, own[13]])
+    rows = [(key, short), (key, long), (key, long), (9, f"{own[13]} {passage}")]
+    got = spans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted(r["text"] for r in got if r["doc_id"] == key)
+    whole = [short, long, long]
+    cut = [t.replace(passage, "") for t in whole]
+    squeeze = lambda texts: sorted(" ".join(t.split()) for t in texts)
+    assert squeeze(kept) in (squeeze([short, *cut[1:]]), squeeze([cut[0], *whole[1:]]))
+    assert [" ".join(r["text"].split()) for r in got if r["doc_id"] == 9] == [own[13]]
+
+
 def test_no_documents(nothing, spark):
     assert spans.drop_repeated_spans(nothing).collect() == []
     assert licenses.scan_licenses(nothing, licenses.notices(spark)).collect() == []
