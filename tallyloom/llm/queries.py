@@ -79,7 +79,7 @@ def op5_near_duplicates(t: Tables):
 
 @query("op9_sentence_spans")
 def op9_sentence_spans(t: Tables):
-    return spans.drop_repeated_spans(t.documents)
+    return spans.drop_repeated_spans(t.documents, tails=True)
 
 
 @query("op10_suffix_array_dedup")

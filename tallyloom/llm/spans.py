@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence starts one span: the shortest run of sentences with enough
-words. Spans are hashed and counted over all documents; the first occurrence of
+words. With ``tails``, the shortest such run that ends at a sentence is a span
+too; the two kinds together cover every sentence of every run of enough words.
+Spans are hashed and counted over all documents; the first occurrence of
 a span is the one in the smallest id, at the smallest place. Sentences that any
 other occurrence of a repeated span covers are removed.
 """
@@ -35,8 +37,11 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], end[:-1]]), end
 
 
-def spans(w: Words, least: int = LEAST_WORDS, long: int = LONG_WORDS) -> pd.DataFrame:
-    """(text, i, j, h1, h2): each span's first and last sentence, counted from the text's first, and its hashes."""
+def spans(w: Words, least: int = LEAST_WORDS, long: int = LONG_WORDS, tails: bool = False) -> pd.DataFrame:
+    """(text, i, j, h1, h2): each span's first and last sentence, counted from the text's first, and its hashes.
+
+    ``tails`` adds the shortest runs that end at a sentence, where no span from a first sentence is the same.
+    """
     first, end = sentences(w)
     n = len(first)
     text = w.text[first]
@@ -45,17 +50,28 @@ def spans(w: Words, least: int = LEAST_WORDS, long: int = LONG_WORDS) -> pd.Data
     j = np.maximum(i + 1, np.searchsorted(end, first + least))
     j = np.minimum(j, np.searchsorted(end, first + long))
     whole = j < at[text + 1]
-    i, j, text = i[whole], j[whole], text[whole]
+    i, j = i[whole], j[whole]
+    if tails:
+        b = np.arange(n)
+        a = np.minimum(b - 1, np.searchsorted(first, end - least, side="right") - 1)
+        a = np.maximum(a, np.searchsorted(first, end - long, side="right") - 1)
+        more = a >= at[text]
+        a, b = a[more], b[more]
+        same = np.full(n, -1)
+        same[i] = j
+        new = same[a] != b
+        i, j = np.append(i, a[new]), np.append(j, b[new])
+    text = text[i]
     h1 = range_hashes(w.hash, first[i], end[j])
     h2 = range_hashes(mix(w.hash ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first[i], end[j])
     return pd.DataFrame({"text": text, "i": i - at[text], "j": j - at[text], "h1": h1.view(np.int64), "h2": h2.view(np.int64)})
 
 
-def span_table(texts: DataFrame, least: int, long: int) -> DataFrame:
+def span_table(texts: DataFrame, least: int, long: int, tails: bool = False) -> DataFrame:
     def per_batch(batches):
         for b in batches:
             for part in batches_of(b):
-                s = spans(split_words(part["text"].tolist(), lower=True), least, long)
+                s = spans(split_words(part["text"].tolist(), lower=True), least, long, tails)
                 for c in ("key", "body"):
                     s[c] = part[c].to_numpy()[s["text"]]
                 yield s[["key", "body", "i", "j", "h1", "h2"]]
@@ -94,9 +110,13 @@ def _cut(part: pd.DataFrame) -> pd.DataFrame:
 
 def drop_repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, long: int = LONG_WORDS,
+    tails: bool = False,
 ) -> DataFrame:
     """Texts without sentences that a non-first occurrence of a repeated span covers.
 
+    With ``tails``, these are all sentences of every repeated run of enough
+    words; without, the last ones of a run stay where no span from a first
+    sentence reaches them. Runs are met where they fall into the same sentences.
     Words are compared without regard to A-Z case and to white space between
     them. Returns one row per input row: (id_col, n_sentences, n_removed,
     removed: byte ranges of the input, text). NULL texts are empty and lose
@@ -106,10 +126,10 @@ def drop_repeated_spans(
     rows in, none out.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("body", F.xxhash64("text"))  # places belong to one text of an id
-    every = span_table(texts, least, long)
+    every = span_table(texts, least, long, tails)
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("key", "body", "i")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = every.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter(F.struct("key", "body", "i") != F.col("first"))
-    gone = again.groupBy("key", "body").agg(F.collect_set(F.struct("i", "j")).alias("gone"))  # at most one span per sentence
+    gone = again.groupBy("key", "body").agg(F.collect_set(F.struct("i", "j")).alias("gone"))
 
     def per_batch(batches):
         for b in batches:

@@ -92,6 +92,44 @@ def test_texts_that_share_an_id_lose_only_their_own_repeats(spark, key):
     assert [" ".join(r["text"].split()) for r in got if r["doc_id"] == 9] == [own[13]]
 
 
+def brute_all_runs(rows, least, long):
+    key = lambda i: -(2**63) if i is None else i
+    first, found = {}, []
+    for i, t in rows:
+        s = sentences(t or "")
+        for a in range(len(s)):
+            for b in range(a, len(s)):
+                n = sum(map(len, s[a : b + 1]))
+                if (n >= least and b > a) or n >= long:
+                    h = b" ".join(w for x in s[a : b + 1] for w in x)
+                    found.append((key(i), a, b, h))
+                    first[h] = min(first.get(h, (key(i), a)), (key(i), a))
+    gone = {}
+    for i, a, b, h in found:
+        if first[h] != (i, a):
+            gone.setdefault(i, set()).update(range(a, b + 1))
+    return sorted((str(i), len(sentences(t or "")), len(gone.get(key(i), ()))) for i, t in rows)
+
+
+def test_tails_cover_every_repeated_run_to_its_last_sentence(messy, spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect() if len(r["text"] or "") < 5000]
+    for lengths in ([18, 18, 10, 5], [45, 15], [20, 20, 9, 6], [41], [5, 45, 5], [9, 9], [39], [20]):
+        run = " ".join(sentence(rng, n) for n in lengths)
+        for _ in range(2):  # once between other sentences and once at the end
+            rows.append((200 + len(rows), f"{sentence(rng, 8)} {run} {sentence(rng, 30)}"))
+            rows.append((200 + len(rows), f"{sentence(rng, 8)} {run}"))
+    for k in range(60):  # few different sentences, so that runs meet and overlap in many ways
+        pool = [sentence(random.Random(n), n) for n in (1, 2, 5, 8, 13, 19, 22, 41)]
+        rows.append((400 + k, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, long in ((20, 40), (9, 9)):
+        got = spans.drop_repeated_spans(frame, least=least, long=long, tails=True).collect()
+        assert sorted((str(r["doc_id"]), r["n_sentences"], r["n_removed"]) for r in got) == brute_all_runs(rows, least, long)
+
+
 def test_no_documents(nothing, spark):
     assert spans.drop_repeated_spans(nothing).collect() == []
     assert licenses.scan_licenses(nothing, licenses.notices(spark)).collect() == []
