@@ -5,8 +5,10 @@ plus the logarithm of its count. Each arrival falls on a random component of the
 signature, and a component keeps the shingle that arrives first; a shingle stops
 when its next arrival is later than all that the signature holds. Components of
 two documents agree with probability equal to their probability Jaccard index.
-Bands of the signature pick candidates, and the shingle sets of candidates are
-compared exactly.
+Where counts are unequal, that lies below the Jaccard index of the sets, so a text with
+unequal counts has a second signature with equal weights, whose components agree
+as often as the sets do; with equal counts the two are the same. Bands of the
+signatures pick candidates, and the shingle sets of candidates are compared exactly.
 
 Equal texts are one candidate. Of a bucket, members are first compared with its
 smallest id, then those of other classes with its most typical text. What is
@@ -72,24 +74,42 @@ def prob_min_hash(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts:
     return sig.reshape(n_texts, m)
 
 
+def band_hashes(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, bands: int, rows: int) -> np.ndarray:
+    """(n_texts, bands): a hash per band of each signature."""
+    sig = prob_min_hash(text, h, weight, n_texts, bands * rows).reshape(n_texts, bands, rows)
+    mark = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n_texts, bands))
+    for r in range(rows):
+        with np.errstate(over="ignore"):
+            mark = mix(mark * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return mark.view(np.int64)
+
+
+def text_bands(text: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int, bands: int, rows: int) -> list[np.ndarray]:
+    """Hashes of each text's bands: those by weight, and those by equal weights where counts are unequal; none without shingles."""
+    out = list(band_hashes(text, h, 1 + np.log(count), n_texts, bands, rows))
+    for i in np.flatnonzero(np.bincount(text, minlength=n_texts) == 0):
+        out[i] = out[i][:0]
+    first = np.searchsorted(text, np.arange(n_texts))
+    uneven = np.unique(text[count != count[first[text]]])
+    own = np.isin(text, uneven)
+    plain = band_hashes(np.searchsorted(uneven, text[own]), h[own], np.ones(own.sum()), len(uneven), bands, rows)
+    for i, x in zip(uneven, plain):
+        out[i] = np.concatenate([out[i], x])
+    return out
+
+
 def signatures(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(key, h1, h2, bands): two hashes of the text, and a hash per band (none for texts without words)."""
+    """(key, h1, h2, bands): two hashes of the text, and the hashes of its bands (none for texts without words)."""
 
     def per_batch(batches):
         for b in batches:
             for part in batches_of(b):
                 own = part["text"].tolist()
                 t, h, count = weighted_shingles(own, width)
-                sig = prob_min_hash(t, h, 1 + np.log(count), len(own), bands * rows).reshape(len(own), bands, rows)
-                mark = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(own), bands))
-                for r in range(rows):
-                    with np.errstate(over="ignore"):
-                        mark = mix(mark * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                some = np.bincount(t, minlength=len(own)) > 0
                 ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in own), "<i8").reshape(-1, 2)
                 yield pd.DataFrame({
                     "key": part["key"].to_numpy(), "h1": ids[:, 0], "h2": ids[:, 1],
-                    "bands": [x if s else [] for x, s in zip(mark.view(np.int64), some)],
+                    "bands": text_bands(t, h, count, len(own), bands, rows),
                 })
 
     return texts.mapInPandas(per_batch, "key long, h1 long, h2 long, bands array<long>")
@@ -231,7 +251,7 @@ def _possible_pairs(placed: DataFrame, facts: DataFrame, similar: float) -> Data
     f = similar / (1 + similar)
     slack = 1e-9
     step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) * 20).cast("int")
-    shared = placed.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))  # at most one a band
+    shared = placed.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))  # at most two a band
     rows = placed.join(shared, "key").join(facts, "key").withColumn("most", (F.col("size") - F.col("own")) / F.lit(f) - F.col("size") + F.lit(slack))
     rows = rows.filter(F.col("most") >= similar * F.col("size") - slack)
     large = rows.withColumn("top", F.least("most", F.col("size").cast("double")))

@@ -54,6 +54,27 @@ def test_chain_of_copies_and_texts_that_share_a_long_passage(spark):
     assert got == want
 
 
+def test_pairs_with_unequal_repeats_are_linked(spark):
+    rows = []
+    for i in range(150):  # one text of a pair has a passage 50 times, the other once
+        passage, rest = " ".join(f"p{i}x{n}" for n in range(24)), " ".join(f"r{i}x{n}" for n in range(80))
+        rows.append((2 * i, f"{rest} " + " ".join([passage] * 50)))
+        rows.append((2 * i + 1, f"{rest} {passage} " + " ".join(f"z{i}x{n}" for n in range(i % 18))))
+    want = brute(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == 150
+
+
+def test_bands_by_equal_weights_stand_beside_those_by_weight_only_where_counts_differ():
+    texts = ["a b c d e f g", "a b c d e f g " * 9 + "x y z", "", "a a a a a a a", "a b c d e f g x y z"]
+    t, h, count = near.weighted_shingles(texts)
+    got = [x.tolist() for x in near.text_bands(t, h, count, len(texts), 20, 4)]
+    assert [len(x) for x in got] == [20, 40, 0, 20, 20]
+    plain = near.band_hashes(t, h, np.ones(len(t)), len(texts), 20, 4)
+    assert got[1][20:] == plain[1].tolist() and got[0] == plain[0].tolist() and got[3] == plain[3].tolist()
+    assert near.text_bands(t[:0], h[:0], count[:0], 2, 20, 4)[1].tolist() == []
+
+
 def test_components_agree_as_often_as_probability_jaccard_says():
     rng = np.random.default_rng(4)
     h = rng.integers(1, 2**63, 300).astype(np.uint64)
