@@ -5,6 +5,8 @@ near nodes that came before it and links back, so every level stays navigable.
 The candidates of a node come from blocked products over the nodes before it.
 Neighbours are flat arrays, -1 where a node has fewer. A query descends greedily
 to the ground level, searches it with a beam, and the shards' results merge.
+Equal directions of a shard are one node; a node that is found stands for all its
+rows, the smallest ids of equal vectors first.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def index_shards(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", m: int = WIDTH) -> DataFrame:
-    """One row per shard and vector length: ids, vectors, and the graph as flat arrays.
+    """One row per shard and vector length: ids, vectors and their nodes, and the graph as flat arrays.
 
     NULL vectors, vectors with NULL or non-finite components or of length zero,
     and rows without an id are left out; of rows that share an id, the least
@@ -142,17 +144,20 @@ def index_shards(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("key")
-        x = np.array(g["x"].tolist())
+        x = np.array(g["x"].tolist()) + 0.0  # no negative zeros
         unit = _unit(x)
-        graph = build_graph(unit, m)
+        node, same = (np.unique(v, axis=0, return_inverse=True)[1].reshape(-1) for v in (unit, x))
+        order = np.lexsort((same, node))  # stable: ids stay sorted among equal vectors
+        x, node = x[order], node[order]
+        graph = build_graph(unit[order][np.diff(node, prepend=-1) > 0], m)
         return pd.DataFrame({
-            "shard": [g["shard"].iloc[0]], "width": [g["width"].iloc[0]], "ids": [g["key"].to_numpy("<i8").tobytes()],
-            "vectors": [x.astype("<f8").tobytes()], "nodes": [[n.astype("<i4").tobytes() for n, _ in graph]],
+            "shard": [g["shard"].iloc[0]], "width": [g["width"].iloc[0]], "ids": [g["key"].to_numpy("<i8")[order].tobytes()],
+            "vectors": [x.astype("<f8").tobytes()], "owners": [node.astype("<i4").tobytes()], "nodes": [[n.astype("<i4").tobytes() for n, _ in graph]],
             "links": [[e[n].astype("<i4").tobytes() for n, e in graph]],
         })
 
     return rows.withColumn("shard", bucket(n_shards, "key")).groupBy("shard", "width").applyInPandas(
-        build, "shard int, width int, ids binary, vectors binary, nodes array<binary>, links array<binary>"
+        build, "shard int, width int, ids binary, vectors binary, owners binary, nodes array<binary>, links array<binary>"
     )
 
 
@@ -174,7 +179,7 @@ def nearest(
     """The k nearest found for each query by cosine, nearest first, ties to the smaller id.
 
     Every usable row is indexed and searched (see :func:`index_shards`); a query
-    never meets its own id. Shards with at most ``beam`` rows are scanned whole,
+    never meets its own id. Shards with at most ``beam`` different directions are scanned whole,
     so small tables give all candidates. Scores are cosines of the original
     vectors in double precision. Returns (query_id, rank, vec_id, score).
     """
@@ -191,15 +196,25 @@ def nearest(
         s, found = s.iloc[0], []
         ids = np.frombuffer(s["ids"], "<i8")
         x = np.frombuffer(s["vectors"], "<f8").reshape(len(ids), -1)
-        unit, graph = _unit(x), []
+        node = np.frombuffer(s["owners"], "<i4")
+        new = np.diff(node, prepend=-1) > 0
+        unit, graph = _unit(x[new]), []
+        new[1:] |= (x[1:] != x[:-1]).any(axis=1)
+        place = np.arange(len(ids))
+        few = place - place[new][np.cumsum(new) - 1] <= k  # of equal vectors no other rows can be among the k
+        ids, x, node = ids[few], x[few], node[few]
+        at = np.searchsorted(node, np.arange(len(unit) + 1))
         for n, e in zip(s["nodes"], s["links"]):
             n = np.frombuffer(n, "<i4")
-            links = np.full((len(ids), 3 * m), -1, np.int32)
+            links = np.full((len(unit), 3 * m), -1, np.int32)
             links[n] = np.frombuffer(e, "<i4").reshape(len(n), -1)
             graph.append((n, links))
         for key, v in zip(q["key"], q["x"]):
             v = np.array(v)
-            c = np.arange(len(ids)) if len(ids) <= beam else search_graph(unit, graph, _unit(v[None])[0], beam)
+            if len(unit) <= beam:
+                c = np.arange(len(ids))
+            else:
+                c = np.concatenate([np.arange(at[i], at[i + 1]) for i in search_graph(unit, graph, _unit(v[None])[0], beam)])
             c = c[ids[c] != key]
             score = cosine(v, x[c])
             best = np.lexsort((ids[c], -score))[:k]

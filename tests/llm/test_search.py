@@ -87,6 +87,26 @@ def test_recall_of_the_graph_is_above_nine_tenths(spark):
     assert len(got) == 60 and found >= 54
 
 
+def test_a_third_of_equal_vectors_gives_their_smallest_ids_and_hides_no_others(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16)).astype(np.float32).astype(float)
+    x[rng.permutation(1500)[:500]] = x[7]
+    x[rng.permutation(1500)[:20]] *= 2  # equal directions, some of the group
+    group = np.flatnonzero((x == x[7]).all(axis=1))
+    asked = sorted({*range(0, 1500, 25), *group[:10].tolist()})
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, frame.filter(frame.vec_id.isin(asked))).collect()
+    hit = 0
+    for q in asked:
+        mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        s = ann.cosine(x[q], x)
+        want = [c for c in np.lexsort((np.arange(1500), -s)).tolist() if c != q][:5]
+        hit += len(set(mine) & set(want))
+        if q in group:
+            assert mine == want
+    assert hit / (5 * len(asked)) > 0.9
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert topk.exact_top_k(none, none).collect() == [] and ann.nearest(none, none).collect() == []
