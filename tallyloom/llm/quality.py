@@ -17,15 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import id_and_text, shown_id
+from tallyloom.llm.common import give_back, id_and_text
 from tallyloom.llm.words import batches_of, split_words
 
 MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 12_000
 HIDDEN = 16
+SLICE_BYTES = 1 << 20
 CUT = 0.3
 
 
@@ -191,22 +194,38 @@ def train_model(
 def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, score, columns in ``carry``): the score of each whole text, NULL texts as empty.
 
-    Without a model every score is 0.5.
+    Without a model every score is 0.5. Workers see texts a slice at a time and
+    pass carried columns on as they came; a carried text is not sent twice.
     """
-    rows = docs.select(
-        F.col(id_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    )
+    carried = {c: f"carry_{i}" for i, c in enumerate(carry) if c != text_col}
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in carried.items()])
+    schema = rows.schema.add("score", "double") if text_col in carry else rows.drop("text").schema.add("score", "double")
 
     def per_batch(batches):
         for b in batches:
-            for part in batches_of(b):
-                s = model.score(features(part["text"].tolist())) if model else np.full(len(part), 0.5)
-                yield part.drop(columns="text").assign(score=s)
-
-    kept = [f for f in rows.schema if f.name != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", score double"
-    scored = rows.mapInPandas(per_batch, schema)
-    return scored.select(F.col("key").alias(id_col), "score", *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])
+            for lo, hi in _slices(b.column("text")):
+                part = b.slice(lo, hi - lo)
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                s = model.score(features(texts)) if model else np.full(hi - lo, 0.5)
+                kept = [part.column(n) for n in schema.names[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(s)], names=schema.names)
+            give_back()
+
+    scored = rows.mapInArrow(per_batch, schema)
+    names = carried | {text_col: "text"}
+    return scored.select(F.col("key").alias(id_col), "score", *[F.col(names[c]).alias(c) for c in carry])
+
+
+def _slices(texts: pa.Array):
+    """Ranges of rows whose texts hold about SLICE_BYTES; a longer text is alone."""
+    lo, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > lo and held + n > SLICE_BYTES:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if len(texts) > lo:
+        yield lo, len(texts)
 
 
 def fold_zero(id_col: str = "doc_id"):

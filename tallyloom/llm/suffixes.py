@@ -123,6 +123,11 @@ def _from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def range_of(h: np.ndarray, n_ranges: int) -> np.ndarray:
+    """The range of each anchor. Anchors are least hashes, so they are mixed again to fill all ranges alike."""
+    return ((mix(h >> np.uint64(16)) >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+
+
 def anchor_runs(texts: DataFrame, length: int, n_ranges: int) -> DataFrame:
     """Anchors of each batch of texts by range of hashes, packed: documents, anchors of each, hashes and places."""
 
@@ -137,7 +142,7 @@ def anchor_runs(texts: DataFrame, length: int, n_ranges: int) -> DataFrame:
                     if not len(a):
                         continue
                     key, ids = part["key"].to_numpy()[group], _text_hash(own)
-                    where = ((a["h"].to_numpy() >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+                    where = range_of(a["h"].to_numpy(), n_ranges)
                     out = []
                     for r, x in a.groupby(where):
                         count = np.bincount(x["text"], minlength=len(own))

@@ -56,6 +56,13 @@ def test_long_texts_go_in_pieces_with_the_same_result(monkeypatch):
     assert strings(whole) == strings(pieces)
 
 
+def test_ranges_hold_alike_many_anchors():
+    rng = np.random.default_rng(9)
+    a = suffixes.anchors([bytes(rng.integers(97, 123, 60_000).astype(np.uint8)) for _ in range(4)], 50)
+    held = np.bincount(suffixes.range_of(a["h"].to_numpy(), 40), minlength=40)
+    assert len(a) > 8000 and held.max() < 1.4 * held.mean()
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(7)
     raw = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (40, 1, 40, 7, 25)] + [b"a" * 30, b"a" * 30]
