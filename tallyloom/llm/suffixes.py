@@ -38,24 +38,25 @@ SHARD_BYTES = 3 << 19
 HOT_ANCHOR = 50_000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
+_ODD = np.random.default_rng(31).integers(1, 2**63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- anchors ----------------------------------------------------------------------
 
 
-def _powers(n: int, base: int) -> np.ndarray:
+def window_hashes(buf: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` bytes from each place that has as many, read eight at a time."""
+    n = len(buf) - k + 1
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    if k < 8:
+        return mix(eight[:n] & np.uint64((1 << 8 * k) - 1))
+    places = [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, base, np.uint64))
-
-
-_cached: dict = {}
-
-
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _cached.get("n", 0) < n:
-        size = max(n, BATCH_BYTES + (1 << 18))
-        _cached.update(n=size, up=_powers(size, _BASE), down=_powers(size, pow(_BASE, -1, 2**64)))
-    return _cached["up"][:n], _cached["down"][:n]
+        total = eight[:n] * _ODD[0]
+        for i, at in enumerate(places[1:], 1):
+            total += eight[at : at + n] * _ODD[i % len(_ODD)] + np.uint64(i)
+            total ^= total >> np.uint64(29)
+    return mix(total)
 
 
 def anchors(raw: list[bytes], length: int) -> pd.DataFrame:
@@ -81,10 +82,7 @@ def _anchors(raw: list[bytes], length: int) -> pd.DataFrame:
     n = len(buf) - length + 1
     if n <= 0:
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", "q", "lo", "hi")} | {"h": np.zeros(0, np.uint64)})
-    up, down = _table(len(buf) + 1)
-    with np.errstate(over="ignore"):
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-        h = mix((run[k:] - run[:-k]) * down[: len(run) - k])
+    h = window_hashes(buf, k)
     m = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)  # least hash, then leftmost
     width, done = length - k + 1, 1
     while done < width:
@@ -282,6 +280,17 @@ def contexts(texts: DataFrame, flags: DataFrame, length: int, n_shards: int) ->
 # --- suffix arrays ----------------------------------------------------------------
 
 
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places in the order of (first, second), equal ones as they came: one sort of packed values where 64 bits hold them."""
+    n = len(first)
+    low, mid = (n - 1).bit_length(), int(second.max()).bit_length()
+    if int(first.max()).bit_length() + mid + low > 64:
+        return np.lexsort((second, first))
+    packed = ((first.astype(np.uint64) << np.uint64(mid)) | second.astype(np.uint64)) << np.uint64(low) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
 def suffix_array(text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` in order, and their ranks.
 
@@ -295,30 +304,31 @@ def suffix_array(text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, place = 7, np.arange(n)  # seven values of nine bits
     packed = np.append(text, np.zeros(h, text.dtype)).astype(np.uint64)
-    first = np.zeros(n, np.uint64)
-    for i in range(h):
-        first = (first << np.uint64(9)) | np.where(place + i < stop, packed[i : i + n], np.uint64(0))
+    first = packed[:n].copy()
+    for i in range(1, h):
+        first <<= np.uint64(9)
+        first |= packed[i : i + n]
+    masks = np.array([((1 << 9 * r) - 1) << 9 * (h - r) for r in range(h + 1)], np.uint64)
+    first &= masks[np.minimum(stop - place, h)]  # nothing beyond the segment
     longest = int((stop - place).max())
     sa = np.argsort(first, kind="stable")
-    ends = np.append(first[sa][1:] != first[sa][:-1], True)
+    first = first[sa]
+    last = np.flatnonzero(np.append(first[1:] != first[:-1], True))
+    size = np.diff(np.append(-1, last))
     rank = np.empty(n, np.int64)
-    last = np.flatnonzero(ends)
-    rank[sa] = np.repeat(last, np.diff(np.append(-1, last)))
-    while h < longest:
-        size = np.diff(np.append(-1, last))
-        open_ = np.flatnonzero(np.repeat(size > 1, size))  # places of unsorted groups
-        if not len(open_):
-            break
+    rank[sa] = np.repeat(last, size)
+    open_ = np.flatnonzero(np.repeat(size > 1, size))  # places of unsorted groups
+    while h < longest and len(open_):
         s = sa[open_]
         after = np.where(s + h < stop[s], rank[np.minimum(s + h, n - 1)] + 1, 0)
         own = rank[s]
-        order = np.lexsort((after, own))
+        order = _order(own, after)
         s, after, own = s[order], after[order], own[order]
         sa[open_] = s
-        new = np.append((own[1:] != own[:-1]) | (after[1:] != after[:-1]), True)
-        ends[open_] = new
-        last = np.flatnonzero(ends)
-        rank[sa] = np.repeat(last, np.diff(np.append(-1, last)))
+        last = np.flatnonzero(np.append((own[1:] != own[:-1]) | (after[1:] != after[:-1]), True))
+        size = np.diff(np.append(-1, last))
+        rank[s] = np.repeat(open_[last], size)
+        open_ = open_[np.repeat(size > 1, size)]
         h *= 2
     return sa, rank
 
