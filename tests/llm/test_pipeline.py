@@ -65,8 +65,8 @@ def test_pipeline_takes_messy_and_empty_tables(spark, messy, nothing):
         assert docs.columns[0] == "doc_id"
 
 
-def test_registered_queries_are_the_ten_and_the_pipeline():
+def test_registered_queries_are_the_thirteen_and_the_pipeline():
     import __spark_entry__ as e
 
     mine = [q for q in e.queries() if q.startswith("op") and "_" in q and q[2].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in mine) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in mine) == list(range(1, 14)) and "pipeline" in e.queries()
