@@ -8,8 +8,10 @@ aggregates that combine map-side, so hubs stay harmless.
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,142 +132,212 @@ def largest_component(edges: DataFrame) -> DataFrame:
 # --- paths -------------------------------------------------------------------------
 
 
-def path_levels(
-    edges: DataFrame, sources: DataFrame, max_depth: int | None = None, directed: bool = False
-) -> list[DataFrame]:
-    """Breadth-first levels (source, id, dist, paths) from all given sources.
+#: Sources whose path counts share a row, and sources that are searched from in one pass.
+WIDTH = 16
+PASS_SOURCES = 4096
+
+
+def numbered_sources(sources: DataFrame, width: int, pass_sources: int) -> list[DataFrame]:
+    """(id, block, slot) of the sources, in passes: ``width`` sources share a block, a pass has about ``pass_sources``."""
+    at = F.monotonically_increasing_id()
+    rows = keep(sources.select("id").distinct().withColumn("__at", at))
+    rows = rows.select("id", F.floor(F.col("__at") / width).alias("block"), (F.col("__at") % width).cast("int").alias("slot"))
+    n = max(1, math.ceil(rows.count() / pass_sources))
+    return [rows.filter(F.pmod(F.xxhash64("block"), F.lit(n)) == i) for i in range(n)]
+
+
+def reach_levels(links: DataFrame, sources: DataFrame, directed: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """Breadth-first levels as bit sets: (dist, table of block, id, bits).
 
-    ``paths`` counts the shortest paths. One list item per level; the state is
-    one row per source and reached node, which is the result itself. On an
+    ``sources`` has id, block and slot below 64; bit ``slot`` is set where the
+    block's source first reaches the node after ``dist`` steps, so 64 searches
+    are one row per node, and a step is a join and a ``bit_or``. On an
     undirected graph a neighbour lies at most one level back, so only the last
-    two levels are checked for visited nodes. The search goes on until nothing
+    two levels are checked for visited nodes.
+    """
+    one = F.expr("shiftleft(1L, slot)")
+    level = keep(sources.groupBy("block", "id").agg(F.bit_or(one).alias("bits")))
+    seen = level
+    for dist in itertools.count():
+        if level.isEmpty():
+            return
+        yield dist, level
+        step = level.join(links, F.col("id") == F.col("src")).groupBy("block", F.col("dst").alias("id")).agg(F.bit_or("bits").alias("bits"))
+        known = seen.groupBy("block", "id").agg(F.bit_or("bits").alias("__seen"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__seen", F.lit(0).cast("long"))))
+        after = keep(step.join(known, ["block", "id"], "left").select("block", "id", new.alias("bits")).filter("bits <> 0"))
+        seen = keep(known.withColumnRenamed("__seen", "bits").union(after)) if directed else level.union(after)
+        level = after
+
+
+def distance_profile(
+    edges: DataFrame, targets: DataFrame | None = None, directed: bool = False, pass_sources: int = PASS_SOURCES
+) -> DataFrame:
+    """(id, dist, n): how many nodes (or ``targets``) lie ``dist`` steps from each node, 0 for itself.
+
+    All searches run at once, 64 to a row; no pair of nodes is ever a row. A
+    pass holds one row per node and 64 of its ``pass_sources`` targets.
+    """
+    links = edges.select("src", "dst").distinct() if directed else both_directions(edges)
+    links = keep(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))  # searched from the targets
+    found = None
+    for part in numbered_sources(node_table(links) if targets is None else targets, 64, pass_sources):
+        for dist, level in reach_levels(links, part, directed):
+            counts = level.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n")).select("id", F.lit(dist).alias("dist"), "n")
+            found = counts if found is None else found.union(counts)
+        found = keep(found.groupBy("id", "dist").agg(F.sum("n").alias("n"))) if found is not None else None
+    if found is None:
+        return node_table(links).select("id", F.lit(0).alias("dist"), F.lit(0).cast("long").alias("n")).limit(0)
+    return found.select("id", "dist", "n")
+
+
+def path_blocks(
+    links: DataFrame, sources: DataFrame, directed: bool = False, max_depth: int | None = None
+) -> list[DataFrame]:
+    """Breadth-first levels (block, id, p0, p1, ...) with the number of shortest paths from each source of a block.
+
+    ``sources`` has id, block and slot; p_i is 0 where the block's source i does
+    not first reach the node at this level. The search goes on until nothing
     new is reached; with ``max_depth`` it raises where paths are longer.
     """
-    links = edges.select("src", "dst").distinct()
-    first = sources.select(
-        F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("paths")
-    ).distinct()
-    levels = [keep(first)]
-    seen = levels[0].select("source", "id")
+    counts = [f"p{i}" for i in range(WIDTH)]
+    sums = [F.sum(c).alias(c) for c in counts]
+    first = sources.select("block", "id", *[(F.col("slot") == i).cast("double").alias(c) for i, c in enumerate(counts)])
+    levels = [keep(first.groupBy("block", "id").agg(*sums))]
+    seen = levels[0]
     for depth in itertools.count(1):
-        step = (
-            levels[-1]
-            .join(links, F.col("id") == F.col("src"))
-            .groupBy("source", F.col("dst").alias("id"))
-            .agg(F.sum("paths").alias("paths"))
-            .join(seen, ["source", "id"], "left_anti")
-            .select("source", "id", F.lit(depth).alias("dist"), "paths")
-        )
-        step = keep(step)
+        step = levels[-1].join(links, F.col("id") == F.col("src")).groupBy("block", F.col("dst").alias("id")).agg(*sums)
+        known = seen.groupBy("block", "id").agg(*[F.max(c).alias(f"__{c}") for c in counts])
+        new = [F.when(F.coalesce(f"__{c}", F.lit(0.0)) == 0, F.col(c)).otherwise(0.0).alias(c) for c in counts]
+        step = keep(step.join(known, ["block", "id"], "left").select("block", "id", *new).filter(F.greatest(*counts) > 0))
         if step.isEmpty():
-            break
+            return levels
         if max_depth is not None and depth > max_depth:
             raise RuntimeError("paths are longer than max_depth")
         levels.append(step)
-        last = step.select("source", "id")
-        seen = seen.union(last) if directed else levels[-2].select("source", "id").union(last)
-    return levels
+        if directed:  # a node may be seen at any level
+            seen = keep(seen.union(step).groupBy("block", "id").agg(*sums))
+        else:
+            seen = levels[-2].union(step)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, directed: bool = False) -> DataFrame:
-    """Path lengths from the sources (default: all nodes) to reached nodes."""
+def shortest_paths(
+    edges: DataFrame, sources: DataFrame | None = None, directed: bool = False, max_depth: int | None = None,
+    pass_sources: int = PASS_SOURCES,
+) -> DataFrame:
+    """(source, id, dist, paths) from the sources (default: all nodes) to every reached node."""
     links = edges if directed else both_directions(edges)
-    links = keep(links.select("src", "dst"))
-    levels = path_levels(links, node_table(links) if sources is None else sources, directed=directed)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
+    links = keep(links.select("src", "dst").distinct())
+    out = None
+    for part in numbered_sources(node_table(links) if sources is None else sources, WIDTH, pass_sources):
+        names = part.select("block", "slot", F.col("id").alias("source"))
+        for dist, level in enumerate(path_blocks(links, part, directed, max_depth)):
+            rows = level.select("block", "id", F.posexplode(F.array(*[f"p{i}" for i in range(WIDTH)])).alias("slot", "paths"))
+            rows = rows.filter("paths > 0").join(names, ["block", "slot"]).select("source", "id", F.lit(dist).alias("dist"), "paths")
+            out = rows if out is None else out.union(rows)
     return out
 
 
-def eccentricity(paths: DataFrame) -> DataFrame:
-    return paths.groupBy("source").agg(F.max("dist").alias("eccentricity"))
+def path_profile(paths: DataFrame) -> DataFrame:
+    """The distance profile of the sources of a path table."""
+    return paths.groupBy(F.col("source").alias("id"), "dist").agg(F.count("*").alias("n"))
+
 
+def eccentricity(profile: DataFrame) -> DataFrame:
+    """Distance of each node's farthest reached node."""
+    return profile.groupBy("id").agg(F.max("dist").alias("eccentricity"))
 
-def diameter(paths: DataFrame) -> DataFrame:
+
+def diameter(profile: DataFrame) -> DataFrame:
     """Longest shortest path, and the ratio of largest to least eccentricity."""
-    ecc = eccentricity(paths)
+    ecc = eccentricity(profile)
     return ecc.agg(
         F.max("eccentricity").alias("diameter"),
         (F.max("eccentricity") / F.min("eccentricity")).alias("eccentricity_ratio"),
     )
 
 
-def closeness(paths: DataFrame) -> DataFrame:
-    """Normalised closeness over the nodes each source reaches."""
-    sums = paths.groupBy("source").agg((F.count("*") - 1).alias("__n"), F.sum("dist").alias("__d"))
-    value = F.when(F.col("__d") > 0, F.col("__n") / F.col("__d"))
-    return sums.select(F.col("source").alias("id"), value.alias("closeness"))
+def closeness(profile: DataFrame) -> DataFrame:
+    """Normalised closeness over the nodes that each node reaches."""
+    sums = profile.groupBy("id").agg((F.sum("n") - 1).alias("__n"), F.sum(F.col("n") * F.col("dist")).alias("__d"))
+    return sums.select("id", F.when(F.col("__d") > 0, F.col("__n") / F.col("__d")).alias("closeness"))
 
 
 def betweenness(
-    edges: DataFrame, sources: DataFrame | None = None, batches: int = 1
+    edges: DataFrame, sources: DataFrame | None = None, pass_sources: int = PASS_SOURCES
 ) -> tuple[DataFrame, DataFrame]:
     """Betweenness of nodes and of undirected edges.
 
-    Forward levels count shortest paths; the reverse pass hands dependencies
-    from each level to the one before. Sources may be processed in batches to
-    bound the state, or sampled by passing fewer of them.
+    Forward levels count shortest paths, 16 sources to a row; the reverse pass
+    hands dependencies from each level to the one before. A pass holds one row
+    per node, level and 16 of its sources; passes are summed. Fewer sources
+    give a sample.
     """
     links = keep(both_directions(edges))
     sources = node_table(links) if sources is None else sources
+    slots = range(WIDTH)
     node_parts, edge_parts = [], []
-    for b in range(batches):
-        part = sources.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
-        levels = path_levels(links, part)
-        # delta of the deepest level is 0
-        delta = levels[-1].withColumn("delta", F.lit(0.0))
+    for part in numbered_sources(sources, WIDTH, pass_sources):
+        levels = path_blocks(links, part)
+        share = [F.when(F.col(f"p{i}") > 0, 1 / F.col(f"p{i}")).otherwise(0.0).alias(f"c{i}") for i in slots]
+        low = keep(levels[-1].select("block", "id", *share))  # (1 + dependency) / paths
         for depth in range(len(levels) - 1, 0, -1):
             up = levels[depth - 1]
-            flow = (
-                delta.select("source", F.col("id").alias("w"), F.col("paths").alias("pw"), "delta")
-                .join(links.select(F.col("src").alias("w"), F.col("dst").alias("id")), "w")
-                .join(up.select("source", "id", F.col("paths").alias("pv")), ["source", "id"])
-                .select("source", "id", "w", (F.col("pv") / F.col("pw") * (1 + F.col("delta"))).alias("c"))
-            )
-            flow = keep(flow)
-            edge_parts.append(
-                flow.groupBy(F.least("id", "w").alias("src"), F.greatest("id", "w").alias("dst")).agg(
-                    F.sum("c").alias("c")
-                )
-            )
-            gained = flow.groupBy("source", "id").agg(F.sum("c").alias("delta"))
-            delta = up.join(gained, ["source", "id"], "left").withColumn(
-                "delta", F.coalesce("delta", F.lit(0.0))
-            )
+            sent = low.join(links, F.col("id") == F.col("src"))
+            flow = F.col("c0") * F.col("p0")
+            for i in slots[1:]:
+                flow = flow + F.col(f"c{i}") * F.col(f"p{i}")
+            ends = (F.col("src"), F.col("dst"))
+            over = sent.drop("id").join(up.withColumnRenamed("id", "dst"), ["block", "dst"])
+            edge_parts.append(over.groupBy(F.least(*ends).alias("src"), F.greatest(*ends).alias("dst")).agg(F.sum(flow).alias("c")))
+            gained = sent.groupBy("block", F.col("dst").alias("id")).agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in slots])
+            both = up.join(gained, ["block", "id"], "left").na.fill(0.0)
+            own = [(F.col(f"c{i}") * F.col(f"p{i}")).alias(f"d{i}") for i in slots]
+            low = keep(both.select("block", "id", *own, *[f"p{i}" for i in slots]).select(
+                "block", "id", functools.reduce(lambda x, y: x + y, [F.col(f"d{i}") for i in slots]).alias("c"),
+                *[F.when(F.col(f"p{i}") > 0, (1 + F.col(f"d{i}")) / F.col(f"p{i}")).otherwise(0.0).alias(f"c{i}") for i in slots],
+            ))
             if depth > 1:
-                node_parts.append(flow.groupBy("id").agg(F.sum("c").alias("c")))
+                node_parts.append(low.select("id", "c"))
+            low = low.drop("c")
 
-    def total(parts, keys, name):
+    def total(parts, keys):
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
-        return out.groupBy(*keys).agg((F.sum("c") / 2).alias(name))
+        return out.groupBy(*keys).agg((F.sum("c") / 2).alias("betweenness"))
 
-    edge_scores = total(edge_parts, ["src", "dst"], "betweenness")
     nodes = node_table(links)
-    if node_parts:
-        scores = total(node_parts, ["id"], "betweenness")
-        nodes = nodes.join(scores, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
-    else:
-        nodes = nodes.withColumn("betweenness", F.lit(0.0))
-    return nodes, edge_scores
+    edge_scores = total(edge_parts, ["src", "dst"]) if edge_parts else links.withColumn("betweenness", F.lit(0.0)).limit(0)
+    if not node_parts:
+        return nodes.withColumn("betweenness", F.lit(0.0)), edge_scores
+    scores = total(node_parts, ["id"])
+    return nodes.join(scores, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness")), edge_scores
 
 
-def eigenvector(edges: DataFrame, rounds: int = 40, scale: bool = True, cut_every: int = 8) -> DataFrame:
+def eigenvector(
+    edges: DataFrame, tolerance: float = 1e-10, scale: bool = True, check_every: int = 8, max_rounds: int = 10_000
+) -> DataFrame:
     """Eigenvector centrality by power iteration, scaled to maximum 1 or length 1.
 
     Iterating with A + I has the same eigenvectors and does not oscillate on
-    bipartite graphs.
+    bipartite graphs. Ends when no score changes by more than ``tolerance``
+    over ``check_every`` rounds; raises where ``max_rounds`` are not enough.
     """
     links = both_directions(edges)
     links = keep(links.union(node_table(links).select("id", F.col("id"))).toDF("src", "dst"))
     x = keep(node_table(links).withColumn("x", F.lit(1.0)))
-    for i in range(1, rounds + 1):
-        x = links.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
-        if i % cut_every == 0 or i == rounds:
-            top = x.agg(F.max("x").alias("__top"))
-            x = keep(with_table_scalars(x, top).select("id", (F.col("x") / F.col("__top")).alias("x")))
+    for _ in range(0, max_rounds, check_every):
+        before = x.withColumnRenamed("x", "__old")
+        for _ in range(check_every):
+            x = links.join(x, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
+        top = x.agg(F.max("x").alias("__top"))
+        x = keep(with_table_scalars(x, top).select("id", (F.col("x") / F.col("__top")).alias("x")))
+        change = x.join(before, "id").agg(F.max(F.abs(F.col("x") - F.col("__old")))).first()[0]
+        if change is None or change <= tolerance:
+            break
+    else:
+        raise RuntimeError("scores did not settle within max_rounds")
     if not scale:
         norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("__l"))
         x = with_table_scalars(x, norm).select("id", (F.col("x") / F.col("__l")).alias("x"))
@@ -306,6 +378,115 @@ def label_communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
+def modularity(links: DataFrame, labels: DataFrame) -> float:
+    """Modularity of a partition: ``links`` (src, dst, w) in both directions, loops once; ``labels`` (id, community)."""
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("community").alias(f"__{end}"))
+    both = links.join(of("src"), "src").join(of("dst"), "dst")
+    per = both.groupBy(F.col("__src").alias("c")).agg(
+        F.sum("w").alias("tot"), F.sum(F.when(F.col("__src") == F.col("__dst"), F.col("w")).otherwise(0.0)).alias("own")
+    )
+    whole, own, square = per.agg(F.sum("tot"), F.sum("own"), F.sum(F.col("tot") * F.col("tot"))).first()
+    return own / whole - square / whole**2 if whole else 0.0
+
+
+def _best_moves(links: DataFrame, labels: DataFrame, degree: DataFrame, whole: float) -> DataFrame:
+    """(id, community, target, gain): each node's best neighbouring community, where modularity would rise.
+
+    The gain of a move is (k_in - k_in_own) / W - k * (tot - tot_own + k) / W**2,
+    times 2; ties go by hash of the community.
+    """
+    node = labels.join(degree, "id")
+    tot = node.groupBy("community").agg(F.sum("k").alias("tot"))
+    node = node.join(tot.withColumnRenamed("tot", "tot_own"), "community")
+    of = labels.select(F.col("id").alias("dst"), F.col("community").alias("target"))
+    near = links.filter("src <> dst").join(of, "dst").groupBy(F.col("src").alias("id"), "target").agg(F.sum("w").alias("k_in"))
+    moves = near.join(node, "id")
+    k_own = F.coalesce(F.max(F.when(F.col("target") == F.col("community"), F.col("k_in"))), F.lit(0.0))
+    # k_in_own, k and tot_own are the same for all of a node's targets, so the best target needs only its own part
+    moves = moves.join(tot.withColumnRenamed("community", "target"), "target")
+    worth = F.when(F.col("target") != F.col("community"), F.col("k_in") / whole - F.col("k") * F.col("tot") / whole**2)
+    best = moves.groupBy("id", "community", "k", "tot_own").agg(
+        F.max(F.when(worth.isNotNull(), F.struct(worth.alias("worth"), F.xxhash64("target").alias("h"), "target"))).alias("b"), k_own.alias("k_own")
+    )
+    gain = 2 * (F.col("b.worth") - F.col("k_own") / whole - F.col("k") * (F.col("k") - F.col("tot_own")) / whole**2)
+    return best.filter("b IS NOT NULL").select("id", "community", "b.target", gain.alias("gain")).filter("gain > 1e-12")
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves that share no community with a better one; together they gain what they gain one by one."""
+    rank = F.struct("gain", F.xxhash64("id").alias("h"), "id")
+    touch = moves.select(F.explode(F.array("community", "target")).alias("c"), rank.alias("r"))
+    top = touch.groupBy("c").agg(F.max("r").alias("__top"))
+    for end in ("community", "target"):
+        moves = moves.join(top.withColumnsRenamed({"c": end, "__top": f"__{end}"}), end)
+    return moves.filter((F.col("__community.id") == F.col("id")) & (F.col("__target.id") == F.col("id"))).select("id", "community", "target", "gain")
+
+
+def _local_moving(links: DataFrame, labels: DataFrame, least: float) -> tuple[DataFrame, float]:
+    """Moves nodes until a round raises modularity by less than ``least``.
+
+    Half of the nodes, by hash, move at a time; where that does not raise
+    modularity, only moves that do not touch each other are made, which must.
+    """
+    degree = keep(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+    whole = degree.agg(F.sum("k")).first()[0]
+    if not whole:
+        return labels, 0.0
+    q = modularity(links, labels)
+    for turn in itertools.count():
+        moves = keep(_best_moves(links, labels, degree, whole))
+        if moves.isEmpty():
+            return labels, q
+        half = moves.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
+        for some in (half, _apart(moves)):
+            new = labels.join(some.select("id", "target"), "id", "left").select("id", F.coalesce("target", "community").alias("community"))
+            new = keep(new)
+            after = modularity(links, new)
+            if after > q + least:
+                labels, q = new, after
+                break
+        else:
+            return (new, after) if after > q else (labels, q)
+
+
+def louvain_communities(edges: DataFrame, weight: str | None = None, least: float = 1e-5) -> tuple[DataFrame, DataFrame]:
+    """Communities by local moving and contraction: (id, community), and (level, n_communities, modularity).
+
+    Nodes move to the neighbouring community with the largest gain of
+    modularity until a round gains less than ``least``; communities then become
+    the nodes of the next level, with summed edges and loops, until a level
+    changes nothing.
+    Modularity never falls. A community is named by its smallest node. Parallel
+    edges add up, loops and edges without a positive weight are left out.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    plain = edges.select("src", "dst", w.alias("w")).filter("src <> dst AND w > 0")
+    links = keep(plain.union(plain.select("dst", "src", "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    labels = keep(node_table(links).withColumn("community", F.col("id")))  # of the first nodes
+    history = []
+    for level in itertools.count(1):
+        own = keep(node_table(links).withColumn("community", F.col("id")))
+        moved, q = _local_moving(links, own, least)
+        names = moved.groupBy("community").agg(F.min("id").alias("__name"))
+        moved = keep(moved.join(names, "community").select("id", F.col("__name").alias("community")))
+        n, before = moved.select("community").distinct().count(), moved.count()
+        history.append((level, n, float(q)))
+        if n == before:
+            break
+        up = moved.select(F.col("id").alias("community"), F.col("community").alias("__up"))
+        labels = keep(labels.join(up, "community").select("id", F.col("__up").alias("community")))
+        of = lambda end: moved.select(F.col("id").alias(end), F.col("community").alias(f"__{end}"))
+        both = links.join(of("src"), "src").join(of("dst"), "dst")
+        links = keep(both.groupBy(F.col("__src").alias("src"), F.col("__dst").alias("dst")).agg(F.sum("w").alias("w")))
+    spark = edges.sparkSession
+    return labels, spark.createDataFrame(history, "level int, n_communities long, modularity double")
+
+
+def community_sizes(labels: DataFrame) -> DataFrame:
+    """(community, n_nodes)."""
+    return labels.groupBy("community").agg(F.count("*").alias("n_nodes"))
+
+
 def split_communities(edges: DataFrame, parts: int, max_removed: int = 50) -> DataFrame:
     """Communities by removing the edge with most shortest paths, again and again.
 

@@ -20,10 +20,10 @@ def edges_sql(sd):
       k AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nd AS (SELECT DISTINCT src AS id FROM k)"""
 
 
-EALL, E15, E25 = edges_sql(None), edges_sql(1.5), edges_sql(2.5)
+EALL, E25 = edges_sql(None), edges_sql(2.5)
 
 
-def supplier_edges(t, sd=1.5):
+def supplier_edges(t, sd):
     counts = gr.keep(pair_counts(t.lineitem, "l_orderkey", "l_suppkey"))
     return counts.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n") if sd is None else gr.keep(gr.connected_pairs(counts, sd))
 
@@ -38,7 +38,7 @@ def levels_sql(depth=12):
     return ", ".join(parts) + f", sp AS MATERIALIZED ({union})"
 
 
-PATHS = f"{E15}, {levels_sql()}"
+PATHS = f"{EALL}, {levels_sql()}"
 
 
 @query("G01_node_table", f"WITH {EALL} SELECT id, s_name, s_nationkey FROM nd LEFT JOIN supplier ON s_suppkey = id")
@@ -86,7 +86,7 @@ def _(t):
 
 @query("G06_shortest_paths", f"WITH {PATHS} SELECT s AS source, v AS id, CAST(d AS INTEGER) AS dist, p AS paths FROM sp")
 def _(t):
-    return gr.shortest_paths(supplier_edges(t))
+    return gr.shortest_paths(supplier_edges(t, None))
 
 
 @query(
@@ -94,7 +94,7 @@ def _(t):
     f"WITH {PATHS}, ec AS (SELECT s, max(d) AS x FROM sp GROUP BY 1) SELECT CAST(max(x) AS INTEGER) AS diameter, round(max(x)::DOUBLE / min(x), 8) AS eccentricity_ratio FROM ec",
 )
 def _(t):
-    out = gr.diameter(gr.shortest_paths(supplier_edges(t)))
+    out = gr.diameter(gr.distance_profile(supplier_edges(t, None)))
     return out.withColumn("eccentricity_ratio", F.round("eccentricity_ratio", 8))
 
 
@@ -103,7 +103,7 @@ def _(t):
     f"WITH {PATHS} SELECT s AS id, round((count(*) - 1)::DOUBLE / nullif(sum(d), 0), 8) AS closeness FROM sp GROUP BY 1",
 )
 def _(t):
-    return gr.closeness(gr.shortest_paths(supplier_edges(t))).withColumn("closeness", F.round("closeness", 8))
+    return gr.closeness(gr.distance_profile(supplier_edges(t, None))).withColumn("closeness", F.round("closeness", 8))
 
 
 NODE_BC = """nb AS (SELECT id, coalesce(b, 0) AS b FROM nd LEFT JOIN (SELECT x.v AS id, sum(x.p * y.p / st.p) / 2 AS b FROM sp x JOIN sp y ON x.v = y.s JOIN sp st ON st.s = x.s AND st.v = y.v AND st.d = x.d + y.d
@@ -112,7 +112,7 @@ NODE_BC = """nb AS (SELECT id, coalesce(b, 0) AS b FROM nd LEFT JOIN (SELECT x.v
 
 @query("G08_betweenness", f"WITH {PATHS}, {NODE_BC} SELECT id, round(b, 6) AS betweenness FROM nb")
 def _(t):
-    nodes, _ = gr.betweenness(supplier_edges(t))
+    nodes, _ = gr.betweenness(supplier_edges(t, None))
     return nodes.withColumn("betweenness", F.round("betweenness", 6))
 
 
@@ -122,29 +122,49 @@ def _(t):
         FROM k JOIN sp x ON x.v = k.src JOIN sp y ON y.s = k.dst JOIN sp st ON st.s = x.s AND st.v = y.v AND st.d = x.d + 1 + y.d GROUP BY 1, 2""",
 )
 def _(t):
-    _, scores = gr.betweenness(supplier_edges(t))
+    _, scores = gr.betweenness(supplier_edges(t, None))
     return scores.withColumn("betweenness", F.round("betweenness", 6))
 
 
 EIGEN = """lk AS (SELECT src, dst FROM k UNION ALL SELECT id, id FROM nd),
-  pw(i, id, x) AS (SELECT 0, id, 1::DOUBLE FROM nd UNION ALL SELECT any_value(i) + 1, lk.dst, sum(x) FROM pw JOIN lk ON lk.src = pw.id WHERE i < 24 GROUP BY lk.dst),
-  eg AS (SELECT id, x / (SELECT max(x) FROM pw WHERE i = 24) AS x FROM pw WHERE i = 24)"""
+  pw(i, id, x) AS (SELECT 0, id, 1::DOUBLE FROM nd UNION ALL SELECT any_value(i) + 1, lk.dst, sum(x) FROM pw JOIN lk ON lk.src = pw.id WHERE i < 80 GROUP BY lk.dst),
+  eg AS (SELECT id, x / (SELECT max(x) FROM pw WHERE i = 80) AS x FROM pw WHERE i = 80)"""
 
 
 @query("G09_eigenvector", f"WITH RECURSIVE {EALL}, {EIGEN} SELECT id, round(x, 8) AS eigen FROM eg")
 def _(t):
-    return gr.eigenvector(supplier_edges(t, None), rounds=24).withColumn("eigen", F.round("eigen", 8))
+    return gr.eigenvector(supplier_edges(t, None)).withColumn("eigen", F.round("eigen", 8))
 
 
 @query(
     "G10_label_communities",
-    f"""WITH RECURSIVE {E25}, vt AS (SELECT src, dst FROM k UNION ALL SELECT id, id FROM nd),
+    f"""WITH RECURSIVE {EALL}, vt AS (SELECT src, dst FROM k UNION ALL SELECT id, id FROM nd),
         lp(i, id, c) AS (SELECT 0, id, id FROM nd UNION ALL
-          SELECT i + 1, dst, arg_min(c, (-n, c)) FROM (SELECT any_value(lp.i) AS i, vt.dst, lp.c, count(*) AS n FROM lp JOIN vt ON vt.src = lp.id WHERE lp.i < 10 GROUP BY vt.dst, lp.c) GROUP BY i, dst)
-        SELECT id, c AS community FROM lp WHERE i = 10""",
+          SELECT i + 1, dst, arg_min(c, (-n, c)) FROM (SELECT any_value(lp.i) AS i, vt.dst, lp.c, count(*) AS n FROM lp JOIN vt ON vt.src = lp.id WHERE lp.i < 40 GROUP BY vt.dst, lp.c) GROUP BY i, dst)
+        SELECT id, c AS community FROM lp WHERE i = 40""",
 )
 def _(t):
-    return gr.label_communities(supplier_edges(t, 2.5), rounds=10)
+    return gr.label_communities(supplier_edges(t, None))
+
+
+def louvain(t):
+    """Communities of the suppliers by the number of orders that two of them serve."""
+    return gr.louvain_communities(supplier_edges(t, None), "n", least=5e-4)
+
+
+@query("G10_communities")
+def _(t):
+    return louvain(t)[0]
+
+
+@query("G10_community_sizes")
+def _(t):
+    return gr.community_sizes(louvain(t)[0])
+
+
+@query("G10_modularity_levels")
+def _(t):
+    return louvain(t)[1]
 
 
 @query(
@@ -154,9 +174,9 @@ def _(t):
         SELECT id, b AS betweenness, x AS eigen, CASE WHEN b >= qb AND x < qx THEN 'gatekeeper' WHEN b < qb AND x >= qx THEN 'accessor' ELSE 'other' END AS role FROM z, q""",
 )
 def _(t):
-    e = supplier_edges(t)
+    e = supplier_edges(t, None)
     nodes, _ = gr.betweenness(e)
-    scores = nodes.join(gr.eigenvector(e, rounds=24), "id").select(
+    scores = nodes.join(gr.eigenvector(e), "id").select(
         "id", F.round("betweenness", 6).alias("betweenness"), F.round("eigen", 8).alias("eigen")
     )
     return gr.role_labels(gr.keep(scores), "betweenness", "eigen")

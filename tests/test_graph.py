@@ -66,9 +66,9 @@ def test_largest_component(spark):
     assert got == set(BRIDGE) - {(8, 9)}
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_betweenness(spark, batches):
-    nodes, links = gr.betweenness(edges(spark, BRIDGE), batches=batches)
+@pytest.mark.parametrize("pass_sources", [4096, 3])
+def test_betweenness(spark, pass_sources):
+    nodes, links = gr.betweenness(edges(spark, BRIDGE), pass_sources=pass_sources)
     got = {r.id: round(r.betweenness, 9) for r in nodes.collect()}
     assert got == {k: round(v, 9) for k, v in brute_betweenness(BRIDGE).items()}
     best = links.orderBy(F.desc("betweenness")).first()
@@ -76,21 +76,103 @@ def test_betweenness(spark, batches):
 
 
 def test_distance_measures(spark):
-    paths = gr.shortest_paths(edges(spark, BRIDGE).filter("src < 8"))
-    assert gr.diameter(paths).first() == (3, 1.5)
-    close = {r.id: r.closeness for r in gr.closeness(paths).collect()}
-    assert close[3] == 5 / 7 and close[1] == 5 / 10
+    graph = edges(spark, BRIDGE).filter("src < 8")
+    for profile in (gr.distance_profile(graph), gr.path_profile(gr.shortest_paths(graph))):
+        assert gr.diameter(profile).first() == (3, 1.5)
+        close = {r.id: r.closeness for r in gr.closeness(profile).collect()}
+        assert close[3] == 5 / 7 and close[1] == 5 / 10
     assert gr.density(edges(spark, BRIDGE).filter("src < 8")).first().density == 14 / 30
 
 
 def test_eigenvector_of_a_star(spark):
     star = edges(spark, [(0, i) for i in range(1, 5)])
-    got = {r.id: r.eigen for r in gr.eigenvector(star, rounds=60).collect()}
-    assert got[0] == 1.0 and abs(got[1] - 0.5) < 1e-6
-    unit = gr.eigenvector(star, rounds=60, scale=False).agg(F.sum(F.col("eigen") * F.col("eigen"))).first()[0]
+    got = {r.id: r.eigen for r in gr.eigenvector(star).collect()}
+    assert got[0] == 1.0 and abs(got[1] - 0.5) < 1e-9
+    unit = gr.eigenvector(star, scale=False).agg(F.sum(F.col("eigen") * F.col("eigen"))).first()[0]
     assert abs(unit - 1) < 1e-9
 
 
+def random_graph(seed, n, m):
+    rng = random.Random(seed)
+    return [tuple(rng.sample(range(n), 2)) for _ in range(m)]
+
+
+@pytest.mark.parametrize("directed, pass_sources", [(False, 70), (True, 4096)])
+def test_distances_and_path_counts_of_more_sources_than_a_row_holds(spark, directed, pass_sources):
+    pairs = random_graph(3, 75, 170)
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).update(() if directed else {a})
+    info = {s: paths_from(adj, s) for s in adj}
+    frame = edges(spark, pairs)
+    want = {(s, t, d[t], c[t]) for s, (d, c) in info.items() for t in d}
+    got = gr.shortest_paths(frame, directed=directed, pass_sources=pass_sources).collect()
+    assert {(r.source, r.id, r.dist, r.paths) for r in got} == want and len(got) == len(want)
+    profile = {(r.id, r.dist): r.n for r in gr.distance_profile(frame, directed=directed, pass_sources=pass_sources).collect()}
+    counts = {}
+    for s, (d, _) in info.items():
+        for x in d.values():
+            counts[s, x] = counts.get((s, x), 0) + 1
+    assert profile == counts
+
+
+def test_betweenness_of_a_random_graph(spark):
+    pairs = random_graph(5, 25, 50)
+    nodes, links = gr.betweenness(edges(spark, pairs), pass_sources=20)
+    want = brute_betweenness(pairs)
+    assert {r.id: round(r.betweenness, 8) for r in nodes.collect()} == {k: round(v, 8) for k, v in want.items()}
+    assert len({frozenset(p) for p in pairs}) == links.count()
+
+
+def modularity_of(weights, part):
+    whole = 2 * sum(weights.values())
+    q = 0.0
+    for c in set(part.values()):
+        tot = sum(w for (a, b), w in weights.items() for x in (a, b) if part[x] == c)
+        q += sum(2 * w for (a, b), w in weights.items() if part[a] == part[b] == c) / whole - (tot / whole) ** 2
+    return q
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i in range(len(rest)):
+            yield rest[:i] + [[items[0], *rest[i]]] + rest[i + 1 :]
+
+
+@pytest.mark.parametrize("seed", [None, 1])
+def test_communities_by_local_moving(spark, seed):
+    rng = random.Random(seed)
+    pairs = BRIDGE if seed is None else [(a, b) for a, b in random_graph(seed, 8, 12)]
+    rows = [(a, b, 1.0 if seed is None else float(rng.randint(1, 5))) for a, b in pairs] + [(1, 1, 9.0), (1, 2, -3.0)]
+    labels, levels = gr.louvain_communities(spark.createDataFrame(rows, "src long, dst long, w double"), "w")
+    part = {r.id: r.community for r in labels.collect()}
+    weights = {}
+    for a, b, w in rows[:-2]:
+        weights[min(a, b), max(a, b)] = weights.get((min(a, b), max(a, b)), 0) + w
+    q = [r.modularity for r in levels.orderBy("level").collect()]
+    assert all(x <= y + 1e-12 for x, y in zip(q, q[1:])) and abs(q[-1] - modularity_of(weights, part)) < 1e-9
+    nodes = sorted({x for p in weights for x in p})
+    best = max(modularity_of(weights, {x: i for i, c in enumerate(p) for x in c}) for p in partitions(nodes))
+    assert q[-1] >= best - (1e-9 if seed is None else 0.06)
+    assert all(part[c] == c == min(x for x in part if part[x] == c) for c in part.values())
+    if seed is None:
+        assert part == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 8: 8, 9: 8}
+        assert {(r.community, r.n_nodes) for r in gr.community_sizes(labels).collect()} == {(1, 3), (4, 3), (8, 2)}
+
+
+def test_ring_of_cliques_is_told_apart(spark):
+    pairs = [(10 * c + a, 10 * c + b) for c in range(8) for a, b in itertools.combinations(range(5), 2)]
+    pairs += [(10 * c, 10 * ((c + 1) % 8) + 1) for c in range(8)]
+    labels, levels = gr.louvain_communities(edges(spark, pairs))
+    assert {r.id: r.community for r in labels.collect()} == {x: x // 10 * 10 for p in pairs for x in p}
+    assert gr.louvain_communities(edges(spark, []))[0].collect() == []
+
+
 def test_communities(spark):
     joined = edges(spark, BRIDGE).filter("src < 8")
     got = {r.id: r.community for r in gr.split_communities(joined, 2).collect()}
