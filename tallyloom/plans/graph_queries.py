@@ -149,7 +149,7 @@ def _(t):
 
 def louvain(t):
     """Communities of the suppliers by the number of orders that two of them serve."""
-    return gr.louvain_communities(supplier_edges(t, None), "n", least=5e-4)
+    return gr.louvain_communities(supplier_edges(t, None), "n", least=2e-3)
 
 
 @query("G10_communities")
