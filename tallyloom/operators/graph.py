@@ -455,7 +455,7 @@ def louvain_communities(edges: DataFrame, weight: str | None = None, least: floa
     Nodes move to the neighbouring community with the largest gain of
     modularity until a round gains less than ``least``; communities then become
     the nodes of the next level, with summed edges and loops, until a level
-    changes nothing.
+    gains less than that.
     Modularity never falls. A community is named by its smallest node. Parallel
     edges add up, loops and edges without a positive weight are left out.
     """
@@ -475,6 +475,8 @@ def louvain_communities(edges: DataFrame, weight: str | None = None, least: floa
             break
         up = moved.select(F.col("id").alias("community"), F.col("community").alias("__up"))
         labels = keep(labels.join(up, "community").select("id", F.col("__up").alias("community")))
+        if level > 1 and q - history[-2][2] < least:
+            break
         of = lambda end: moved.select(F.col("id").alias(end), F.col("community").alias(f"__{end}"))
         both = links.join(of("src"), "src").join(of("dst"), "dst")
         links = keep(both.groupBy(F.col("__src").alias("src"), F.col("__dst").alias("dst")).agg(F.sum("w").alias("w")))

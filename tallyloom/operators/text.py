@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,40 +221,3 @@ def class_distance(shares: DataFrame, class_col: str, classes: Sequence[str]) ->
         F.sqrt(F.sum(sq(i, j))).alias(f"v{i}_{j}") for i in range(k) for j in range(i + 1, k)
     ]
     return _pairs_to_rows(wide.agg(*aggs), classes, "distance")
-
-
-def class_vectors(shares: DataFrame, class_col: str, buckets: int = 256) -> DataFrame:
-    """Share vector per class, terms hashed to a fixed number of buckets.
-
-    The vector length does not grow with the vocabulary.
-    """
-    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
-    cells = shares.groupBy(class_col, bucket.alias("b")).agg(F.sum("p").alias("p"))
-    maps = cells.groupBy(class_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "p"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return maps.select(class_col, dense.alias("shares"))
-
-
-def group_classes(vectors: DataFrame, features: str, k: int, seed: int = 7) -> DataFrame:
-    """Group similar classes into k clusters by bisecting k-means."""
-    model = BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(vectors)
-    return model.transform(vectors)
-
-
-def map_classes(vectors: DataFrame, features: str, k: int) -> DataFrame:
-    """Low-dimensional map: principal components of the standardised rows."""
-    model = PCA(k=k, inputCol=features, outputCol="__pc").fit(vectors)
-    return model.transform(vectors).withColumn("coords", vector_to_array("__pc")).drop("__pc")
-
-
-def unit_rows(df: DataFrame, array: str, out: str) -> DataFrame:
-    """Rows centred to mean 0 and scaled to length 1, as ML vectors.
-
-    The squared distance of two such rows is 2 * (1 - correlation).
-    """
-    a = F.col(array).cast("array<double>")
-    mean = F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    centred = df.withColumn("__m", mean).withColumn(
-        "__v", array_to_vector(F.transform(a, lambda x: x - F.col("__m")))
-    )
-    return Normalizer(p=2.0, inputCol="__v", outputCol=out).transform(centred).drop("__m", "__v")

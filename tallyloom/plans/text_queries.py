@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage, spread
+from tallyloom.core import spread, store_and_reload
+from tallyloom.operators import classes as cl
 from tallyloom.operators import text as tx
 from tallyloom.plans.registry import query
 
@@ -170,20 +170,41 @@ def _(t):
     return tx.class_distance(shares, "lang", LANGS).withColumn("distance", F.round("distance", 8))
 
 
-def source_vectors(t):
-    shares = tx.class_shares(source_terms(t), "source", 3)
-    rows = tx.class_vectors(shares, "source", buckets=64)
-    return cut_lineage(rows)
+def source_gram(t):
+    """Term shares of the sources over the whole vocabulary, and their products."""
+    shares = store_and_reload(tx.class_shares(source_terms(t), "source", 1), "source-shares")
+    return shares, store_and_reload(cl.class_gram(shares, "source"), "source-gram")
+
+
+SOURCE_GRAM = f"""{TERMS}, sh AS (SELECT source, word, n / sum(n) OVER (PARTITION BY source) AS p FROM terms),
+  gm AS (SELECT a.source AS class_a, b.source AS class_b, sum(a.p * b.p) AS dot FROM sh a JOIN sh b USING (word) GROUP BY 1, 2)"""
+
+
+@query("T12_class_gram", f"WITH {SOURCE_GRAM} SELECT class_a, class_b, round(dot, 12) AS dot FROM gm WHERE class_a <= class_b")
+def _(t):
+    return source_gram(t)[1].withColumn("dot", F.round("dot", 12))
 
 
 @query("T12_group_classes")
 def _(t):
-    rows = source_vectors(t).withColumn("features", array_to_vector("shares"))
-    return tx.group_classes(rows, "features", 4).select("source", "cluster")
+    return cl.ward_groups(source_gram(t)[1], 4).withColumnRenamed("class", "source")
+
+
+@query(
+    "T13_centred_matrix",
+    f"""WITH {SOURCE_GRAM}, sm AS (SELECT source AS c, sum(p) AS s, sum(p * p) AS q FROM sh GROUP BY 1), v AS (SELECT count(DISTINCT word) AS v FROM sh),
+        d AS (SELECT class_a, class_b, CASE WHEN class_a = class_b THEN 0 ELSE 1 - (v * dot - a.s * b.s) / sqrt((v * a.q - a.s * a.s) * (v * b.q - b.s * b.s)) END AS d
+              FROM gm, v, sm a, sm b WHERE a.c = class_a AND b.c = class_b)
+        SELECT class_a, class_b, round(-(d * d - avg(d * d) OVER (PARTITION BY class_a) - avg(d * d) OVER (PARTITION BY class_b) + avg(d * d) OVER ()) / 2, 8) AS v FROM d""",
+)
+def _(t):
+    shares, gram = source_gram(t)
+    out = cl.centred_matrix(cl.class_dissimilarity(gram, shares, "source"))
+    return out.withColumn("v", F.round("v", 8))
 
 
 @query("T13_map_classes")
 def _(t):
-    rows = tx.unit_rows(source_vectors(t), "shares", "features")
-    out = tx.map_classes(rows, "features", 3)
-    return out.select("source", *[F.round(F.get("coords", i), 6).alias(f"axis_{i + 1}") for i in range(3)])
+    shares, gram = source_gram(t)
+    out = cl.map_classes(cl.class_dissimilarity(gram, shares, "source"), 3)
+    return out.select(F.col("class").alias("source"), *[F.round(F.get("coords", i), 6).alias(f"axis_{i + 1}") for i in range(3)])
