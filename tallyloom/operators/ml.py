@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.core import cut_lineage, hot_rows, with_table_scalars
-from tallyloom.functions.columns import hash_draw
 from tallyloom.operators.aggregate import mean_vectors
+from tallyloom.operators.recipe import KeptColumns
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -175,7 +175,7 @@ def knn_grid(
     return out
 
 
-# --- components, polynomials, lasso, forests ------------------------------------------------
+# --- components, polynomials, forests ------------------------------------------------
 
 
 def principal_components(df: DataFrame, array: str, k: int):
@@ -219,68 +219,24 @@ def polynomial_errors(
     return df.sparkSession.createDataFrame(found, "degree int, train_mse double, test_mse double")
 
 
-def lasso_path(
-    rows: DataFrame, key: str, features: str, y: str, lambdas: Sequence[float], folds: int = 3, seed: int = 11, max_iter: int = 30
-) -> DataFrame:
-    """Cross-validated error per penalty, marked at the minimum and one s.e.
-
-    Folds come from a hash of the key, so they are the same on every run.
-    """
-    data = rows.withColumn("__fold", hash_draw(seed, key) % folds).persist()
-    found = []
-    for lam in lambdas:
-        lr = LinearRegression(
-            featuresCol=features, labelCol=y, predictionCol="__hat", elasticNetParam=1.0, regParam=lam, maxIter=max_iter
-        )
-        for f in range(folds):
-            model = lr.fit(data.filter(F.col("__fold") != f))
-            error = F.avg(F.pow(F.col(y) - F.col("__hat"), F.lit(2.0)))
-            found.append((float(lam), f, model.transform(data.filter(F.col("__fold") == f)).agg(error).first()[0]))
-    data.unpersist()
-    errors = rows.sparkSession.createDataFrame(found, "lambda double, fold int, mse double")  # one row per fit
-    table = errors.groupBy("lambda").agg(
-        F.avg("mse").alias("mean_mse"), (F.stddev_samp("mse") / F.sqrt(F.count("*"))).alias("se")
-    )
-    best = table.agg(F.min(F.struct("mean_mse", "se", "lambda")).alias("__b"))
-    marked = with_table_scalars(table, best)
-    within = F.col("mean_mse") <= F.col("__b.mean_mse") + F.col("__b.se")
-    marked = marked.withColumn("is_min", F.col("lambda") == F.col("__b.lambda")).withColumn("__in", within)
-    one_se = marked.agg(F.max(F.when(F.col("__in"), F.col("lambda"))).alias("__l1"))
-    return with_table_scalars(marked, one_se).select(
-        "lambda", "mean_mse", "se", "is_min", (F.col("lambda") == F.col("__l1")).alias("is_1se")
-    )
-
-
-def lasso_terms(rows: DataFrame, features: str, y: str, lam: float, vocabulary: DataFrame, max_iter: int = 50) -> DataFrame:
-    """Non-zero coefficients at one penalty, with their terms.
-
-    ``vocabulary`` has term_id and word; the coefficient vector is as long as
-    the vocabulary that passed the minimum count.
-    """
-    model = LinearRegression(
-        featuresCol=features, labelCol=y, elasticNetParam=1.0, regParam=lam, maxIter=max_iter
-    ).fit(rows)
-    coefs = [(i, float(c)) for i, c in enumerate(model.coefficients.toArray()) if c != 0.0]
-    table = rows.sparkSession.createDataFrame(coefs, "term_id int, estimate double")
-    return vocabulary.join(table, "term_id").select("word", "estimate")
-
-
-def forest_fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, trees: int = 20, seed: int = 5):
-    """Preprocessing and random-forest regression as one fitted pipeline.
+def forest_fit(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str, trees: int = 20, seed: int = 5, stages: Sequence = ()
+):
+    """Preprocessing (``stages`` in front) and random-forest regression as one fitted pipeline.
 
     There are at least 32 bins, and as many as the largest factor has levels.
+    Stages may drop numeric columns.
     """
     levels = train.agg(*[F.count_distinct(c) for c in categorical]).first() if categorical else [0]
     bins = max(32, *levels) + 1  # one more for levels that appear later
     coded = [f"__i_{c}" for c in categorical]
-    stages = [
+    coding = [
         StringIndexer(inputCols=list(categorical), outputCols=coded, handleInvalid="keep", stringOrderType="alphabetAsc")
     ] if categorical else []
-    stages += [
-        VectorAssembler(inputCols=[*numeric, *coded], outputCol="__f"),
+    return Pipeline(stages=[
+        *stages, *coding, KeptColumns(inputCols=list(numeric), outputCol="__n"), VectorAssembler(inputCols=["__n", *coded], outputCol="__f"),
         RandomForestRegressor(featuresCol="__f", labelCol=y, predictionCol="prediction", numTrees=trees, seed=seed, maxBins=bins),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    ]).fit(train)
 
 
 def best_rows(table: DataFrame, by: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,3 +222,16 @@ def class_distance(shares: DataFrame, class_col: str, classes: Sequence[str]) ->
         F.sqrt(F.sum(sq(i, j))).alias(f"v{i}_{j}") for i in range(k) for j in range(i + 1, k)
     ]
     return _pairs_to_rows(wide.agg(*aggs), classes, "distance")
+
+
+def unit_rows(df: DataFrame, array: str, out: str) -> DataFrame:
+    """Rows centred to mean 0 and scaled to length 1, as ML vectors.
+
+    The squared distance of two such rows is 2 * (1 - correlation).
+    """
+    a = F.col(array).cast("array<double>")
+    mean = F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
+    centred = df.withColumn("__m", mean).withColumn(
+        "__v", array_to_vector(F.transform(a, lambda x: x - F.col("__m")))
+    )
+    return Normalizer(p=2.0, inputCol="__v", outputCol=out).transform(centred).drop("__m", "__v")

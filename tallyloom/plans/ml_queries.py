@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tallyloom.core import cut_lineage, spread, store_and_reload
 from tallyloom.functions.columns import one_hot
-from tallyloom.operators import ml
+from tallyloom.operators import lasso, ml
 from tallyloom.operators import resample as rsm
 from tallyloom.operators import stats as st
 from tallyloom.operators import text as tx
+from tallyloom.operators.recipe import numeric_recipe
 from tallyloom.operators.reshape import hash_split
 from tallyloom.plans.registry import query
 
@@ -38,26 +40,22 @@ def _(t):
     return ml.polynomial_errors(rows, "l_quantity", "l_extendedprice", [1, 2, 3, 5, 10], "is_train")
 
 
-def rated_vectors(t, min_total=400):
-    """Sparse word counts and the quality label of each labelled document."""
+def quality_path(t, min_total=50):
+    """Lasso of the quality label on the word counts of labelled documents."""
     labels = t.labels.select("doc_id", F.col("quality").cast("double").alias("quality"))
-    rated = spread(t.documents.select("doc_id", "text")).join(labels, "doc_id")
-    rated = store_and_reload(rated, "rated-texts")
+    rated = store_and_reload(spread(t.documents.select("doc_id", "text")).join(labels, "doc_id"), "rated-texts")
     counts = tx.document_terms(tx.tokens(rated.select("doc_id", "text"), "text"), "doc_id", min_total)
-    vocabulary = cut_lineage(tx.term_ids(counts))
-    return cut_lineage(tx.count_vectors(rated, "text", vocabulary)), vocabulary
+    return lasso.lasso_path(counts, rated.select("doc_id", "quality"), "doc_id", "word", "n", "quality", n_penalties=8, least_ratio=0.1)
 
 
 @query("M15_lasso_path")
 def _(t):
-    rows, _ = rated_vectors(t)
-    return ml.lasso_path(rows, "doc_id", "features", "quality", [0.005, 0.02, 0.08], max_iter=12)
+    return quality_path(t).errors
 
 
 @query("M15_lasso_terms")
 def _(t):
-    rows, vocabulary = rated_vectors(t)
-    return ml.lasso_terms(rows, "features", "quality", 0.02, vocabulary, max_iter=20)
+    return quality_path(t).terms.filter("is_min OR is_1se")
 
 
 @query("M18_explained_variance")
@@ -134,15 +132,47 @@ def _(t):
     return t.customer.select("c_custkey", one_hot("c_mktsegment", levels).alias("hot"), (F.col("c_acctbal") / 255.0).alias("scaled"))
 
 
+NUMERIC = ["l_quantity", "p_retailprice", "p_size", "unit"]
+
+
+def priced_parts(t):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), "p_retailprice",
+        F.col("p_size").cast("double").alias("p_size"), F.lit(1.0).alias("unit"), "p_type", "l_extendedprice",
+    )
+
+
+def box_cox_sql(columns):
+    """Powers by the same three grids, column by column, and the transformed rows."""
+    parts = ["z AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, p_retailprice, p_size::DOUBLE AS p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"]
+    for c in columns:
+        before, steps = "0", (1, 20, 400)
+        for i, steps_of in enumerate(steps):
+            at = f"({before}) * {20 if i else 1} + d" if i else "d"
+            power = f"(k / {4.0 * steps_of}::DOUBLE)"
+            parts.append(f"""g{c}{i} AS (SELECT arg_max(k, (ll, -k)) AS k FROM (SELECT k, -count(*) / 2.0 * ln(var_pop(CASE WHEN k = 0 THEN ln({c}) ELSE (pow({c}, {power}) - 1) / {power} END)) + ({power} - 1) * sum(ln({c})) AS ll
+              FROM z, (SELECT {at} AS k FROM (SELECT unnest(range(-20, 21)) AS d)) GROUP BY k))""")
+            before = f"SELECT k FROM g{c}{i}"
+    power = {c: f"((SELECT k FROM g{c}2) / 1600.0::DOUBLE)" for c in columns}
+    changed = [f"CASE WHEN {p} = 0 THEN ln({c}) ELSE (pow({c}, {p}) - 1) / {p} END AS {c}" for c, p in power.items()]
+    return ", ".join([*parts, f"t AS (SELECT l_orderkey, l_linenumber, {', '.join(changed)} FROM z)"])
+
+
+@query(
+    "M24_recipe_columns",
+    f"""WITH {box_cox_sql(NUMERIC[:3])}
+        SELECT l_orderkey, l_linenumber, {", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in NUMERIC[:3])} FROM t""",
+)
+def _(t):
+    rows = priced_parts(t).select("l_orderkey", "l_linenumber", *NUMERIC)
+    out = Pipeline(stages=numeric_recipe(NUMERIC)).fit(rows).transform(rows)  # drops the column that never varies
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
+
+
 @query("M24_forest_metrics")
 def _(t):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "p_retailprice", "p_size", "p_type", "l_extendedprice"
-    )
-    split = hash_split(rows, 0.75, 9, "l_orderkey", "l_linenumber")
-    model = ml.forest_fit(
-        split.filter("is_train"), ["l_quantity", "l_discount", "p_retailprice", "p_size"], ["p_type"], "l_extendedprice", trees=10
-    )
+    split = hash_split(priced_parts(t), 0.75, 9, "l_orderkey", "l_linenumber")
+    model = ml.forest_fit(split.filter("is_train"), NUMERIC, ["p_type"], "l_extendedprice", trees=10, stages=numeric_recipe(NUMERIC))
     return st.regression_metrics(model.transform(split.filter("NOT is_train")), "l_extendedprice", "prediction")
 
 

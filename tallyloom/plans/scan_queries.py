@@ -190,6 +190,63 @@ def _(t):
     return links.groupBy("link").agg(F.count("*").alias("n"))
 
 
+def supplier_pages(t):
+    """A page per nation with a table of its suppliers and labelled lines, written as untidily as pages are."""
+    row = F.format_string("<TR class='s'><td>%d<td><b>%s</b> &amp; co.</td>", "s_suppkey", "s_name")
+    rows = t.supplier.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("rows"), F.count("*").alias("n"))
+    rows = rows.withColumn("rows", F.array_join("rows.row", "\n"))
+    head = "<HTML><script>var t = '<td>no</td>: no';</script><Div>Nation: %s &lt;%d&gt;.<br>Suppliers: %d.</div><!-- Size: 0 -->"
+    html = F.format_string(head + "<table id=x><tr><th>Key</th><TH>Name</TH></tr>%s</TABLE></html>", "n_name", "s_nationkey", "n", "rows")
+    return rows.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select("s_nationkey", html.alias("html"))
+
+
+@query(
+    "S10_html_cells",
+    """WITH r AS (SELECT s_nationkey, s_suppkey, s_name, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INTEGER) AS row_no FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+       c AS (SELECT s_nationkey, row_no, 0 AS col_no, s_suppkey::VARCHAR AS cell, false AS header FROM r UNION ALL SELECT s_nationkey, row_no, 1, s_name || ' & co.', false FROM r
+         UNION ALL SELECT DISTINCT s_nationkey, 0, 0, 'Key', true FROM r UNION ALL SELECT DISTINCT s_nationkey, 0, 1, 'Name', true FROM r)
+       SELECT s_nationkey, 0 AS table_no, row_no, col_no, header, cell FROM c""",
+)
+def _(t):
+    return docs.table_cells(supplier_pages(t), "html")
+
+
+@query(
+    "S10_labelled_lines",
+    """WITH r AS (SELECT s_nationkey, any_value(n_name) AS n_name, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1)
+       SELECT s_nationkey, 'Nation' AS label, n_name || ' <' || s_nationkey || '>' AS value FROM r UNION ALL SELECT s_nationkey, 'Suppliers', n::VARCHAR FROM r""",
+)
+def _(t):
+    return docs.labelled_lines(supplier_pages(t), "html").drop("line_no")
+
+
+@query(
+    "S08_tcx_points",
+    """SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'Biking' ELSE 'Running' END AS sport, event_id % 3 AS lap, CAST(floor(epoch(ts)) AS BIGINT) AS seconds,
+              CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 180 - 90 AS DOUBLE) END AS lat, value AS alt, CAST(60 + event_id % 100 AS INTEGER) AS hr FROM events""",
+)
+def _(t):
+    path = scratch_path(t.spark, "tcx")
+    degrees = (F.col("event_id") % 180 - 90).cast("double")
+    place = F.when(F.col("event_id") % 5 != 0, F.struct(degrees.alias("LatitudeDegrees"), F.lit(0.0).alias("LongitudeDegrees")))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Time")
+    pulse = F.struct((F.lit(60) + F.col("event_id") % 100).cast("int").alias("Value"))
+    point = F.struct(time, place.alias("Position"), F.col("value").alias("AltitudeMeters"), F.lit(0.0).alias("DistanceMeters"), pulse.alias("HeartRateBpm"))
+    # an activity per user with three laps
+    laps = t.events.groupBy("user_id", (F.col("event_id") % 3).alias("lap")).agg(F.collect_list(point).alias("Trackpoint"))
+    track = F.array(F.struct("Trackpoint")).alias("Track")
+    lap = F.struct("lap", F.struct(F.format_string("2020-01-01T00:00:0%dZ", "lap").alias("_StartTime"), track).alias("l"))
+    start = F.date_format(F.timestamp_seconds(F.col("user_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Id")
+    sport = F.when(F.col("user_id") % 2 == 0, "Biking").otherwise("Running").alias("_Sport")
+    files_ = laps.groupBy("user_id").agg(F.array_sort(F.collect_list(lap)).alias("x")).select(sport, start, F.col("x.l").alias("Lap"))
+    files_.write.format("xml").option("rowTag", "Activity").option("rootTag", "Activities").save(path)
+    read = docs.read_tcx_points(t.spark, path)
+    seconds = F.unix_timestamp
+    return read.select(
+        seconds("activity").alias("user_id"), "sport", F.col("lap").cast("long").alias("lap"), seconds("ts").alias("seconds"), "lat", "alt", "hr"
+    )
+
+
 @query(
     "S11_drifting_layouts",
     """SELECT CASE WHEN s_nationkey < 12 THEN DATE '2019-11-01' ELSE DATE '2019-11-02' END AS file_date,

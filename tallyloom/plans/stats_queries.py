@@ -142,6 +142,12 @@ def _(t):
     return out.select("l_returnflag", F.round("r", 8).alias("r"), "n", F.round("t_value", 5).alias("t_value"))
 
 
+@query("M07_correlation_p_value")
+def _(t):
+    out = st.correlation_test(t.lineitem, ["l_returnflag"], "l_discount", "l_tax")
+    return out.select("l_returnflag", F.round("r", 8).alias("r"), "n", "p_value")
+
+
 DEVICES = "(SELECT l_extendedprice / l_quantity AS a, p_retailprice * 1.5 AS b FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -159,6 +165,12 @@ def _(t):
     return out.select(*[F.round(c, 5).alias(c) for c in ("mean_diff", "sd_diff", "t_value")], "n")
 
 
+@query("M08_paired_t_p_value")
+def _(t):
+    out = st.paired_t_test(t.lineitem, ["l_returnflag", "l_linestatus"], "l_discount", "l_tax")
+    return out.select("l_returnflag", "l_linestatus", "n", F.round("t_value", 5).alias("t_value"), "p_value")
+
+
 @query(
     "M09_agreement",
     f"""WITH x AS (SELECT b - a AS d, (a + b) / 2 AS m FROM {DEVICES}), s AS (SELECT avg(d) AS bias, stddev_samp(d) AS sd, corr(d, m) AS r, count(*) AS n FROM x)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TRACK_SCHEMA = "_lat double, _lon double, ele double, time timestamp, hr int, track long"
 
@@ -21,6 +24,27 @@ def read_track_points(
     )
 
 
+TCX_SCHEMA = """_Sport string, Id timestamp, Lap array<struct<_StartTime: timestamp, Track: array<struct<Trackpoint: array<struct<
+  Time: timestamp, Position: struct<LatitudeDegrees: double, LongitudeDegrees: double>, AltitudeMeters: double, DistanceMeters: double,
+  HeartRateBpm: struct<Value: int>>>>>>>"""
+
+
+def read_tcx_points(spark: SparkSession, path: str) -> DataFrame:
+    """Track points of TCX files: activity, sport, lap, track and point numbers from 0, ts, lat, lon, alt, dist, hr.
+
+    Laps hold tracks and tracks hold points; what a point lacks is NULL.
+    """
+    activities = spark.read.format("xml").option("rowTag", "Activity").schema(TCX_SCHEMA).load(path)
+    laps = activities.select(F.col("Id").alias("activity"), F.col("_Sport").alias("sport"), F.posexplode("Lap").alias("lap", "__l"))
+    tracks = laps.select("activity", "sport", "lap", F.posexplode("__l.Track").alias("track", "__t"))
+    points = tracks.select("activity", "sport", "lap", "track", F.posexplode("__t.Trackpoint").alias("point", "p"))
+    return points.select(
+        "activity", "sport", "lap", "track", "point", F.col("p.Time").alias("ts"), F.col("p.Position.LatitudeDegrees").alias("lat"),
+        F.col("p.Position.LongitudeDegrees").alias("lon"), F.col("p.AltitudeMeters").alias("alt"), F.col("p.DistanceMeters").alias("dist"),
+        F.col("p.HeartRateBpm.Value").alias("hr"),
+    )
+
+
 def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:
     """Nested struct fields as top-level columns named ``outer.inner``."""
 
@@ -103,24 +127,110 @@ def html_fields(df: DataFrame, html: str, fields: Mapping[str, Column]) -> DataF
     return df.select(*[c for c in df.columns if c != html], *[v.alias(k) for k, v in fields.items()])
 
 
-def table_cells(df: DataFrame, html: str) -> DataFrame:
-    """Cells of every HTML table as rows (table, row and column numbers)."""
-    html_col = F.col(html)
+class _Page(HTMLParser):
+    """Table cells and lines of one page, however its tags are written.
+
+    Text belongs to the innermost open cell; a new cell, row or table end closes
+    what HTML lets stay open. Lines end where block elements do. Entities are
+    read, scripts, styles and comments are not.
+    """
+
+    # Elements that start a new line, and those without visible text.
+    BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+    HIDDEN = frozenset(["script", "style", "template", "noscript"])
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.cells: list[tuple[int, int, int, bool, str]] = []
+        self.lines: list[str] = []
+        self._text: list[str] = []
+        self._tables: list[dict] = []
+        self._n_tables, self._hidden = 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.HIDDEN:
+            self._hidden += 1
+        if tag in self.BLOCKS:
+            self._end_line()
+            if self._tables and self._tables[-1]["cell"] is not None:
+                self._tables[-1]["cell"].append(" ")
+        if tag == "table":
+            self._tables.append({"no": self._n_tables, "row": -1, "col": -1, "cell": None, "header": False})
+            self._n_tables += 1
+        elif self._tables:
+            t = self._tables[-1]
+            if tag in ("tr", "td", "th"):
+                self._end_cell(t)
+            if tag == "tr":
+                t["row"], t["col"] = t["row"] + 1, -1
+            elif tag in ("td", "th"):
+                t["row"], t["col"], t["cell"], t["header"] = max(t["row"], 0), t["col"] + 1, [], tag == "th"
+
+    def handle_endtag(self, tag):
+        if tag in self.HIDDEN:
+            self._hidden = max(0, self._hidden - 1)
+        if tag in self.BLOCKS:
+            self._end_line()
+        if self._tables and tag in ("td", "th", "tr", "table"):
+            self._end_cell(self._tables[-1])
+            if tag == "table":
+                self._tables.pop()
+
+    def handle_data(self, data):
+        if self._hidden:
+            return
+        self._text.append(data)
+        if self._tables and self._tables[-1]["cell"] is not None:
+            self._tables[-1]["cell"].append(data)
+
+    def _end_cell(self, t: dict) -> None:
+        if t["cell"] is not None:
+            self.cells.append((t["no"], t["row"], t["col"], t["header"], " ".join("".join(t["cell"]).split())))
+            t["cell"] = None
+
+    def _end_line(self) -> None:
+        for line in "".join(self._text).split("\n"):
+            if line := " ".join(line.split()):
+                self.lines.append(line)
+        self._text = []
+
+    def read(self, html: str) -> _Page:
+        self.feed(html)
+        self.close()
+        self._end_line()
+        while self._tables:
+            self._end_cell(self._tables.pop())
+        return self
+
+
+def _per_page(df: DataFrame, html: str, find: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """The other columns of each page, repeated for what ``find`` returns; NULL pages give no rows."""
     keep = [c for c in df.columns if c != html]
-    tables = df.select(
-        *keep,
-        F.posexplode(F.regexp_extract_all(html_col, F.lit(r"(?s)<table.*?</table>"), 0)).alias(
-            "table_no", "__t"
-        ),
-    )
-    rows = tables.select(
-        *keep,
-        "table_no",
-        F.posexplode(F.regexp_extract_all("__t", F.lit(r"(?s)<tr.*?</tr>"), 0)).alias("row_no", "__r"),
-    )
-    cells = F.regexp_extract_all("__r", F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), 1)
-    return rows.select(
-        *keep, "table_no", "row_no", F.posexplode(cells).alias("col_no", "__c")
-    ).select(
-        *keep, "table_no", "row_no", "col_no", F.trim(F.regexp_replace("__c", TAG, "")).alias("cell")
-    )
+    fields = T._parse_datatype_string(schema)
+    kinds = to_arrow_schema(fields)
+
+    def per_batch(batches):
+        for b in batches:
+            found = [find(page) if page is not None else [] for page in b.column(html).to_pylist()]
+            at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            flat = [x for rows in found for x in rows]
+            new = [pa.array([x[i] for x in flat], kinds.field(i).type) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), *new], names=[*keep, *kinds.names])
+
+    out = T.StructType([df.schema[c] for c in keep] + fields.fields)
+    return df.select(*keep, html).mapInArrow(per_batch, out)
+
+
+def table_cells(df: DataFrame, html: str) -> DataFrame:
+    """Cells of every HTML table as rows (table_no, row_no, col_no from 0, header, cell), nested tables as tables of their own."""
+    return _per_page(df, html, lambda page: _Page().read(page).cells, "table_no int, row_no int, col_no int, header boolean, cell string")
+
+
+def labelled_lines(df: DataFrame, html: str) -> DataFrame:
+    """The ``label: value`` lines of every page as rows (line_no among its lines, label, value), final full stops removed."""
+
+    def find(page: str) -> list[tuple]:
+        parts = [(i, line.partition(": ")) for i, line in enumerate(_Page().read(page).lines)]
+        return [(i, label.strip(), value.strip().rstrip(".")) for i, (label, colon, value) in parts if colon and label.strip()]
+
+    return _per_page(df, html, find, "line_no int, label string, value string")

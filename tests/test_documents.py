@@ -67,3 +67,18 @@ def test_mapping_a_track_file(spark, tmp_path):
     )
     rows = docs.read_track_points(spark, str(path)).orderBy("lat").select("lat", "lon", "alt", F.unix_timestamp("ts"), "hr").collect()
     assert rows == [(-22.2, -43.6, 11.0, 1514800805, None), (-22.1, -43.5, 10.5, 1514800800, 120)]
+
+
+UNTIDY = """<TABLE border=1><TR><TD>a &amp; b<td CLASS='x'>&eacute;<br>&#65;&nbsp;&lt;i&gt;</TD>
+<tr><td><table><tr><td>inner</table> outer</td><th title="a>b">H</th></table><p>Pa&iacute;s: Brasil.<BR/>
+Nota: <b>4</b>,5<p>no label<script>x: y</script><!-- c: d --> here:there : z<li>: empty<div>Last: one"""
+
+
+def test_untidy_pages(spark):
+    df = spark.createDataFrame([(1, "k", UNTIDY), (2, None, None), (3, "", "<td>no table</td>"), (4, "x", "")], "id int, cell string, html string")
+    got = [tuple(r) for r in docs.table_cells(df.drop("cell"), "html").collect()]
+    assert sorted(got) == [
+        (1, 0, 0, 0, False, "a & b"), (1, 0, 0, 1, False, "é A <i>"), (1, 0, 1, 0, False, "outer"), (1, 0, 1, 1, True, "H"), (1, 1, 0, 0, False, "inner")
+    ]
+    lines = {(r.label, r.value) for r in docs.labelled_lines(df, "html").filter("id = 1").collect()}
+    assert lines == {("País", "Brasil"), ("Nota", "4,5"), ("no label here:there", "z"), ("Last", "one")}

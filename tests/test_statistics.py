@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import tails
 from tallyloom.operators import aggregate as ag
-from tallyloom.operators import ml
+from tallyloom.operators import lasso, ml
 from tallyloom.operators import series as ts
 from tallyloom.operators import stats as st
 from tallyloom.operators import text as tx
@@ -138,13 +138,12 @@ def test_lasso_keeps_the_strong_terms(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 6))
     y = 3 * x[:, 0] - 2 * x[:, 3] + rng.normal(scale=0.1, size=200)
-    from pyspark.ml.functions import array_to_vector
-
-    df = spark.createDataFrame([(i, v, float(t)) for i, (v, t) in enumerate(zip(x.tolist(), y))], "id long, a array<double>, y double")
-    rows = df.withColumn("f", array_to_vector("a")).cache()
-    path = ml.lasso_path(rows, "id", "f", "y", [0.01, 0.1, 3.0]).collect()
-    assert [p["lambda"] for p in path if p.is_min] == [0.01]
-    assert sum(p.is_1se for p in path) == 1
-    words = spark.createDataFrame([(i, f"w{i}") for i in range(6)], "term_id int, word string")
-    kept = {r.word for r in ml.lasso_terms(rows, "f", "y", 0.3, words).collect()}
+    rows = [(i, f"w{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+    counts = spark.createDataFrame(rows, "id long, word string, n double")
+    targets = spark.createDataFrame([(i, float(t)) for i, t in enumerate(y)], "id long, y double")
+    path = lasso.lasso_path(counts, targets, "id", "word", "n", "y", n_penalties=5, least_ratio=0.005)
+    errors = sorted(path.errors.collect(), key=lambda r: r["lambda"])
+    assert [p["lambda"] for p in errors if p.is_min] == [errors[0]["lambda"]]
+    assert sum(p.is_1se for p in errors) == 1
+    kept = {r.word for r in path.terms.filter(path.terms["lambda"] == errors[2]["lambda"]).collect()}
     assert kept == {"w0", "w3"}
