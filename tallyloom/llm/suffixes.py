@@ -311,11 +311,14 @@ def suffix_array(text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
     masks = np.array([((1 << 9 * r) - 1) << 9 * (h - r) for r in range(h + 1)], np.uint64)
     first &= masks[np.minimum(stop - place, h)]  # nothing beyond the segment
     longest = int((stop - place).max())
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first)
     first = first[sa]
-    last = np.flatnonzero(np.append(first[1:] != first[:-1], True))
+    new = np.append(True, first[1:] != first[:-1])
+    sa = sa[_order(np.cumsum(new), sa)]  # equal ones in text order
+    last = np.flatnonzero(np.append(new[1:], True))
     size = np.diff(np.append(-1, last))
-    rank = np.empty(n, np.int64)
+    stop = stop.astype(np.int32)
+    rank = np.empty(n, np.int32)
     rank[sa] = np.repeat(last, size)
     open_ = np.flatnonzero(np.repeat(size > 1, size))  # places of unsorted groups
     while h < longest and len(open_):
@@ -339,9 +342,10 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, sizes:
     Within a segment the prefix of the next suffix is at most one shorter.
     """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     lcp = np.zeros(n, np.int64)
+    sa = sa.astype(np.int32)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     known = np.zeros(len(starts), np.int64)
