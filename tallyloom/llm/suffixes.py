@@ -54,9 +54,12 @@ def window_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = eight[:n] * _ODD[0]
         for i, at in enumerate(places[1:], 1):
-            total += eight[at : at + n] * _ODD[i % len(_ODD)] + np.uint64(i)
-            total ^= total >> np.uint64(29)
-    return mix(total)
+            total ^= total >> np.uint64(32)
+            total += eight[at : at + n] * _ODD[i % len(_ODD)]
+        total ^= total >> np.uint64(32)
+        total *= _ODD[-1]
+        total ^= total >> np.uint64(29)
+    return total
 
 
 def anchors(raw: list[bytes], length: int) -> pd.DataFrame:
