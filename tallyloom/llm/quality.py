@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import give_back, id_and_text
 from tallyloom.llm.words import batches_of, split_words
@@ -199,7 +200,8 @@ def score_texts(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
     """
     carried = {c: f"carry_{i}" for i, c in enumerate(carry) if c != text_col}
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in carried.items()])
-    schema = rows.schema.add("score", "double") if text_col in carry else rows.drop("text").schema.add("score", "double")
+    kept_text = text_col in carry
+    schema = T.StructType([f for f in rows.schema.fields if kept_text or f.name != "text"] + [T.StructField("score", T.DoubleType())])
 
     def per_batch(batches):
         for b in batches:

@@ -61,6 +61,11 @@ def test_messy_rows_are_all_scored(messy, spark):
     assert len(empty) == 1  # empty and NULL texts are the same
 
 
+def test_carried_columns_come_back_as_they_were(messy):
+    rows = lambda df: sorted(map(str, df.select("doc_id", "text", "source", "key").collect()))
+    assert rows(quality.score_texts(messy, None, carry=("text", "source", "key"))) == rows(messy)
+
+
 def test_without_labels_or_documents(messy, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score_quality(messy, none).collect()} == {0.5}
