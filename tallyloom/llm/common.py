@@ -50,14 +50,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return store_and_reload(df, f"llm-{tag}")
 
 
-def give_back() -> None:
-    """Returns freed memory of a Python worker to the system; idle workers keep it otherwise."""
+def give_back(cycles: bool = True) -> None:
+    """Returns freed memory of a Python worker to the system; idle workers keep it otherwise.
+
+    Looking for ``cycles`` takes tens of milliseconds, which is much for a small group.
+    """
     import ctypes
     import gc
 
     import pyarrow as pa
 
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

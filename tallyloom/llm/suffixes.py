@@ -487,7 +487,7 @@ def drop_repeated_bytes(
     packed = contexts(chunked, flags.withColumn("chunk", chunk_of), length, n_shards)
 
     def per_shard(g: pd.DataFrame) -> pd.DataFrame:
-        give_back()
+        give_back(cycles=False)
         return resolve_shard(g, length).assign(shard=int(g["shard"].iloc[0]))
 
     schema = "chunk int, numbers binary, starts binary, runs binary"
