@@ -110,19 +110,30 @@ def _(t):
 GRID = [(k, d) for d in (16, 64) for k in (1, 5, 15)]
 
 
-@query(
-    "M22_knn_grid",
-    f"WITH {SPLIT}, {near_sql(16)}, {near_sql(64)} "
-    + " UNION ALL ".join(
-        f"SELECT {k} AS k, {d} AS dims, round(avg((predicted = t)::INT), 8) AS accuracy FROM {vote_sql(f'nn{d}', k)}" for k, d in GRID
-    ),
+GRID_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS k, {d} AS dims, round(avg((predicted = t)::INT), 8) AS accuracy FROM {vote_sql(f'nn{d}', k)}" for k, d in GRID
 )
-def _(t):
+
+
+def accuracy_grid(t):
     train, test = split_vectors(t)
     out = ml.knn_grid(train, test, "vec_id", "embedding", "label", [1, 5, 15], [16, 64])
     return out.withColumn("accuracy", F.round("accuracy", 8))
 
 
+@query("M22_knn_grid", f"WITH {SPLIT}, {near_sql(16)}, {near_sql(64)} {GRID_SQL}")
+def _(t):
+    return accuracy_grid(t)
+
+
+@query(
+    "M22_best_rows",
+    f"WITH {SPLIT}, {near_sql(16)}, {near_sql(64)}, g AS ({GRID_SQL}) SELECT * FROM g WHERE accuracy = (SELECT max(accuracy) FROM g)",
+)
+def _(t):
+    return ml.best_rows(store_and_reload(accuracy_grid(t), "accuracy-grid"), "accuracy")
+
+
 @query(
     "M23_one_hot_scaled",
     """SELECT c_custkey, [CASE WHEN c_mktsegment = s THEN 1 ELSE 0 END FOR s IN ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']] AS hot, c_acctbal / 255.0::DOUBLE AS scaled FROM customer""",
