@@ -209,6 +209,17 @@ def _(t):
     return rs.key_value_columns(t.customer.select("c_custkey", text.alias("r")), "r", ["nat", "seg", "cid"])
 
 
+@query(
+    "P19_range_by_unit",
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 5 BETWEEN 150 AND 193 WHEN 1 THEN p_size + 40 BETWEEN 59 AND 76 ELSE FALSE END AS ok FROM part""",
+)
+def _(t):
+    size, kind = F.col("p_size"), F.col("p_partkey") % 3
+    height = F.when(kind == 0, F.format_string("%dcm", size * 5)).when(kind == 1, F.format_string("%din", size + 40)).otherwise(size.cast("string"))
+    ok = fc.range_by_unit(F.col("height"), {"cm": (150, 193), "in": (59, 76)})
+    return t.part.select("p_partkey", height.alias("height")).select("p_partkey", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
 @query(
     "P19_validate_records",
     r"""SELECT o_orderkey, ok_presence, ok_price, ok_priority, ok_status, ok_one_of, ok_presence AND ok_price AND ok_priority AND ok_status AS ok FROM (
