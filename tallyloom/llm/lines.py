@@ -5,6 +5,8 @@ hash; compact arrays hold its fingerprint, document count and last document.
 Documents send the distinct hashes of a chunk of documents to the shards and
 probe the arrays; lines are never joined with lines. The chunk is the unit of a
 probe, so a line that very many documents share is asked for once per chunk.
+Chunks are dealt over copies of a shard's arrays, so that the size of a probing
+task follows from the lines asked for and not from the few that are repeated.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from tallyloom.llm.common import bucket, id_and_text, id_and_text_columns, parts
 WHITE = " \t\n\v\f\r"
 CHUNK_BYTES = 4 << 20
 KEYS_PER_SHARD = 100_000
+ASKED_PER_TASK = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +113,13 @@ def shard_arrays(counts: DataFrame, n_shards: int) -> DataFrame:
     )
 
 
-def probe(asked: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(chunk, h, f, n, last) of the asked hashes (shard, chunk, h, f) that the arrays hold."""
+def probe(asked: DataFrame, arrays: DataFrame, n_copies: int) -> DataFrame:
+    """(chunk, h, f, n, last) of the asked hashes (shard, chunk, h, f) that the arrays hold.
+
+    ``n_copies`` tasks probe each shard, every one for its own chunks.
+    """
+    asked = asked.withColumn("copy", bucket(n_copies, "chunk"))
+    arrays = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))))
 
     def one_shard(a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if a.empty or t.empty:
@@ -126,7 +134,7 @@ def probe(asked: DataFrame, arrays: DataFrame) -> DataFrame:
         apart = pd.DataFrame(np.frombuffer(t["apart"], "<i8").reshape(-1, 4), columns=["h", "f", "n", "last"])
         return pd.concat([found, a[["chunk", "h", "f"]].merge(apart, on=["h", "f"])]) if len(apart) else found
 
-    return asked.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInPandas(
+    return asked.groupBy("shard", "copy").cogroup(arrays.groupBy("shard", "copy")).applyInPandas(
         one_shard, "chunk int, h long, f long, n long, last long"
     )
 
@@ -143,13 +151,15 @@ def drop_repeated_lines(
 
     Returns one row per input row: (id_col, n_lines, n_dropped, text), then the
     columns in ``carry``. A NULL or empty text has one empty line. Rows with the
-    same id are one document. A NULL id is the smallest id. No rows in, none out.
+    same id are one document, wherever they are worked on: rows are dealt by id
+    and text, so that rows without an id do not meet in one task. A NULL id is
+    the smallest id. No rows in, none out.
     """
     texts = id_and_text(docs, id_col, text_col)
     n_chunks = parts(text_bytes(texts), CHUNK_BYTES)
     rows = docs.select(
         *id_and_text_columns(id_col, text_col), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    ).withColumn("chunk", bucket(n_chunks, "key"))
+    ).withColumn("chunk", bucket(n_chunks, "key", "text"))
     lines = stored(line_table(rows.select("chunk", "key", "text"), min_points), "lines")
     counts = stored(
         lines.groupBy("h", "f").agg(F.count_distinct("key").alias("n"), F.max("key").alias("last")).filter(F.col("n") >= min_docs),
@@ -158,7 +168,8 @@ def drop_repeated_lines(
     n_shards = parts(counts.count(), KEYS_PER_SHARD)
     asked = lines.select("chunk", "h", "f").distinct()
     asked = asked.withColumn("shard", bucket(n_shards, "h"))
-    hits = probe(asked, shard_arrays(counts, n_shards))
+    n_copies = parts(lines.count(), ASKED_PER_TASK * n_shards)
+    hits = probe(asked, shard_arrays(counts, n_shards), n_copies)
     schema = f"key long, n_lines long, n_dropped long, text string{''.join(f', carry_{i} {docs.schema[c].dataType.simpleString()}' for i, c in enumerate(carry))}"
 
     def apply(d: pd.DataFrame, hit: pd.DataFrame) -> pd.DataFrame:

@@ -35,9 +35,10 @@ def test_perfect_hash_is_minimal_and_perfect():
         assert sorted(lines.probe_mph(levels, keys).tolist()) == list(range(len(keys)))
 
 
-@pytest.mark.parametrize("per_shard", [5, 100_000])
-def test_lines_equal_brute_force(messy, monkeypatch, per_shard):
+@pytest.mark.parametrize("per_shard, per_task", [(5, 1_000_000), (100_000, 1_000_000), (100_000, 40), (5, 3)])
+def test_lines_equal_brute_force(messy, monkeypatch, per_shard, per_task):
     monkeypatch.setattr(lines, "KEYS_PER_SHARD", per_shard)
+    monkeypatch.setattr(lines, "ASKED_PER_TASK", per_task)
     monkeypatch.setattr(lines, "CHUNK_BYTES", 3000)
     want = brute([(r["doc_id"], r["text"]) for r in messy.collect()])
     got = sorted(map(tuple, lines.drop_repeated_lines(messy).collect()), key=str)
@@ -54,5 +55,18 @@ def test_repeats_inside_the_keeping_document_stay_and_copies_of_a_row_count_once
     assert lines.drop_repeated_lines(two).filter("n_dropped > 0").isEmpty()
 
 
+def test_rows_without_an_id_are_one_document_in_many_chunks(spark, monkeypatch):
+    x, y = "a line of more than twenty points", "one more line of more than twenty points"
+    rows = [(None, f"{x}\nown line {i} of the row without an id") for i in range(10_000)] + [(1, x), (2, f"{x}\n{y}"), (3, y), (None, y)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lines, "CHUNK_BYTES", 20_000)
+    sizes = []
+    real = lines.line_table
+    monkeypatch.setattr(lines, "line_table", lambda docs, n: (sizes.extend(r["count"] for r in docs.groupBy("chunk").count().collect()), real(docs, n))[1])
+    got = sorted(map(tuple, lines.drop_repeated_lines(frame).collect()), key=str)
+    assert got == brute(rows)
+    assert len(sizes) > 20 and max(sizes) < 1000
+
+
 def test_no_documents(nothing):
     assert lines.drop_repeated_lines(nothing).collect() == []
