@@ -273,7 +273,25 @@ def _classes(links: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of the smallest id of each near-duplicate class; rows without an id stay."""
-    classes = near_duplicate_classes(docs, id_col, text_col, **options)
-    gone = classes.filter(F.col("class_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of the smallest id of each near-duplicate class, one for each id and text.
+
+    Rows without an id take part under a number made of their text, before all
+    ids that are not negative. Of several rows with the same id and text, the
+    one whose other columns have the least hash stays.
+    """
+    stand_in = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseOR(F.lit(-(2**63)))
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), stand_in).alias("key"), F.xxhash64(text_col).alias("body"),
+        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
+    )
+    place = docs.columns.index(text_col)
+    classes = near_duplicate_classes(rows.select("key", F.col(f"row.c{place}").alias("text")), "key", "text", **options)
+    gone = classes.filter("class_id < key").select("key").distinct()
+    kept = rows.join(gone, "key", "left_anti")
+    repeats = stored(rows.groupBy("key", "body").agg(F.count("*").alias("n")).filter("n > 1").select("key", "body"), "repeats")
+    if not repeats.isEmpty():
+        # equal hashes are looked up only; the rows are grouped by the text itself
+        several = kept.join(repeats, ["key", "body"], "left_semi").groupBy("key", F.col(f"row.c{place}").alias("text"))
+        several = several.agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(repeats, ["key", "body"], "left_anti").select("row").union(several.select("row"))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -97,9 +97,31 @@ def test_signature_does_not_depend_on_the_batch():
 
 
 def test_one_of_each_class_stays(messy):
-    want = brute([(r["doc_id"], r["text"]) for r in messy.collect()])
-    kept = [r["doc_id"] for r in near.keep_one_of_each(messy).collect()]
-    assert set(kept) == set(want.values()) | {None}
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    got = near.keep_one_of_each(messy)
+    assert got.columns == messy.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) <= set(rows)
+    named = [(i, t) for i, t in rows if i is not None]
+    named_classes = set(brute(named).values())
+    assert {i for i, _ in got if i is not None} <= named_classes
+
+
+def test_rows_without_an_id_and_repeated_rows_leave_one_of_each_group(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near_copy = long + " end"
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(None, long, "a"), (None, near_copy, "b"), (5, long, "c"), (5, long, "c"), (7, near_copy, "d"), (8, other, "e"), (8, other, "f"),
+            (9, None, "g"), (10, "", "h"), (10, "", "h"), (None, None, "i"), (None, None, "i"), (None, "alone here", "j")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted(map(tuple, near.keep_one_of_each(frame).collect()), key=str)
+    assert sum(r[1] in (long, near_copy) for r in got) == 1
+    assert next(r for r in got if r[1] in (long, near_copy))[0] is None
+    rest = [r for r in got if r[1] not in (long, near_copy)]
+    assert [r[0] for r in rest if r[1] == other] == [8]
+    assert sorted([r[:2] for r in rest if r[1] != other], key=str) == sorted([(9, None), (10, ""), (None, None), (None, "alone here")], key=str)
+    again = sorted(map(tuple, near.keep_one_of_each(frame.repartition(5, "text")).collect()), key=str)
+    assert again == got
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "  ")]])
