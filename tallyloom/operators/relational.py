@@ -66,23 +66,30 @@ def sum_pairs(df: DataFrame, value: str, target: int) -> DataFrame:
 def sum_triples(df: DataFrame, value: str, target: int) -> DataFrame:
     """Triples of rows whose integer values add up to a target.
 
-    The middle value is enumerated inside ``a <= b <= target - a - b``, from the
-    smallest value to what the largest value leaves, and met by equi-joins with
-    the distinct values: the work is bounded by the range of the values and not
-    by the rows. Value triples with repeats are counted by combinations.
+    Distinct values are dealt into as many equal ranges as there are values, at
+    most one for each integer. A smallest value goes to the ranges that its
+    middle value can be in and meets the values there; the third value is the
+    complement of both. So the work is bounded by pairs of distinct values and
+    by the width of the values, whichever is less, and not by the rows. Value
+    triples with repeats are counted by combinations.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
     counts = store_and_reload(counts, "value-counts")
-    most = counts.agg(F.max(F.col(value).cast("long"))).first()[0] or 0
+    least, most, distinct = counts.agg(F.min(F.col(value).cast("long")), F.max(F.col(value).cast("long")), F.count("*")).first()
+    least, most = least or 0, most or 0
+    width = -(-(most - least + 1) // max(distinct, 1))
     side = lambda v, n: counts.select(F.col(value).cast("long").alias(v), F.col("n").alias(n))
-    top = F.expr(f"floor(({target} - a) / 2)").cast("long")
+    at = lambda v: F.expr(f"({v} - {least}) div {width}")
+    top = F.least(F.floor((F.lit(target).cast("long") - F.col("a")) / 2), F.lit(most).cast("long"))
     low = F.greatest(F.col("a"), F.lit(target - most) - F.col("a"))  # below, c would be above the largest value
     ab = (
         side("a", "n_a")
         .filter(F.col("a") * 3 <= target)
-        .filter(low <= top)
-        .withColumn("b", F.explode(F.sequence(low, top)))
-        .join(side("b", "n_b"), "b")
+        .withColumns({"low": low, "top": top})
+        .filter("low <= top")
+        .withColumn("range", F.explode(F.sequence(at("low"), at("top"))))
+        .join(side("b", "n_b").withColumn("range", at("b")), "range")
+        .filter(F.col("b").between(F.col("low"), F.col("top")))
         .withColumn("c", F.lit(target).cast("long") - F.col("a") - F.col("b"))
         .join(side("c", "n_c"), "c")
     )

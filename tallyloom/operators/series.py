@@ -2,8 +2,10 @@
 
 The inputs are period tables (for example one row per series and day) whose
 length per series is limited by the calendar, so ordered columns are computed
-with ``bounded=True`` unless the caller says otherwise. Operators that use the
-period table more than once store it first, so the raw data is read once.
+with ``bounded=True`` unless the caller says ``bounded=False``: a long series is
+then cut into blocks, and its totals are combined before they are exchanged.
+Operators that use the period table more than once store it first, so the raw
+data is read once.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.core import (
     cut_lineage,
     join_on_keys,
+    store_and_reload,
     with_bounded_totals,
     with_group_totals,
     with_table_scalars,
@@ -29,6 +32,12 @@ from tallyloom.operators.window import crossings, drop_repeats, event_flags, sta
 Z80, Z95 = 1.2815515655446004, 1.959963984540054
 
 
+def _with_totals(df: DataFrame, keys: Sequence[str], bounded: bool, **aggs: Column) -> DataFrame:
+    if bounded:
+        return with_bounded_totals(df, list(keys), **aggs)
+    return with_group_totals(cut_lineage(df), list(keys), *[a.alias(name) for name, a in aggs.items()])
+
+
 def bucket_totals(df: DataFrame, keys: Sequence[str], bucket: Column, **aggs: Column) -> DataFrame:
     """Tumbling-bucket aggregates; ``bucket`` is an expression on event time."""
     return df.groupBy(*keys, bucket.alias("bucket")).agg(*[v.alias(k) for k, v in aggs.items()])
@@ -41,14 +50,14 @@ def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, s
 
 
 def interrupted_fit(
-    df: DataFrame, keys: Sequence[str], time: str, value: str, event_date: Column
+    df: DataFrame, keys: Sequence[str], time: str, value: str, event_date: Column, bounded: bool = True
 ) -> DataFrame:
     """Level and slope change at a known point, per series.
 
     The model value ~ T + D + P splits into one straight line on each side of
     the event, so two grouped regressions give all four coefficients.
     """
-    flags = event_flags(df, keys, time, event_date, bounded=True)
+    flags = event_flags(df, keys, time, event_date, bounded=bounded)
     y, t, p = (F.col(c).cast("double") for c in (value, "T", "P"))
     pre, post = F.col("D") == 0, F.col("D") == 1
     f = flags.groupBy(*keys).agg(
@@ -80,18 +89,23 @@ def interrupted_with_control(
     )
 
 
-def change_point(df: DataFrame, keys: Sequence[str], time: str, value: str, margin: int = 3) -> DataFrame:
+def change_point(
+    df: DataFrame, keys: Sequence[str], time: str, value: str, margin: int = 3, bounded: bool = True
+) -> DataFrame:
     """Split of each series into two straight lines with the least squared error.
 
-    Running sums give the error of both sides for every candidate at once.
+    Running sums give the error of both sides for every candidate at once. They
+    are sums of distances from the means of the series, so that a high level
+    costs no digits.
     """
     keys = list(keys)
-    base = sequence_columns(df, keys, [time], position="t", bounded=True)
-    y, t = F.col(value).cast("double"), F.col("t").cast("double")
+    base = sequence_columns(df, keys, [time], position="t", bounded=bounded)
+    base = _with_totals(base, keys, bounded, __n=F.count("*"), __m=F.avg(value))
+    y, t = F.col(value).cast("double") - F.col("__m"), F.col("t") - (F.col("__n") + 1) / 2
     base = base.withColumns({"__t": t, "__y": y, "__tt": t * t, "__ty": t * y, "__yy": y * y})
     parts = ["__t", "__y", "__tt", "__ty", "__yy"]
-    run = sequence_columns(base, keys, [time], running={f"{p}_l": p for p in parts}, bounded=True)
-    run = with_bounded_totals(run, keys, __n=F.count("*"), **{f"{p}_a": F.sum(p) for p in parts})
+    run = sequence_columns(base, keys, [time], running={f"{p}_l": p for p in parts}, bounded=bounded)
+    run = _with_totals(run, keys, bounded, **{f"{p}_a": F.sum(p) for p in parts})
 
     def sse(n, st, sy, stt, sty, syy):
         vt, vy, c = stt - st * st / n, syy - sy * sy / n, sty - st * sy / n
@@ -132,15 +146,15 @@ def pair_residuals(df: DataFrame, series: str, time: str, value: str, a: str, b:
     return both.withColumn("residual", F.col("a") - (F.col("intercept") + F.col("slope") * F.col("b")))
 
 
-def cointegration(df: DataFrame, series: str, time: str, value: str, a: str, b: str) -> DataFrame:
+def cointegration(df: DataFrame, series: str, time: str, value: str, a: str, b: str, **kw) -> DataFrame:
     """Engle-Granger: regression of a on b and unit-root test of the residuals."""
     res = pair_residuals(df, series, time, value, a, b)
     coefs = res.agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"))
-    return with_table_scalars(unit_root(res, [], [time], "residual"), coefs)
+    return with_table_scalars(unit_root(res, [], [time], "residual", **kw), coefs)
 
 
 def cointegration_of_pairs(
-    df: DataFrame, series: str, time: str, value: str, pairs: DataFrame
+    df: DataFrame, series: str, time: str, value: str, pairs: DataFrame, **kw
 ) -> DataFrame:
     """Engle-Granger test of many pairs at once; ``pairs`` has columns a and b."""
     rows = cut_lineage(df.select(F.col(series).alias("__s"), time, F.col(value).cast("double").alias("__v")))
@@ -152,16 +166,16 @@ def cointegration_of_pairs(
     res = join_on_keys(both, fit, ["a", "b"]).withColumn(
         "residual", F.col("v_a") - (F.col("intercept") + F.col("slope") * F.col("v_b"))
     )
-    return join_on_keys(unit_root(res, ["a", "b"], [time], "residual"), fit, ["a", "b"])
+    return join_on_keys(unit_root(res, ["a", "b"], [time], "residual", **kw), fit, ["a", "b"])
 
 
-def pair_trades(residuals: DataFrame, time: str, k: float = 2.0) -> DataFrame:
+def pair_trades(residuals: DataFrame, time: str, k: float = 2.0, bounded: bool = True) -> DataFrame:
     """Long and short trades of a pair: open at k sd, close at the mean."""
     band = residuals.agg((k * F.stddev_samp("residual")).alias("band"))
     banded = with_table_scalars(residuals.select(time, "residual"), band).withColumn("mid", F.lit(0.0))
-    ops = crossings(banded, [], [time], "residual", "band", "mid", bounded=True)
-    ops = drop_repeats(ops, ["side"], [time], "op", bounded=True)
-    return start_stop_intervals(ops, [], [time, "op"], time, "op", bounded=True)
+    ops = crossings(banded, [], [time], "residual", "band", "mid", bounded=bounded)
+    ops = drop_repeats(ops, ["side"], [time], "op", bounded=bounded)
+    return start_stop_intervals(ops, [], [time, "op"], time, "op", bounded=bounded)
 
 
 def trade_returns(trades: DataFrame, prices: DataFrame, time: str, capital: float) -> DataFrame:
@@ -181,7 +195,9 @@ def trade_returns(trades: DataFrame, prices: DataFrame, time: str, capital: floa
     return out.withColumn("ret", (F.col("exit") - F.col("entry")) / capital)
 
 
-def impute_gaps(df: DataFrame, keys: Sequence[str], day: str, value: str, donors: int = 5) -> DataFrame:
+def impute_gaps(
+    df: DataFrame, keys: Sequence[str], day: str, value: str, donors: int = 5, bounded: bool = True
+) -> DataFrame:
     """Fill missing days with the mean of the nearest observed values.
 
     Donors are the ``donors`` observations whose value on the fitted straight
@@ -192,7 +208,7 @@ def impute_gaps(df: DataFrame, keys: Sequence[str], day: str, value: str, donors
     keys = list(keys)
     df = cut_lineage(df)
     cal = dense_calendar(df, keys, day).withColumn("__o", F.when(F.col(value).isNotNull(), 1).otherwise(0))
-    cal = sequence_columns(cal, keys, [day], running={"__rank": "__o"}, bounded=True)
+    cal = sequence_columns(cal, keys, [day], running={"__rank": "__o"}, bounded=bounded)
     observed = cal.filter("__o = 1").select(
         *keys, F.col(day).alias("__d"), F.col(value).alias("__v"), "__rank"
     )
@@ -267,6 +283,87 @@ def decay_half_life(df: DataFrame, keys: Sequence[str], time: str, value: str) -
     return fit.withColumn("half_life", life)
 
 
+def decay_fit(
+    df: DataFrame, keys: Sequence[str], time: str, value: str, tolerance: float = 1e-8, max_rounds: int = 100
+) -> DataFrame:
+    """Least-squares fit of asymptote + rise * exp(-rate * t) from the peak of each series on.
+
+    For a given rate the other two are a straight line, so each round needs
+    central moments of value, e = exp(-rate t) and t e per series, and moves the
+    logarithm of the rate by a Gauss-Newton step; a step that raises the error
+    is halved. All series go at once, and those whose step is below
+    ``tolerance`` take no further part.
+
+    Returns (keys, peak_time, n_after, asymptote, rise, rate, half_life, rmse,
+    step: the last step, rounds). Series with fewer than four points or without
+    a decay (steps that do not settle, a rate at a limit, no rise) have a NULL
+    fit. Half-lives are looked for from 1/50 of a time unit to 50 spans.
+    """
+    keys = list(keys)
+    peak = F.max_by(F.col(time), F.struct(F.col(value), -F.col(time)))
+    df = store_and_reload(df.select(*keys, time, F.col(value).cast("double").alias(value)).dropna(subset=[time, value]), "decay-rows")
+    peaks = df.groupBy(*keys).agg(peak.alias("peak_time"))
+    after = join_on_keys(df, peaks, keys).filter(F.col(time) >= F.col("peak_time"))
+    after = after.select(*keys, "peak_time", (F.col(time) - F.col("peak_time")).cast("double").alias("__t"), F.col(value).alias("__y"))
+    after = store_and_reload(after, "decay-after")
+    series = [*keys, "peak_time"]
+    first = after.groupBy(*series).agg(
+        F.count("*").alias("n_after"), F.max("__t").alias("__span"),
+        F.regr_slope(F.when(F.col("__y") > 0, F.ln("__y")), F.col("__t")).alias("__slope"),
+    )
+    low, high = F.ln(F.lit(math.log(2) / 50) / F.col("__span")), F.lit(math.log(50 * math.log(2)))
+    start = F.ln(F.when(F.col("__slope") < 0, -F.col("__slope")).otherwise(1 / F.col("__span")))
+    start = F.least(F.greatest(start, F.col("__low")), F.col("__high"))
+    first = first.filter("__span > 0").withColumns({"__low": low, "__high": high}).withColumn("__try", start)
+    # best: the log rate of the least error so far; try: the one to look at; step: from best to try
+    none = F.lit(None).cast("double")
+    first = first.withColumns({"__best": none, "__error": none, "__step": none, "__line": F.lit(None).cast("struct<rise:double,asymptote:double>"), "rounds": F.lit(0)})
+    columns = [*series, "n_after", "__low", "__high", "__try", "__best", "__error", "__step", "__line", "rounds"]
+    open_, closed = first.filter("n_after > 3").select(*columns), []
+    e, t, y = F.col("__e"), F.col("__t"), F.col("__y")
+    for _ in range(max_rounds):
+        rows = join_on_keys(after.drop("peak_time"), open_.select(*keys, "__try"), keys)
+        rows = rows.withColumn("__e", F.exp(-F.exp("__try") * t)).withColumn("__u", t * e * F.exp("__try"))
+        u = F.col("__u")
+        sums = rows.groupBy(*keys).agg(
+            F.var_pop(e).alias("ee"), F.var_pop(u).alias("uu"), F.var_pop(y).alias("yy"), F.covar_pop(e, y).alias("ey"),
+            F.covar_pop(e, u).alias("eu"), F.covar_pop(u, y).alias("uy"), F.avg(e).alias("me"), F.avg(y).alias("my"),
+        )
+        rise = F.col("ey") / F.nullif(F.col("ee"), F.lit(0.0))
+        s = join_on_keys(open_, sums, keys).withColumn("__b", rise)
+        s = s.withColumns({
+            "__now": F.greatest(F.col("yy") - F.col("__b") * F.col("ey"), F.lit(0.0)),
+            "__newton": -(F.col("uy") - F.col("__b") * F.col("eu"))
+            / F.nullif(F.col("__b") * (F.col("uu") - F.col("eu") * F.col("eu") / F.nullif(F.col("ee"), F.lit(0.0))), F.lit(0.0)),
+        })
+        better = F.col("__best").isNull() | (F.col("__now") <= F.col("__error"))
+        move = F.when(better, F.least(F.greatest("__newton", F.lit(-1.0)), F.lit(1.0))).otherwise(F.col("__step") / 2)
+        s = s.withColumn("__better", better).withColumn("__move", move)
+        s = s.withColumns({
+            "__best": F.when(F.col("__better"), F.col("__try")).otherwise(F.col("__best")),
+            "__error": F.when(F.col("__better"), F.col("__now")).otherwise(F.col("__error")),
+            "__line": F.when(F.col("__better"), F.struct(F.col("__b").alias("rise"), (F.col("my") - F.col("__b") * F.col("me")).alias("asymptote"))).otherwise(F.col("__line")),
+            "__step": F.col("__move"), "rounds": F.col("rounds") + 1,
+        })
+        s = s.withColumn("__try", F.least(F.greatest(F.col("__best") + F.col("__step"), "__low"), "__high"))
+        s = store_and_reload(s.select(*columns), "decay-round")
+        settled = F.coalesce(F.abs("__step") <= tolerance, F.lit(True)) | (F.col("__try") == F.col("__best"))
+        closed.append(s.filter(settled))
+        open_ = s.filter(~settled)
+        if open_.isEmpty():
+            break
+    found = closed[0]
+    for part in closed[1:]:
+        found = found.union(part)
+    inside = (F.col("__best") > F.col("__low")) & (F.col("__best") < F.col("__high")) & (F.col("__line.rise") > 0)
+    fit = found.filter(inside & (F.abs("__step") <= tolerance)).select(
+        *keys, F.col("__line.asymptote").alias("asymptote"), F.col("__line.rise").alias("rise"), F.exp("__best").alias("rate"),
+        (math.log(2) / F.exp("__best")).alias("half_life"), F.sqrt("__error").alias("rmse"), F.col("__step").alias("step"), "rounds",
+    )
+    counts = after.groupBy(*series).agg(F.count("*").alias("n_after"))
+    return join_on_keys(counts, fit, keys, "left")
+
+
 def token_share(counts: DataFrame, totals: DataFrame, period: str, count: str, total: str) -> DataFrame:
     """Relative frequency of a token against the total of its period."""
     return counts.join(totals, period).withColumn("share", F.col(count) / F.col(total))

@@ -100,10 +100,14 @@ def rss_surface(df: DataFrame, y: str, x: str, spread: float, steps: int) -> Dat
     """Mean squared error on a grid of intercepts and slopes around the fit.
 
     The grid spans ``spread`` standard errors on both sides. Each grid point is
-    a quadratic form of the sums of one pass over the data.
+    a quadratic form of sums of distances from the means.
     """
     fit = simple_fit(df, [], y, x)
-    sums = df.select(F.col(x).alias("x"), F.col(y).alias("y")).na.drop().agg(
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
+    rows = with_table_scalars(rows, rows.agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my")))
+    sums = rows.withColumns({"x": F.col("x") - F.col("__mx"), "y": F.col("y") - F.col("__my")}).agg(
+        F.first("__mx").alias("__mx"),
+        F.first("__my").alias("__my"),
         F.count("*").alias("__n"),
         F.sum("x").alias("__x"),
         F.sum("y").alias("__y"),
@@ -117,7 +121,8 @@ def rss_surface(df: DataFrame, y: str, x: str, spread: float, steps: int) -> Dat
     b0 = F.col("intercept") + F.col("i") * spread / steps * F.col("intercept_se")
     b1 = F.col("slope") + F.col("j") * spread / steps * F.col("slope_se")
     at = at.withColumns({"b0": b0, "b1": b1})
-    b0, b1 = F.col("b0"), F.col("b1")
+    b1 = F.col("b1")
+    b0 = F.col("b0") + b1 * F.col("__mx") - F.col("__my")  # the intercept as the shifted values see it
     rss = (
         F.col("__yy") - 2 * b0 * F.col("__y") - 2 * b1 * F.col("__xy")
         + b0 * b0 * F.col("__n") + 2 * b0 * b1 * F.col("__x") + b1 * b1 * F.col("__xx")
@@ -172,7 +177,7 @@ def paired_t_test(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFra
 def agreement(df: DataFrame, a: str, b: str, k: float = 2.0) -> DataFrame:
     """Agreement of two measurements: bias, limits, share inside, level effect."""
     d, m = F.col(b) - F.col(a), (F.col(a) + F.col(b)) / 2
-    rows = df.select(d.alias("d"), m.alias("m")).na.drop()
+    rows = store_and_reload(df.select(d.alias("d"), m.alias("m")).na.drop(), "differences")  # read for the limits and the share
     s = rows.agg(
         F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"), F.corr("d", "m").alias("level_correlation"),
         F.count("*").alias("n"),
@@ -187,16 +192,21 @@ def agreement(df: DataFrame, a: str, b: str, k: float = 2.0) -> DataFrame:
 def weighted_mean_interval(
     df: DataFrame, keys: Sequence[str], x: str, weight: str, level: float = 0.95
 ) -> DataFrame:
-    """Mean of frequency-weighted values with a t confidence interval."""
-    w, v = F.col(weight), F.col(x)
-    s = df.groupBy(*keys).agg(
-        F.sum(w).alias("n"), F.sum(w * v).alias("__s"), F.sum(w * v * v).alias("__q")
+    """Mean of frequency-weighted values with a t confidence interval.
+
+    The sums are of distances from the plain mean of a group, so that a high
+    level costs no digits.
+    """
+    rows = with_group_totals(df.select(*keys, x, weight), list(keys), F.avg(x).alias("__c"))
+    w, v = F.col(weight), F.col(x) - F.col("__c")
+    s = rows.groupBy(*keys).agg(
+        F.sum(w).alias("n"), F.sum(w * v).alias("__s"), F.sum(w * v * v).alias("__q"), F.first("__c").alias("__c")
     )
-    mean = F.col("__s") / F.col("n")
+    mean = F.col("__c") + F.col("__s") / F.col("n")
     var = (F.col("__q") - F.col("__s") * F.col("__s") / F.col("n")) / (F.col("n") - 1)
     s = s.withColumns({"mean": mean, "std_error": F.sqrt(F.greatest(var, F.lit(0.0)) / F.col("n"))})
     margin = t_critical(level, F.col("n") - 1) * F.col("std_error")
-    return s.withColumns({"low": F.col("mean") - margin, "high": F.col("mean") + margin}).drop("__s", "__q")
+    return s.withColumns({"low": F.col("mean") - margin, "high": F.col("mean") + margin}).drop("__s", "__q", "__c")
 
 
 def moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:

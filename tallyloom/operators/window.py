@@ -19,6 +19,10 @@ from tallyloom.operators.reshape import nest
 from tallyloom.operators.sequence import sequence_columns, sliding_blocks
 
 
+#: Positions of a run are covered by blocks of this many, blocks of blocks and so on.
+BLOCK, LEVELS = 64, 5
+
+
 def differences(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "diff", **kw
 ) -> DataFrame:
@@ -167,23 +171,46 @@ def runs_with_sum(
 ) -> DataFrame:
     """Contiguous runs (two rows or more) whose sum equals the target.
 
-    Prefix sums turn the search into an equi-join; the rows of the few runs
-    found are then met by position for their minimum and maximum.
+    Prefix sums turn the search into an equi-join. A run is then cut into whole
+    blocks of ``BLOCK`` positions, blocks of blocks and the rows at its ends, so
+    that its minimum and maximum cost a few hundred rows at any length.
     """
     keys = list(keys)
     s = sequence_columns(df, keys, order, running={"__s": value}, position="pos", **kw)
+    s = store_and_reload(s.select(*keys, "pos", "__s", F.col(value).alias("__v")), "prefix-sums")
     ends = s.select(*keys, F.col("pos").alias("last_pos"), F.col("__s").alias("__at"))
-    starts = s.select(
-        *keys, F.col("pos").alias("first_pos"), (F.col("__s") - F.col(value) + target).alias("__at")
-    )
+    starts = s.select(*keys, F.col("pos").alias("first_pos"), (F.col("__s") - F.col("__v") + target).alias("__at"))
     runs = starts.join(ends, [*keys, "__at"]).filter(F.col("last_pos") > F.col("first_pos")).drop("__at")
-    steps = runs.withColumn("pos", F.explode(F.sequence("first_pos", "last_pos")))
-    values = steps.join(s.select(*keys, "pos", value), [*keys, "pos"])
+    level = s.select(*keys, F.lit(0).alias("__level"), F.col("pos").alias("__block"), F.col("__v").alias("lo"), F.col("__v").alias("hi"))
+    blocks = level
+    for n in range(1, LEVELS):
+        level = level.groupBy(*keys, F.floor(F.col("__block") / BLOCK).alias("__block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        level = level.select(*keys, F.lit(n).alias("__level"), "__block", "lo", "hi")
+        blocks = blocks.union(level)
+    steps = runs.withColumn("__p", F.explode(_run_blocks("first_pos", "last_pos")))
+    steps = steps.select(*keys, "first_pos", "last_pos", F.col("__p.level").alias("__level"), F.explode(F.sequence("__p.from", "__p.to")).alias("__block"))
+    values = steps.join(blocks, [*keys, "__level", "__block"])
     return values.groupBy(*keys, "first_pos", "last_pos").agg(
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        (F.min(value) + F.max(value)).alias("min_plus_max"),
+        F.min("lo").alias("min_value"), F.max("hi").alias("max_value"), (F.min("lo") + F.max("hi")).alias("min_plus_max")
+    )
+
+
+def _run_blocks(first: str, last: str) -> Column:
+    """(level, from, to) of the whole blocks, largest inside, that make up positions ``first`` to ``last``."""
+    piece = lambda n, lo, hi: F.when(
+        lo <= hi, F.struct(F.lit(n).alias("level"), lo.cast("long").alias("from"), hi.cast("long").alias("to"))
     )
+    lo, hi, going, pieces = F.col(first), F.col(last), F.lit(True), []
+    for n in range(LEVELS):
+        up_lo, up_hi = F.ceil(lo / BLOCK), F.floor((hi + 1) / BLOCK) - 1  # whole blocks of the next level
+        split = (up_lo <= up_hi) if n + 1 < LEVELS else F.lit(False)
+        pieces += [
+            F.when(going & ~split, piece(n, lo, hi)),
+            F.when(going & split, piece(n, lo, up_lo * BLOCK - 1)),
+            F.when(going & split, piece(n, (up_hi + 1) * BLOCK, hi)),
+        ]
+        lo, hi, going = up_lo, up_hi, going & split
+    return F.array_compact(F.array(*pieces))
 
 
 def chain_arrangements(df: DataFrame, keys: Sequence[str], value: str, chunk_rows: int = 10_000) -> DataFrame:
@@ -191,7 +218,9 @@ def chain_arrangements(df: DataFrame, keys: Sequence[str], value: str, chunk_row
 
     Ways to reach a value depend on the three values below it, so each gap is
     a 3x3 matrix acting on those counts. Matrices are multiplied per chunk of
-    the sorted series first and the chunk products are folded afterwards.
+    the sorted series first and the products are folded, ``chunk_rows`` at a
+    time, until one is left. Values that are not above 0, where the chains
+    start, cannot be on one.
     """
     keys = list(keys)
     distinct = df.filter(F.col(value) > 0).select(*keys, F.col(value).cast("long").alias("v")).distinct()
@@ -223,12 +252,13 @@ def chain_arrangements(df: DataFrame, keys: Sequence[str], value: str, chunk_row
         return F.array(*[cell(r, c) for r in range(3) for c in range(3)])
 
     products = chunks.select(*keys, "chunk", F.aggregate("steps", unit, step).alias("m"))
-    # fold chunk_rows products at a time: three levels cover chunk_rows ** 3 rows
-    for _ in range(2):
+    while True:
         up = F.floor(F.col("chunk") / chunk_rows).cast("long").alias("__up")
         lists = products.groupBy(*keys, up).agg(F.sort_array(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
         folded = F.aggregate("ms", unit, lambda acc, s: times(s["m"], acc))
-        products = lists.select(*keys, F.col("__up").alias("chunk"), folded.alias("m"))
+        products = store_and_reload(lists.select(*keys, F.col("__up").alias("chunk"), folded.alias("m")), "chain-products")
+        if not products.agg(F.max("chunk")).first()[0]:
+            break
     # the chain starts with one way at 0, so the first cell is the answer
     return products.select(*keys, F.get("m", 0).alias("arrangements"))
 

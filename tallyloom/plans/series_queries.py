@@ -272,6 +272,33 @@ def _(t):
     return out.select("user_id", "peak_time", "n_after", life.alias("half_life"))
 
 
+FALL = 10  # width of a bin of event values; their counts fall off
+
+
+def _least_error(name: str, before: str, step: float) -> str:
+    """Log rates around those in ``before``, 150 steps to either side, and the one of least error per series."""
+    return f"""{name} AS (SELECT event_type, arg_min(g, err) AS g FROM (
+           SELECT event_type, g, regr_syy(n, exp(-exp(g) * t)) - pow(regr_sxy(n, exp(-exp(g) * t)), 2) / regr_sxx(n, exp(-exp(g) * t)) AS err
+           FROM (SELECT event_type, g + i * {step} AS g FROM {before}, range(-150, 151) r(i)) JOIN f USING (event_type) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "TS13_decay_fit",
+    f"""WITH d AS (SELECT event_type, CAST(floor(value / {FALL}) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1, 2),
+         p AS (SELECT event_type, arg_min(bin, (-n, bin)) AS peak_time FROM d GROUP BY 1),
+         f AS (SELECT event_type, peak_time, (bin - peak_time)::DOUBLE AS t, n::DOUBLE AS n FROM d JOIN p USING (event_type) WHERE bin >= peak_time),
+         g0 AS (SELECT event_type, -1.5::DOUBLE AS g FROM p), {_least_error("g1", "g0", 0.02)}, {_least_error("g2", "g1", 0.0002)}, {_least_error("g3", "g2", 0.000002)}
+       SELECT event_type, any_value(peak_time) AS peak_time, count(*) AS n_after, round(ln(2.0) / exp(any_value(g)), 3) AS half_life,
+         round(regr_intercept(n, exp(-exp(g) * t)), 1) AS asymptote, round(regr_slope(n, exp(-exp(g) * t)), 1) AS rise
+       FROM f JOIN g3 USING (event_type) GROUP BY 1""",
+)
+def _(t):
+    bins = t.events.groupBy("event_type", F.floor(F.col("value") / FALL).alias("bin")).agg(F.count("*").alias("n"))
+    out = ts.decay_fit(bins, ["event_type"], "bin", "n")
+    rounded = [F.round(c, d).alias(c) for c, d in (("half_life", 3), ("asymptote", 1), ("rise", 1))]
+    return out.select("event_type", "peak_time", "n_after", *rounded)
+
+
 @query(
     "TS14_token_share",
     """WITH t AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total FROM events GROUP BY 1), c AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)
