@@ -192,3 +192,28 @@ def test_roles(spark):
     rows = [(1, 9.0, 0.1), (2, 0.0, 0.9), (3, 0.0, 0.1), (4, 1.0, 0.2)]
     out = gr.role_labels(spark.createDataFrame(rows, "id long, b double, e double"), "b", "e")
     assert {r.id: r.role for r in out.collect()} == {1: "gatekeeper", 2: "accessor", 3: "other", 4: "other"}
+
+
+def test_searches_over_several_blocks_of_nodes(spark):
+    pairs = random_graph(11, 1100, 5000) + [(5000 + i, 5001 + i) for i in range(3)]
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    info = {s: paths_from(adj, s) for s in adj}
+    frame = edges(spark, pairs)
+    got = gr.shortest_paths(frame).toPandas()
+    assert len(got) == sum(len(d) for d, _ in info.values())
+    assert all(info[s][0][t] == d and info[s][1][t] == c for s, t, d, c in got.itertuples(index=False))
+    profile = {(r.id, r.dist): r.n for r in gr.distance_profile(frame).collect()}
+    assert profile == {(s, x): sum(y == x for y in d.values()) for s, (d, _) in info.items() for x in set(d.values())}
+    nodes, links = gr.betweenness(frame)
+    scores = {r.id: r.betweenness for r in nodes.collect()}
+    # each pair's inner nodes and links add up to its distance
+    far = sum(x for d, _ in info.values() for x in d.values()) / 2
+    count = sum(len(d) - 1 for d, _ in info.values()) / 2
+    assert abs(sum(scores.values()) - (far - count)) < 1e-6 * far
+    through = links.collect()
+    assert abs(sum(r.betweenness for r in through) - far) < 1e-6 * far
+    assert len(through) == len({frozenset(p) for p in pairs})
+    assert scores[5001] == scores[5002] == 2.0 and {r.betweenness for r in through if r.src >= 5000} == {3.0, 4.0}
