@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     PCA,
@@ -72,6 +75,11 @@ def nearest_centroid(
 
 # --- nearest neighbours ------------------------------------------------------------------
 
+#: Rows of a cell and queries that meet in one task, and distances that a task holds at a time.
+CELL_ROWS = 16_384
+BLOCK_QUERIES = 32_768
+BLOCK_CELLS = 4_000_000
+
 
 def nearest_neighbours(
     train: DataFrame, test: DataFrame, key: str, array: str, k: int, pivots: int = 32, limit: int | None = None
@@ -81,8 +89,8 @@ def nearest_neighbours(
     Training rows belong to the cell of their closest pivot. The triangle
     inequality gives each test row an upper bound on its k-th distance from
     the pivot distances alone, and rules out all cells (and rows inside a
-    cell) that are farther; what is left meets by an equi-join on the cell.
-    Cells with many rows are salted.
+    cell) that are farther; what is left meets on the cell, as blocks of queries
+    against blocks of rows. Cells with many rows are salted.
     """
     tr = train.select(F.col(key).alias("__tk"), as_doubles(array).alias("__tv"))
     te = test.select(F.col(key).alias("__qk"), as_doubles(array).alias("__qv"))
@@ -102,7 +110,7 @@ def nearest_neighbours(
     near = tr.select("__cell", "__r").withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= k)
     near = near.groupBy("__cell").agg(F.collect_list("__r").alias("near"))
     stats = tr.groupBy("__cell").agg(F.count("*").alias("n"), F.max("__r").alias("radius")).join(near, "__cell")
-    per_task = limit or hot_rows(tr.sparkSession)
+    per_task = limit or min(CELL_ROWS, hot_rows(tr.sparkSession))
     salts = F.ceil(F.col("n") / per_task).cast("int")
     cells = stats.agg(
         F.collect_list(F.struct("__cell", "radius", "near", salts.alias("salts"))).alias("__cells")
@@ -123,18 +131,73 @@ def nearest_neighbours(
     salted = with_table_scalars(tr, cells).withColumn(
         "__salts", F.get(F.filter("__cells", lambda c: c["__cell"] == F.col("__cell")), 0)["salts"]
     ).withColumn("__salt", F.pmod(F.xxhash64("__tk"), F.col("__salts")).cast("int")).drop("__cells", "__salts")
-    # distances cost far more than their bytes, so keep the full parallelism
+    # blocks of queries meet the rows of a cell; distances cost far more than their bytes, so keep the full parallelism
+    n_blocks = max(1, math.ceil(te.count() / BLOCK_QUERIES))
+    visits = visits.select("*", F.pmod(F.xxhash64("__qk"), F.lit(n_blocks)).alias("__block"))
+    salted = salted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    visits, salted = _no_null(visits, "__qk"), _no_null(salted, "__tk")
     n = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    visits, salted = (x.repartition(n, "__cell", "__salt") for x in (visits, salted))
-    pairs = visits.join(salted, ["__cell", "__salt"]).filter(F.abs(F.col("__qp") - F.col("__r")) <= F.col("__ub"))
-    scored = pairs.select(
-        F.col("__qk").alias(key), F.col("__tk").alias("neighbour"),
-        F.sqrt(squared_distance(F.col("__qv"), F.col("__tv"))).alias("distance"),
+    at = ["__cell", "__salt", "__block"]
+    visits, salted = visits.repartition(n, *at), salted.withColumnsRenamed({c: f"{c}_t" for c in at}).repartition(n, *[f"{c}_t" for c in at])
+    types = [df.schema[c].dataType.simpleString() for df, c in ((visits, "__qk"), (salted, "__tk"))]
+    scored = visits.groupBy(*at).cogroup(salted.groupBy(*[f"{c}_t" for c in at])).applyInPandas(
+        _nearest_of(k), f"__qk {types[0]}, __qk_null boolean, __tk {types[1]}, __tk_null boolean, distance double"
+    ).select(
+        F.when(~F.col("__qk_null"), F.col("__qk")).alias(key), F.when(~F.col("__tk_null"), F.col("__tk")).alias("neighbour"), "distance"
     )
     wq = Window.partitionBy(key).orderBy("distance", "neighbour")
     return scored.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
 
 
+def _no_null(df: DataFrame, key: str) -> DataFrame:
+    """NULL keys as a flag and a zero, so that pandas keeps whole numbers whole."""
+    zero = F.lit(0).cast(df.schema[key].dataType)
+    return df.withColumns({f"{key}_null": F.col(key).isNull(), key: F.coalesce(F.col(key), zero)})
+
+
+def _nearest_of(k: int):
+    """The k nearest of a cell's rows for each query that visits it.
+
+    A matrix product rules out what is farther than the k-th by more than its
+    rounding; what is left is measured exactly, coordinate by coordinate.
+    """
+
+    def per_cell(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame(columns=["__qk", "__qk_null", "__tk", "__tk_null", "distance"])
+        t = t.sort_values(["__tk_null", "__tk"], ascending=[False, True], kind="stable")
+        to, r = np.stack(t["__tv"].to_numpy()), t["__r"].to_numpy()
+        norm = (to * to).sum(axis=1)
+        step = max(1, BLOCK_CELLS // len(t))
+        out = []
+        for lo in range(0, len(q), step):
+            part = q.iloc[lo : lo + step]
+            own, bound = np.stack(part["__qv"].to_numpy()), part["__ub"].to_numpy()[:, None]
+            near = (np.abs(part["__qp"].to_numpy()[:, None] - r) <= bound) | np.isnan(bound)
+            square = (own * own).sum(axis=1)[:, None]
+            about = np.where(near, square + norm - 2 * (own @ to.T), np.inf)
+            if len(t) > k:
+                last = np.partition(about, k - 1, axis=1)[:, k - 1 : k]
+                near &= ~(about > last + 1e-9 * (square + norm.max()))
+            i, j = np.nonzero(near)
+            total = np.zeros(len(i))
+            for c in range(to.shape[1]):
+                x = own[i, c] - to[j, c]
+                total += x * x
+            total = np.sqrt(total)
+            by = np.lexsort((j, total, i))
+            i, j, total = i[by], j[by], total[by]
+            some = np.arange(len(i)) - np.searchsorted(i, i) < k
+            a, b = part.iloc[i[some]], t.iloc[j[some]]
+            out.append(pd.DataFrame({
+                "__qk": a["__qk"].to_numpy(), "__qk_null": a["__qk_null"].to_numpy(), "__tk": b["__tk"].to_numpy(), "__tk_null": b["__tk_null"].to_numpy(),
+                "distance": total[some],
+            }))
+        return pd.concat(out)
+
+    return per_cell
+
+
 def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """Majority label of the k nearest; ties go to the smallest label."""
     near = neighbours.filter(F.col("rank") <= k).join(

@@ -140,3 +140,20 @@ def test_value_seen_in_previous_rows(spark):
     df = spark.createDataFrame([("s", i + 1, v) for i, v in enumerate(values)], "s string, pos long, v long")
     got = {r.pos: r.seen_at for r in rel.within_previous(df, ["s"], "pos", "v", 3).collect()}
     assert got == {3: 1, 5: 2, 6: 5}
+
+
+def test_nearest_neighbours_by_blocks_of_queries_with_ties_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(ml, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(ml, "CELL_ROWS", 30)
+    rng = random.Random(8)
+    points = [[float(rng.randint(-3, 3)), float(rng.randint(-3, 3)), 1e3] for _ in range(120)]  # many equal ones
+    train = [(2**60 + i if i else None, v) for i, v in enumerate(points[:70])] + [(5, None)]
+    test = [(i, v) for i, v in enumerate(points[70:])] + [(99, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in ml.nearest_neighbours(frame(train), frame(test), "id", "v", 6, pivots=5).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    assert len(got) == 50
+    for i, v in test[:-1]:
+        near = sorted((sum((x - y) ** 2 for x, y in zip(v, w)) ** 0.5, k is not None, k or 0) for k, w in train[:-1])[:6]
+        assert sorted(got[i]) == [(n, k if some else None, d) for n, (d, some, k) in enumerate(near, start=1)]
