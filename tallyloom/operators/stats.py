@@ -50,9 +50,16 @@ def simple_fit(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
 
 
 def with_fit(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
-    """Fitted value and residual of a straight-line fit on every row."""
+    """Fitted value and residual of a straight-line fit on every row.
+
+    The fits are stored first: Spark then knows how small a table of few groups
+    is, and does not shuffle the rows by the group.
+    """
     fit = [F.regr_slope(y, x).alias("__b"), F.regr_intercept(y, x).alias("__a")]
-    out = with_group_totals(df, list(keys), *fit)
+    if keys:
+        out = join_on_keys(df, store_and_reload(df.groupBy(*keys).agg(*fit), "fits"), list(keys))
+    else:
+        out = with_group_totals(df, [], *fit)
     fitted = F.col("__a") + F.col("__b") * F.col(x)
     return out.withColumns({"fitted": fitted, "residual": F.col(y) - fitted}).drop("__a", "__b")
 

@@ -43,3 +43,12 @@ def test_pairs_get_tasks_by_their_number(spark, monkeypatch, split):
             held.setdefault(g, set()).add(m)
     want = Counter(p for x in held.values() for p in combinations(sorted(x), 2))
     assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == dict(want)
+
+
+def test_fits_of_few_groups_do_not_move_the_rows(spark, small_broadcasts):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0 + 1).alias("y"))
+    out = st.with_fit(df, ["g"], "y", "x")
+    assert "hashpartitioning" not in plan(out)
+    assert out.count() == 20_000 and out.agg(F.max(F.abs("residual"))).first()[0] < 1e-6
+    nulls = st.with_fit(spark.createDataFrame([(None, 1.0, 2.0), (None, 2.0, 4.0)], "g int, x double, y double"), ["g"], "y", "x")
+    assert [r["residual"] for r in nulls.collect()] == [0.0, 0.0]
