@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.core import (
     cut_lineage,
+    dealt,
     join_on_keys,
     store_and_reload,
     with_bounded_totals,
@@ -203,18 +204,23 @@ def impute_gaps(
     Donors are the ``donors`` observations whose value on the fitted straight
     line is nearest. On a line these are the nearest in time, so candidates
     are reached by their rank among the observed days: an equi-join of at most
-    2 * donors candidates per gap.
+    2 * donors candidates per gap. Tasks are as many as days and candidates need.
     """
     keys = list(keys)
     df = cut_lineage(df)
-    cal = dense_calendar(df, keys, day).withColumn("__o", F.when(F.col(value).isNotNull(), 1).otherwise(0))
-    cal = sequence_columns(cal, keys, [day], running={"__rank": "__o"}, bounded=bounded)
+    span = df.groupBy(*keys).agg((F.datediff(F.max(day), F.min(day)) + 1).alias("__n"))
+    days = span.agg(F.sum("__n")).first()[0] or 0
+    cal = dense_calendar(df, keys, day, days).withColumn("__o", F.when(F.col(value).isNotNull(), 1).otherwise(0))
+    cal = dealt(cal, days, *keys) if bounded else cal
+    cal = store_and_reload(sequence_columns(cal, keys, [day], running={"__rank": "__o"}, bounded=bounded), "calendar")
+    n_cand = 2 * donors * cal.filter("__o = 0").count()
     observed = cal.filter("__o = 1").select(
         *keys, F.col(day).alias("__d"), F.col(value).alias("__v"), "__rank"
     )
     near = F.sequence(F.col("__rank") - (donors - 1), F.col("__rank") + donors)
     gaps = cal.filter("__o = 0").select(*keys, day, F.explode(near).alias("__rank"))
-    cand = gaps.join(observed, [*keys, "__rank"])
+    at = [*keys, "__rank"]
+    cand = dealt(dealt(gaps, n_cand, *at).join(dealt(observed, n_cand, *at), at), n_cand, *keys, day)
     w = Window.partitionBy(*keys, day).orderBy(F.abs(F.datediff(day, "__d")), "__d")
     filled = (
         cand.withColumn("__rn", F.row_number().over(w))
@@ -222,7 +228,7 @@ def impute_gaps(
         .groupBy(*keys, day)
         .agg(F.avg("__v").alias("__f"))
     )
-    out = cal.join(filled, [*keys, day], "left")
+    out = dealt(cal, days, *keys, day).join(dealt(filled, days, *keys, day), [*keys, day], "left")
     return out.select(
         *keys, day, F.coalesce(value, "__f").alias(value), (F.col("__o") == 0).alias("imputed")
     )

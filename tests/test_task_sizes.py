@@ -52,3 +52,18 @@ def test_fits_of_few_groups_do_not_move_the_rows(spark, small_broadcasts):
     assert out.count() == 20_000 and out.agg(F.max(F.abs("residual"))).first()[0] < 1e-6
     nulls = st.with_fit(spark.createDataFrame([(None, 1.0, 2.0), (None, 2.0, 4.0)], "g int, x double, y double"), ["g"], "y", "x")
     assert [r["residual"] for r in nulls.collect()] == [0.0, 0.0]
+
+
+def test_gaps_get_tasks_by_their_candidates(spark, monkeypatch):
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=i)
+    rows = [(s, day(i), float(i * i % 11 + s)) for s in range(6) for i in range(0, 40, 1 + s)]
+    df = spark.createDataFrame(rows, "s int, day date, v double")
+    want = sorted(map(tuple, ts.impute_gaps(df, ["s"], "day", "v").collect()))
+    monkeypatch.setattr(core, "TASK_ROWS", 10)
+    out = ts.impute_gaps(df, ["s"], "day", "v")
+    n_days = sum((39 // (1 + s)) * (1 + s) + 1 for s in range(6))
+    n_gaps = n_days - len(rows)
+    assert set(dealt(out)) == {-(-n_days // 10), n_gaps}
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and len(got) == n_days
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
