@@ -117,7 +117,9 @@ def document_terms(words: DataFrame, doc: str, min_total: int, term: str = "word
     """Counts per document of the terms with enough occurrences overall."""
     counts = store_and_reload(words.groupBy(doc, term).agg(F.count("*").alias("n")), "document-terms")
     frequent = counts.groupBy(term).agg(F.sum("n").alias("__t")).filter(F.col("__t") >= min_total)
-    return counts.join(frequent.select(term), term, "left_semi").select(doc, term, "n")
+    # stored, so that Spark knows its size and leaves the counts where they are if it is small
+    frequent = store_and_reload(frequent.select(term), "frequent-terms")
+    return counts.join(frequent, term, "left_semi").select(doc, term, "n")
 
 
 def term_ids(counts: DataFrame, term: str = "word") -> DataFrame:
@@ -128,7 +130,7 @@ def term_ids(counts: DataFrame, term: str = "word") -> DataFrame:
 
 def sparse_rows(counts: DataFrame, doc: str, term: str = "word") -> DataFrame:
     """Document rows as a sorted sparse representation (ids and counts)."""
-    coded = counts.join(term_ids(counts, term), term)
+    coded = counts.join(store_and_reload(term_ids(counts, term), "term-ids"), term)
     cells = coded.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("term_id", "n"))).alias("__c"))
     return cells.select(
         doc,

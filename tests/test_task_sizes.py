@@ -67,3 +67,16 @@ def test_gaps_get_tasks_by_their_candidates(spark, monkeypatch):
     got = sorted(map(tuple, out.collect()))
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and len(got) == n_days
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+def test_sparse_rows_move_counts_by_document_only(spark, small_broadcasts):
+    rows = [(d, f"w{(d * k) % 50}") for d in range(200) for k in range(1, 30)]
+    out = tx.sparse_rows(tx.document_terms(spark.createDataFrame(rows, "doc int, word string"), "doc", 100), "doc")
+    assert "hashpartitioning(word" not in plan(out)
+    total = Counter(w for _, w in rows)
+    ids = {w: i for i, w in enumerate(sorted(w for w in total if total[w] >= 100))}
+    want = {}
+    for (d, w), n in Counter(rows).items():
+        if w in ids:
+            want.setdefault(d, []).append((ids[w], float(n)))
+    assert {r["doc"]: list(zip(r["ids"], r["counts"])) for r in out.collect()} == {d: sorted(c) for d, c in want.items()}
