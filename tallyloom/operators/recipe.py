@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import array_to_vector
@@ -18,6 +21,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.core import store_and_reload
 from tallyloom.operators.stats import near_zero_variance
 
 
@@ -71,11 +75,56 @@ def box_cox(value: Column, power: float) -> Column:
     return F.when(x > 0, out)
 
 
+def power_moments(df: DataFrame, columns: Sequence[str], tried: dict[str, range], step: float) -> DataFrame:
+    """(i, k, n, m, m2, logs): number, mean and squared deviations of the transforms with power k * step of column i.
+
+    ``logs`` is the sum of logarithms. Columns hold positive doubles or NULL. The
+    powers of a column are one chain of products, and a task hands on one row
+    for each of them.
+    """
+
+    def joined(a, b):
+        n, d = a[0] + b[0], b[1] - a[1]
+        return (n, a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n) if n else a
+
+    def per_task(batches):
+        found, logs = {}, dict.fromkeys(range(len(columns)), 0.0)
+        for b in batches:
+            for i, c in enumerate(columns):
+                x = np.log(b.column(c).drop_null().to_numpy(zero_copy_only=False))
+                if not len(x):
+                    continue
+                logs[i] += float(x.sum())
+                ks, by = tried[c], np.exp(x * step)
+                z = np.exp(x * (ks[0] * step))
+                for k in ks:
+                    y = z if k else x
+                    mean = float(y.mean())
+                    d = y - mean
+                    own = (len(y), (mean - 1) / (k * step), float(d @ d) / (k * step) ** 2) if k else (len(y), mean, float(d @ d))
+                    found[i, k] = joined(found.get((i, k), (0, 0.0, 0.0)), own)
+                    z = z * by
+        rows = [(i, k, *v, logs[i]) for (i, k), v in found.items()]
+        names = ["i", "k", "n", "m", "m2", "logs"]
+        if rows:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
+
+    def of_all_tasks(key, g: pd.DataFrame) -> pd.DataFrame:
+        total = (0, 0.0, 0.0)
+        for own in zip(g["n"].tolist(), g["m"].tolist(), g["m2"].tolist()):
+            total = joined(total, own)
+        return pd.DataFrame([(*key, *total, g["logs"].sum())], columns=list(g.columns))
+
+    schema = "i int, k int, n long, m double, m2 double, logs double"
+    return df.select(*columns).mapInArrow(per_task, schema).groupBy("i", "k").applyInPandas(of_all_tasks, schema)
+
+
 class BoxCox(_Stage, Estimator):
     """Box-Cox by the power with the largest profile likelihood.
 
     A grid over [-5, 5] is refined twice around its best power, to steps of
-    1/1600; each round is one aggregate for all columns. Columns with values of
+    1/1600; each round is one pass over the stored columns. Columns with values of
     0 or less, or without variance, stay as they are.
     """
 
@@ -85,6 +134,7 @@ class BoxCox(_Stage, Estimator):
     def _fit(self, df: DataFrame) -> BoxCoxModel:
         columns = self.present(df)
         model = BoxCoxModel(inputCols=self.getInputCols())
+        df = store_and_reload(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "box-cox") if columns else df
         least = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max))]).first()
         columns = [c for i, c in enumerate(columns) if (least[f"lo{i}"] or 0) > 0 and least[f"lo{i}"] < least[f"hi{i}"]]
         best = dict.fromkeys(columns, 0)  # in units of the step
@@ -92,13 +142,11 @@ class BoxCox(_Stage, Estimator):
             if n:
                 best = {c: k * round(self.STEPS[n - 1] / step) for c, k in best.items()}
             tried = {c: range(best[c] - self.SIDE, best[c] + self.SIDE + 1) for c in columns}
-            aggs = [F.var_pop(box_cox(F.col(c), k * step)).alias(f"v{i}_{k}") for i, c in enumerate(columns) for k in tried[c]]
-            logs = [f(F.ln(F.col(c).cast("double"))).alias(f"{a}{i}") for i, c in enumerate(columns) for a, f in (("n", F.count), ("s", F.sum))]
-            row = df.agg(*aggs, *logs).first().asDict()
+            moments = {(r["i"], r["k"]): r for r in power_moments(df, columns, tried, step).collect()}  # 41 rows for a column
 
             def likelihood(i, k):
-                v = row[f"v{i}_{k}"]
-                return -row[f"n{i}"] / 2 * _log(v) + (k * step - 1) * row[f"s{i}"] if v else float("-inf")
+                r = moments[i, k]
+                return -r["n"] / 2 * _log(r["m2"] / r["n"]) + (k * step - 1) * r["logs"] if r["m2"] else float("-inf")
 
             best = {c: max(tried[c], key=lambda k, i=i: (likelihood(i, k), -k)) for i, c in enumerate(columns)}
         return model._set(changed=columns, powers=[best[c] * self.STEPS[-1] for c in columns])

@@ -58,3 +58,19 @@ def test_columns_without_variance_or_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, -2.0), (1.0, None)], "a double, b double")
     out = rc.CentreScale(inputCols=["a", "b", "gone"]).fit(df).transform(rc.BoxCox(inputCols=["a", "b"]).fit(df).transform(df))
     assert [r.a for r in out.collect()] == [0.0] * 3 and out.filter("b IS NULL").count() == 1
+
+
+def test_moments_of_powers_are_those_of_numpy_over_many_tasks(spark):
+    rng = np.random.default_rng(3)
+    x = np.exp(rng.normal(9, 1.5, 3000))
+    rows = [(float(v), None if i % 3 else float(v / 1e4)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(7)
+    tried = {"a": range(-20, 21), "b": range(-3, 4)}
+    for step in rc.BoxCox.STEPS:
+        found = rc.power_moments(df, ["a", "b"], tried, step).collect()
+        assert len(found) == 48
+        for r in found:
+            own = x if r["i"] == 0 else x[::3] / 1e4
+            t = np.log(own) if r["k"] == 0 else (own ** (r["k"] * step) - 1) / (r["k"] * step)
+            assert r["n"] == len(own) and np.isclose(r["m2"] / r["n"], t.var(), rtol=1e-7)
+            assert np.isclose(r["m"], t.mean(), rtol=1e-9) and np.isclose(r["logs"], np.log(own).sum())
