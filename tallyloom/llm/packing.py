@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bucket, id_and_text, parts, shown_id, stored
+from tallyloom.llm.common import bucket, give_back, id_and_text, parts, shown_id, stored
 from tallyloom.llm.tokens import encode
 
 SIZE = 1024
@@ -51,6 +51,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int =
                         own.append(ids[lo:hi].astype("<i4"))
             made = pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32"])
             yield made.assign(ids=own) if with_ids else made
+            del b, out, own, made
+            give_back()
 
     schema = "key long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return id_and_text(docs, id_col, text_col).mapInPandas(per_batch, schema)

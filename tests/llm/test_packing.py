@@ -1,6 +1,7 @@
 """Packing and token ids: exact round trips, valid sequences, few of them."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -27,6 +28,18 @@ def test_ids_of_any_text_and_of_special_strings():
     assert [x.tolist() for x in tokens.encode(texts, PATH)] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_batch_of_texts_takes_little_memory():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1_000)]
+    next(iter(tokens.encode(["warm"], PATH)))
+    tracemalloc.start()
+    n = sum(len(x) for x in tokens.encode(texts, PATH))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 800_000 and most < 100e6
+
+
 def check(rows, docs, size):
     want = {}
     for i, t in docs:
