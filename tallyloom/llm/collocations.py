@@ -179,8 +179,10 @@ def pairs_of(place: np.ndarray, unit: np.ndarray, last: np.ndarray) -> tuple[np.
 
 
 def _state_rows(b: pa.RecordBatch):
-    for chunk, lang, *binary in zip(*(b.column(c).to_pylist() for c in ("chunk", "lang", "steps", "units", "lasts"))):
+    for i in range(b.num_rows):  # one chunk at a time; a batch holds all chunks of a task
+        chunk, lang, *binary = (b.column(c)[i].as_py() for c in ("chunk", "lang", "steps", "units", "lasts"))
         steps, unit, last = map(from_planes, binary)
+        del binary
         yield chunk, lang, np.cumsum(steps), unit, last
 
 

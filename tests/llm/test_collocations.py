@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -108,3 +109,14 @@ def test_codes_of_words():
 def test_no_documents(nothing, spark):
     assert run(nothing) == []
     assert run(spark.createDataFrame([("a b", "en"), (None, None)], "text string, lang string")) == []
+
+
+def test_chunks_of_a_batch_are_read_one_at_a_time():
+    place = np.arange(0, 200_000, 2)
+    batch = pa.Table.from_batches([col._state(c, "en", place, place % 999, place % 77) for c in range(40)]).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    seen = [(c, lang, int(p[-1]), int(u.sum()), int(x.sum())) for c, lang, p, u, x in col._state_rows(batch)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(c, "en", 199_998, int((place % 999).sum()), int((place % 77).sum())) for c in range(40)]
+    assert most < 15e6
