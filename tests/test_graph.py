@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import deque
 
 import pytest
@@ -217,3 +218,44 @@ def test_searches_over_several_blocks_of_nodes(spark):
     assert abs(sum(r.betweenness for r in through) - far) < 1e-6 * far
     assert len(through) == len({frozenset(p) for p in pairs})
     assert scores[5001] == scores[5002] == 2.0 and {r.betweenness for r in through if r.src >= 5000} == {3.0, 4.0}
+
+
+def plans_stored(monkeypatch) -> list[str]:
+    """The optimised plans of the tables that graph operators store from here on."""
+    plans, keep = [], gr.keep
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(gr, "keep", noted)
+    return plans
+
+
+def test_a_stored_round_of_the_eigenvector_is_one_join(spark, monkeypatch):
+    """Rounds that are not stored are joined without known sizes, and run again for their maximum."""
+    plans = plans_stored(monkeypatch)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src long, dst long")
+    gr.eigenvector(edges).collect()
+    joins = [len(re.findall(r"\w*Join\b", p.split("Subqueries")[0])) for p in plans]
+    assert sum(joins) >= 8 and max(joins) == 1
+
+
+def test_links_are_shuffled_once_and_lie_in_ranges_of_their_first_node(spark, monkeypatch):
+    plans = plans_stored(monkeypatch)
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (2, 3), (None, 4)], "src long, dst long")
+    links, nodes = gr._linked(edges)
+    assert sorted(map(tuple, links.collect())) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    assert sorted(r[0] for r in nodes.collect()) == [1, 2, 3]
+    assert re.findall(r"Exchange (\w+)", plans[0]) == ["rangepartitioning"]
+
+
+def test_moves_join_links_with_stored_tables_only(spark, monkeypatch):
+    """Joined as they are computed, the tables of nodes and communities look larger than the links."""
+    plans = plans_stored(monkeypatch)
+    links = spark.createDataFrame([(a, b, 1.0) for a in range(6) for b in range(6) if a != b], "src long, dst long, w double")
+    own = spark.createDataFrame([(i, i) for i in range(6)], "id long, community long")
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
+    moves = gr._best_moves(links, own, degree, 30.0)
+    assert len(plans) == 2  # nodes, communities
+    assert sorted(r["id"] for r in moves.collect()) == list(range(6))
