@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import id_and_text, shown_id, stored
+from tallyloom.llm.common import give_back, id_and_text, shown_id, stored
 from tallyloom.llm.words import batches_of, mix, shingles, split_words
 from tallyloom.operators.graph import components
 
@@ -111,6 +111,9 @@ def signatures(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame
                     "key": part["key"].to_numpy(), "h1": ids[:, 0], "h2": ids[:, 1],
                     "bands": text_bands(t, h, count, len(own), bands, rows),
                 })
+                del part, own, t, h, count, ids
+            del b
+            give_back()
 
     return texts.mapInPandas(per_batch, "key long, h1 long, h2 long, bands array<long>")
 
@@ -124,6 +127,9 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 t, h, _ = weighted_shingles(part["text"].tolist(), width)
                 cuts = np.searchsorted(t, np.arange(1, len(part)))
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "s": np.split(h.view(np.int64), cuts)})
+                del part, t, h, cuts
+            del b
+            give_back()
 
     return texts.mapInPandas(per_batch, "key long, s array<long>")
 

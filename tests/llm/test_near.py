@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallyloom.llm import near
@@ -128,3 +129,18 @@ def test_rows_without_an_id_and_repeated_rows_leave_one_of_each_group(spark):
 def test_nothing_to_compare(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near.near_duplicate_classes(frame).collect())) == [(i, i) for i, _ in rows]
+
+
+@pytest.mark.parametrize("passed", [lambda t: near.signatures(t, 5, 4, 2), lambda t: near.shingle_sets(t, 5)])
+def test_workers_give_memory_back_after_each_batch(monkeypatch, passed):
+    """A worker that an earlier stage has filled keeps that memory otherwise, next to what this stage needs."""
+
+    class Texts:
+        def mapInPandas(self, per_batch, schema):
+            return per_batch
+
+    given = []
+    monkeypatch.setattr(near, "give_back", lambda: given.append(1), raising=False)
+    frames = [pd.DataFrame({"key": [i, i + 1], "text": ["a b c d e f", ""]}) for i in range(3)]
+    rows = pd.concat(passed(Texts())(iter(frames)))
+    assert rows["key"].tolist() == [0, 1, 1, 2, 2, 3] and len(given) == 3
