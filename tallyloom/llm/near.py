@@ -35,6 +35,11 @@ BANDS = 20
 #: A shingle that at most so many candidates have is rare: they are compared one by one.
 RARE = 8
 ROWS = 4
+#: Characters whose shingles a worker holds at a time; their arrays take about 60 times as much.
+SLICE = 1 << 20
+#: Bits per key of the bitmap that drops texts before they are shuffled, and its most bits (64 MB).
+KEY_BITS = 16
+MOST_BITS = 1 << 29
 
 
 # --- signatures -------------------------------------------------------------------
@@ -103,7 +108,7 @@ def signatures(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame
 
     def per_batch(batches):
         for b in batches:
-            for part in batches_of(b):
+            for part in batches_of(b, limit=SLICE):
                 own = part["text"].tolist()
                 t, h, count = weighted_shingles(own, width)
                 ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in own), "<i8").reshape(-1, 2)
@@ -123,7 +128,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def per_batch(batches):
         for b in batches:
-            for part in batches_of(b):
+            for part in batches_of(b, limit=SLICE):
                 t, h, _ = weighted_shingles(part["text"].tolist(), width)
                 cuts = np.searchsorted(t, np.arange(1, len(part)))
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "s": np.split(h.view(np.int64), cuts)})
@@ -137,12 +142,14 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 # --- operator ---------------------------------------------------------------------
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have a Jaccard index of ``similar`` or more."""
+def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have a Jaccard index of ``similar`` or more; sets are moved for pairs of fitting sizes only."""
+    fits = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
+    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(fits("na", "nb")).select("a", "b").distinct()
     left = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     na, nb = F.size("sa"), F.size("sb")
-    both = pairs.join(left, "a").join(right, "b").filter(F.least(na, nb) >= similar * F.greatest(na, nb))
+    both = pairs.join(left, "a").join(right, "b").filter(fits(na, nb))
     shared = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return shared.filter(F.col("n") >= similar * (na + nb - F.col("n"))).select("a", "b").distinct()
 
@@ -169,31 +176,32 @@ def near_duplicate_classes(
     member = copies.select(F.col("rep").alias("key"), F.explode("bands").alias("bucket")).distinct()
     shared = member.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     member = stored(member.join(shared.select("bucket", "low"), "bucket"), "buckets")
-    wanted = member.select("key").distinct()
-    sets = stored(shingle_sets(named.join(wanted, "key", "left_semi"), width).distinct(), "shingles")
+    wanted = stored(member.select("key").distinct(), "wanted")
+    sets = stored(shingle_sets(_of_keys(named, wanted).join(wanted, "key", "left_semi"), width).distinct(), "shingles")
+    sizes = stored(sets.select("key", F.size("s").alias("n")).distinct(), "sizes")
     stars = stored(member.filter("key > low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(), "stars")
     # the texts of an id belong together
     own = marks.join(copies.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("key", F.coalesce("rep", "key").alias("rep"))
     several = own.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     several = own.join(several.select("key", "a"), "key").select("a", F.col("rep").alias("b")).filter("a < b").distinct()
-    links = stored(_links(stars, sets, similar).union(several), "links")
+    links = stored(_links(stars, sets, sizes, similar).union(several), "links")
     found = _classes(links)
     placed = stored(_mixed(member, found), "mixed")
-    facts, few = _own_shares(sets.join(placed.select("key").distinct(), "key", "left_semi"))
+    facts, few = _own_shares(_of_keys(sets, placed.select("key").distinct()))
     # second pivot: the member with the least that is only its own, in most groups what the others derive from
     least = placed.join(facts.groupBy("key").agg(F.min("share").alias("share")), "key")
     core = least.groupBy("bucket").agg(F.min(F.struct("share", "key", "class")).alias("c"))
     again = placed.join(core, "bucket").filter(F.col("class") != F.col("c.class"))
     again = again.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
     again = stored(again.join(stars, ["a", "b"], "left_anti"), "second-stars")
-    second = stored(_between(_links(again, sets, similar), found), "second-links")
+    second = stored(_between(_links(again, sets, sizes, similar), found), "second-links")
     # for what is left, classes that the second pivots have linked count as one
     low = second.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("low"))
     joined = placed.join(low, "class", "left").select("bucket", "key", F.coalesce("low", "class").alias("class"))
     joined = stored(_still_mixed(joined), "still-mixed")
     rare = _rare_pairs(few.join(joined.select("key", "class").distinct(), "key"))
     rest = _possible_pairs(joined, facts, similar).union(rare).join(stars.union(again), ["a", "b"], "left_anti")
-    between = stored(second.union(_between(_links(rest, sets, similar), found)).distinct(), "class-links")
+    between = stored(second.union(_between(_links(rest, sets, sizes, similar), found)).distinct(), "class-links")
     ends = own.distinct().join(found.withColumnRenamed("key", "rep"), "rep", "left").select("key", F.coalesce("class", "rep").alias("class"))
     if not between.isEmpty():
         roots = _classes(between).toDF("class", "root")
@@ -202,6 +210,16 @@ def near_duplicate_classes(
     return texts.select("key").join(classes, "key", "left").select(shown_id().alias(id_col), "class_id")
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows that have one of the keys and few others, found without a shuffle by a bitmap of hashed keys."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(min(max(1, KEY_BITS * keys.count()), MOST_BITS))) + 1
+    part, bit = F.bitmap_bucket_number(slot).alias("__part"), F.bitmap_bit_position(slot).cast("int").alias("__bit")
+    maps = keys.select(part, bit).repartition("__part").groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = "cast(conv(hex(substring(__bits, __bit div 8 + 1, 1)), 16, 10) AS int)"
+    near = rows.select("*", part, bit).join(F.broadcast(maps), "__part")
+    return near.filter(f"getbit({byte}, __bit % 8) = 1").select(*rows.columns)
+
+
 def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     """(bucket, key, class) of the buckets whose members are in several classes."""
     placed = member.select("bucket", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))

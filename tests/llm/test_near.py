@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import near
 
@@ -144,3 +145,12 @@ def test_workers_give_memory_back_after_each_batch(monkeypatch, passed):
     frames = [pd.DataFrame({"key": [i, i + 1], "text": ["a b c d e f", ""]}) for i in range(3)]
     rows = pd.concat(passed(Texts())(iter(frames)))
     assert rows["key"].tolist() == [0, 1, 1, 2, 2, 3] and len(given) == 3
+
+
+def test_texts_without_a_wanted_key_are_dropped_before_the_shuffle(spark):
+    rows = spark.range(-500, 40_000).select(F.col("id").alias("key"), F.lit("t").alias("text"))
+    wanted = rows.select("key").filter("key % 40 = 0").distinct()
+    left = {r["key"] for r in near._of_keys(rows, wanted).collect()}
+    want = {k for k in range(-500, 40_000) if k % 40 == 0}
+    assert want <= left and len(left) < len(want) + 0.1 * 40_500
+    assert near._of_keys(rows, wanted.limit(0)).count() == 0
