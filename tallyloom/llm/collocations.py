@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.core import bounded_broadcast
 from tallyloom.llm.bytescan import Spans, SpanTable, column_bytes, from_planes, pieces, planes, runs, slices
 from tallyloom.llm.common import give_back, stored
 from tallyloom.llm.words import mix
@@ -175,19 +176,33 @@ class Tiling:
 def pairs_of(place: np.ndarray, unit: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which, key): units that the next place continues, and unit << 32 | last word of the unit at the next place."""
     which = np.flatnonzero(place[1:] == place[:-1] + 1)
-    return which, (unit[which] << 32) | last[which + 1]
+    return which, (unit[which].astype(np.int64) << 32) | last[which + 1]
+
+
+def pair_bytes(key: np.ndarray) -> bytes:
+    """Pairs in order as steps of the left ids and as right ids, by byte planes: a quarter of the pairs' bytes when compressed."""
+    return planes(np.diff(key >> 32, prepend=0)) + planes(key & 0xFFFFFFFF)
+
+
+def from_pair_bytes(b: bytes) -> np.ndarray:
+    half = len(b) // 2
+    return (np.cumsum(from_planes(b[:half])) << 32) | from_planes(b[half:])
+
+
+def _state_row(b: pa.RecordBatch, i: int) -> tuple:
+    chunk, lang, steps, unit, last = (b.column(c)[i].as_py() for c in ("chunk", "lang", "steps", "units", "lasts"))
+    unit = from_planes(unit, np.int32)
+    return chunk, lang, np.cumsum(from_planes(steps, np.int32), dtype=np.int32), unit, unit if last is None else from_planes(last, np.int32)
 
 
 def _state_rows(b: pa.RecordBatch):
-    for i in range(b.num_rows):  # one chunk at a time; a batch holds all chunks of a task
-        chunk, lang, *binary = (b.column(c)[i].as_py() for c in ("chunk", "lang", "steps", "units", "lasts"))
-        steps, unit, last = map(from_planes, binary)
-        del binary
-        yield chunk, lang, np.cumsum(steps), unit, last
+    for i in range(b.num_rows):  # one chunk at a time, not held here; a batch holds all chunks of a task
+        yield _state_row(b, i)
 
 
 def _state(chunk: int, lang: str, place: np.ndarray, unit: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([planes(x)]) for x in (np.diff(place, prepend=0), unit, last)]
+    own = None if last is unit else planes(last)  # a word is its own last word
+    columns = [pa.array([x], pa.binary()) for x in (planes(np.diff(place, prepend=0)), planes(unit), own)]
     return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([lang]), *columns], names=["chunk", "lang", "steps", "units", "lasts"])
 
 
@@ -217,9 +232,12 @@ def frequent_pairs(state: DataFrame, tiling: Tiling, least: int) -> DataFrame:
         for b in batches:
             for chunk, lang, place, unit, last in _state_rows(b):
                 _, key = pairs_of(place, unit, last)
+                del place, unit, last
                 tile = tiling.tiles(lang, key >> 32, key & 0xFFFFFFFF)
+                tile = tile.astype(np.min_scalar_type(tile.max(initial=0)))
                 order = np.argsort(tile, kind="stable")
                 tile, key = tile[order], key[order]
+                del order
                 head = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))[: len(tile)]
                 out = []
                 for x, y in zip(head.tolist(), [*head[1:].tolist(), len(tile)]):
@@ -228,7 +246,7 @@ def frequent_pairs(state: DataFrame, tiling: Tiling, least: int) -> DataFrame:
                     deal = (mix(own.astype(np.uint64)) % np.uint64(deals)).astype(np.int64)
                     for d in range(deals):
                         some = deal == d if deals > 1 else slice(None)
-                        out.append((lang, int(tile[x]), d, chunk, own[some].astype("<i8").tobytes(), planes(n[some])))
+                        out.append((lang, int(tile[x]), d, chunk, pair_bytes(own[some]), planes(n[some])))
                 if out:
                     kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays(
@@ -238,16 +256,16 @@ def frequent_pairs(state: DataFrame, tiling: Tiling, least: int) -> DataFrame:
 
     def per_tile(g: pd.DataFrame) -> pd.DataFrame:
         lang, tile, deal = g["lang"].iloc[0], int(g["tile"].iloc[0]), int(g["deal"].iloc[0])
-        keys = [np.frombuffer(x, "<i8") for x in g["keys"]]
+        keys = [from_pair_bytes(x) for x in g["keys"]]
         own, n = tiling.count(lang, tile, np.concatenate(keys), np.concatenate([from_planes(x) for x in g["counts"]]))
         own, n = own[n >= least], n[n >= least]
         out = []
         if len(own):
-            out.append((None, own.astype("<i8").tobytes(), n.astype("<i8").tobytes()))
+            out.append((None, pair_bytes(own), n.astype("<i8").tobytes()))
             for chunk, k in zip(g["chunk"].tolist(), keys):
                 hit = k[own[np.minimum(np.searchsorted(own, k), len(own) - 1)] == k]
                 if len(hit):
-                    out.append((chunk, hit.tobytes(), None))
+                    out.append((chunk, pair_bytes(hit), None))
         give_back()
         found = pd.DataFrame(out, columns=["chunk", "keys", "counts"]).astype({"chunk": "Int64"})
         return found.assign(lang=lang, tile=tile, deal=deal)[["lang", "tile", "deal", "chunk", "keys", "counts"]]
@@ -260,7 +278,7 @@ def _unpacked(found: DataFrame) -> DataFrame:
     def per_batch(batches):
         for b in batches:
             for lang, tile, deal, keys, counts in zip(*(b.column(c).to_pylist() for c in ("lang", "tile", "deal", "keys", "counts"))):
-                key = np.frombuffer(keys, "<i8")
+                key = from_pair_bytes(keys)
                 yield pa.RecordBatch.from_pydict({
                     "lang": pa.array([lang] * len(key), pa.string()), "tile": pa.array(np.full(len(key), tile)), "deal": pa.array(np.full(len(key), deal), pa.int32()),
                     "left": pa.array(key >> 32, pa.int32()), "right": pa.array(key & 0xFFFFFFFF, pa.int32()), "f": pa.array(np.frombuffer(counts, "<i8")),
@@ -283,7 +301,7 @@ def next_state(state: DataFrame, found: DataFrame, units: DataFrame) -> DataFram
                 left, right, no = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "right", "id"))
                 key = (left << 32) | right
                 order = np.argsort(key)
-                mine = np.frombuffer(keys, "<i8")
+                mine = from_pair_bytes(keys)
                 number = no[order][np.searchsorted(key[order], mine)]
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), "keys": pa.array([keys]), "ids": pa.array([planes(number)])})
 
@@ -293,7 +311,7 @@ def next_state(state: DataFrame, found: DataFrame, units: DataFrame) -> DataFram
     def follow(batches):
         for b in batches:
             for (chunk, lang, place, unit, last), answer in zip(_state_rows(b), b.column("answers").to_pylist()):
-                known = np.concatenate([np.frombuffer(x["keys"], "<i8") for x in answer])
+                known = np.concatenate([from_pair_bytes(x["keys"]) for x in answer])
                 number = np.concatenate([from_planes(x["ids"]) for x in answer])
                 order = np.argsort(known)
                 known, number = known[order], number[order]
@@ -303,12 +321,15 @@ def next_state(state: DataFrame, found: DataFrame, units: DataFrame) -> DataFram
                 yield _state(chunk, lang, place[which[hit]], number[at[hit]], last[which[hit] + 1])
             give_back()
 
-    return state.join(answers, "chunk").mapInArrow(follow, STATE)
+    # answers grow with the texts, so they are never broadcast
+    return state.join(answers.hint("merge"), "chunk").mapInArrow(follow, STATE)
 
 
 def first_state(coded: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
-    """Places of frequent words with their ids."""
-    told = asked.select("chunk", "lang", "no", "word").join(words.select("lang", "word", "id"), ["lang", "word"])
+    """Places of frequent words with their ids; each word of a chunk is told its id, or -1."""
+    ids = bounded_broadcast(words.select("lang", "word", "id"), words.count())  # a chunk's words are then not shuffled again
+    told = asked.select("chunk", "lang", "no", "word").join(ids, ["lang", "word"], "left")
+    told = told.select("chunk", "no", F.coalesce("id", F.lit(-1)).alias("id"))
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("no", "id")).alias("answers"))  # of one chunk's words
 
     def per_batch(batches):
@@ -316,13 +337,15 @@ def first_state(coded: DataFrame, asked: DataFrame, words: DataFrame) -> DataFra
             answers = b.column("answers")
             for i, (chunk, lang, codes) in enumerate(zip(*(b.column(c).to_pylist() for c in ("chunk", "lang", "codes")))):
                 x = answers[i].values
-                no, id_ = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("no", "id"))
+                no, id_ = (x.field(c).to_numpy(zero_copy_only=False) for c in ("no", "id"))
                 code = from_planes(codes) - 1
-                known = np.full(max(int(code.max()), int(no.max())) + 2, -1, np.int64)  # the last one is for breaks
+                known = np.full(max(int(code.max()), int(no.max())) + 2, -1, np.int32)  # the last one is for breaks
                 known[no] = id_
                 unit = known[code]
                 place = np.flatnonzero(unit >= 0)
-                yield _state(chunk, lang, place, unit[place], unit[place])
+                unit = unit[place]
+                if len(place):
+                    yield _state(chunk, lang, place, unit, unit)
             give_back()
 
     return coded.select("chunk", "lang", "codes").join(told, "chunk").mapInArrow(per_batch, STATE)

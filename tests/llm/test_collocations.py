@@ -120,3 +120,17 @@ def test_chunks_of_a_batch_are_read_one_at_a_time():
     tracemalloc.stop()
     assert seen == [(c, "en", 199_998, int((place % 999).sum()), int((place % 77).sum())) for c in range(40)]
     assert most < 15e6
+
+
+def test_state_of_words_and_pairs_take_few_bytes():
+    rng = np.random.default_rng(6)
+    place, unit = np.arange(50_000), rng.integers(0, 3000, 50_000)
+    words, phrases = (col._state(7, "en", place, unit, last) for last in (unit, unit.copy()))
+    assert words.nbytes < 0.75 * phrases.nbytes
+    for b in (words, phrases):
+        (_, _, p, u, x), = col._state_rows(b)
+        assert (p == place).all() and (u == unit).all() and (x == unit).all()
+    key = np.unique((unit[:-1] << 32) | unit[1:])
+    packed = col.pair_bytes(key)
+    assert (col.from_pair_bytes(packed) == key).all() and len(col.from_pair_bytes(col.pair_bytes(key[:0]))) == 0
+    assert len(pa.compress(packed, "lz4", asbytes=True)) < 0.6 * len(pa.compress(key.tobytes(), "lz4", asbytes=True))
