@@ -180,7 +180,7 @@ def pairs_of(place: np.ndarray, unit: np.ndarray, last: np.ndarray) -> tuple[np.
 
 
 def pair_bytes(key: np.ndarray) -> bytes:
-    """Pairs in order as steps of the left ids and as right ids, by byte planes: a quarter of the pairs' bytes when compressed."""
+    """Pairs in order as steps of the left ids and as right ids, by byte planes, which compress better than the pairs."""
     return planes(np.diff(key >> 32, prepend=0)) + planes(key & 0xFFFFFFFF)
 
 

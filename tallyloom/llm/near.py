@@ -35,7 +35,7 @@ BANDS = 20
 #: A shingle that at most so many candidates have is rare: they are compared one by one.
 RARE = 8
 ROWS = 4
-#: Characters whose shingles a worker holds at a time; their arrays take about 60 times as much.
+#: Characters whose shingles a worker holds at a time; their arrays take many times as much.
 SLICE = 1 << 20
 #: Bits per key of the bitmap that drops texts before they are shuffled, and its most bits (64 MB).
 KEY_BITS = 16
